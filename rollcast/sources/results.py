@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from rollcast.operators.score import (
     leaderboard_means,
     leaderboard_wide,
     metrics_wide,
+    model_names,
     wide_to_long,
 )
 from rollcast.operators.series import ID, TS, Y
@@ -36,19 +38,21 @@ class Imported(NamedTuple):
     skipped: dict[str, str]
 
 
-def _files(spark: SparkSession, folder: str, prefix: str) -> list[str]:
-    """Paths of ``<prefix><model>.csv`` below a folder: one per model, so a short list."""
-    listing = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", f"{prefix}*.csv")
-        .option("recursiveFileLookup", "true")
-        .load(folder)
-    )
-    return sorted(row["path"] for row in listing.select("path").collect())
-
-
-def _model_of(path: str, prefix: str) -> str:
-    return path.rsplit("/", 1)[-1].removesuffix(".csv").removeprefix(prefix)
+def _files(spark: SparkSession, folder: str, prefix: str) -> dict[str, str]:
+    """Model name to path of ``<prefix><model>.csv`` (a file, or a folder of parts)."""
+    pattern = f"{folder.rstrip('/')}/{prefix}*.csv"
+    try:
+        listing = spark.read.format("binaryFile").load(pattern)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return {}
+        raise
+    name = F.regexp_extract("path", f"/({prefix}[^/]*[.]csv)(/|$)", 1)
+    found = [row[0] for row in listing.select(name).distinct().collect()]  # one per model
+    return {
+        file.removesuffix(".csv").removeprefix(prefix): f"{folder.rstrip('/')}/{file}"
+        for file in sorted(found)
+    }
 
 
 def _import(
@@ -56,8 +60,7 @@ def _import(
 ) -> Imported:
     """One read per file: each file has its own value column, so one glob read would mix them."""
     frames, skipped = [], {}
-    for path in _files(spark, folder, prefix):
-        model = _model_of(path, prefix)
+    for model, path in _files(spark, folder, prefix).items():
         raw = spark.read.csv(path, header=True)
         # A variant's file may carry the name of the base model as its value column.
         names = [model, model.removesuffix(EXOGENOUS_SUFFIX)]
@@ -163,6 +166,16 @@ def write_predictions(predictions: DataFrame, path: str) -> None:
     write_table(predictions, path)
 
 
+def export_by_model(frame: DataFrame, folder: str, prefix: str, models: Sequence[str] | None = None) -> None:
+    """One CSV per model, ``<prefix><model>.csv``, its forecasts in a column named like the model."""
+    kept = [c for c in (ID, TS, "cutoff", Y) if c in frame.columns]
+    for model in models if models is not None else model_names(frame):
+        rows = frame.where(F.col("model") == model)
+        rows.select(*kept, F.col("y_hat").alias(model)).write.mode("overwrite").csv(
+            f"{folder}/{prefix}{model}.csv", header=True
+        )
+
+
 def write_metrics(metrics: DataFrame, path: str, wide_csv: str | None = None) -> None:
     """Long metrics as Parquet; optionally also the wide CSV with a column per model."""
     write_table(metrics, path)
