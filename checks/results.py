@@ -297,7 +297,8 @@ def exported_cv(spark, folder):
     path = shared_folder(spark)
     cv = store(event_cv(spark, folder))
     results.export_by_model(cv, path, results.CV_PREFIX, NAMES)
-    cv.where("model = 'Naive'").select("unique_id", "ds", "cutoff", "y", F.col("y_hat").alias("Naive")).write.csv(
+    variant = cv.where("model = 'Naive'").withColumnRenamed("y_hat", "Naive").drop("model")
+    variant.write.option("timestampNTZFormat", results.TIME_FORMAT).csv(
         f"{path}/cv_results_Naive_exog.csv", header=True
     )
     return path
@@ -376,7 +377,7 @@ DASHBOARD = """shown AS (
 
 @query(
     with_(*EVENT_FUTURE, DASHBOARD)
-    + "SELECT t.*, s.panel_no, CASE trace WHEN 'Naive' THEN 0 WHEN 'WindowAverage' THEN 1 END AS model_no FROM ("
+    + "SELECT t.*, s.panel_no, CAST(CASE trace WHEN 'Naive' THEN 0 WHEN 'WindowAverage' THEN 1 END AS BIGINT) AS model_no FROM ("
     + ACTUAL.format(y=r6("y", "value"), source="panel", where="true") + " UNION ALL "
     + FORECAST.format(trace="model", y=r6("y_hat", "value"), source="predictions", where="true")
     + ") t JOIN shown s ON s.unique_id = t.unique_id"

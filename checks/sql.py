@@ -33,7 +33,7 @@ def folds(horizon: int, windows: int, step: int | None = None, input_size: int =
     values = ", ".join(f"({k}, {step * (windows - k)})" for k in range(1, windows + 1))
     return f"""fold_list(fold, newest) AS (VALUES {values}),
 folds AS (
-  SELECT a.unique_id, f.fold, f.newest, c.ds AS cutoff, f.newest + {horizon} + 1 - a.r AS step,
+  SELECT a.unique_id, CAST(f.fold AS BIGINT) AS fold, f.newest, c.ds AS cutoff, f.newest + {horizon} + 1 - a.r AS step,
          a.ds, a.y
   FROM ranked a
   JOIN fold_list f ON a.r > f.newest AND a.r <= f.newest + {horizon}

@@ -45,7 +45,7 @@ def orders_panel(spark: SparkSession, folder: str) -> DataFrame:
 
 def supplier_panel(spark: SparkSession, folder: str) -> DataFrame:
     """One long series per supplier: quantity shipped per day."""
-    day = F.date_trunc("day", "l_shipdate").cast("timestamp_ntz")
+    day = F.col("l_shipdate").cast("date").cast("timestamp_ntz")
     return (
         table(spark, folder, "lineitem")
         .groupBy(F.col("l_suppkey").alias(ID), day.alias(TS))

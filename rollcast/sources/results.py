@@ -27,6 +27,9 @@ CV_PREFIX = "cv_results_"
 PREDICTION_PREFIX = "predictions_"
 EXOGENOUS_SUFFIX = "_exog"
 
+# CSV time format that keeps microseconds (Spark's default stops at milliseconds).
+TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
+
 CV_COLUMNS = f"model string, {ID} %s, {TS} timestamp_ntz, cutoff timestamp_ntz, {Y} double, y_hat double"
 PREDICTION_COLUMNS = f"model string, {ID} %s, {TS} timestamp_ntz, y_hat double"
 
@@ -166,12 +169,15 @@ def write_predictions(predictions: DataFrame, path: str) -> None:
     write_table(predictions, path)
 
 
-def export_by_model(frame: DataFrame, folder: str, prefix: str, models: Sequence[str] | None = None) -> None:
+def export_by_model(
+    frame: DataFrame, folder: str, prefix: str, models: Sequence[str] | None = None
+) -> None:
     """One CSV per model, ``<prefix><model>.csv``, its forecasts in a column named like the model."""
     kept = [c for c in (ID, TS, "cutoff", Y) if c in frame.columns]
     for model in models if models is not None else model_names(frame):
         rows = frame.where(F.col("model") == model)
-        rows.select(*kept, F.col("y_hat").alias(model)).write.mode("overwrite").csv(
+        writer = rows.select(*kept, F.col("y_hat").alias(model)).write.mode("overwrite")
+        writer.option("timestampNTZFormat", TIME_FORMAT).csv(
             f"{folder}/{prefix}{model}.csv", header=True
         )
 
