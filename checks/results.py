@@ -18,6 +18,7 @@ from checks.models import (
 )
 from checks.registry import query, r6
 from checks.sql import EVENTS, RANKED, SUMMARY, scores, with_
+from rollcast.functions import row_mean
 from rollcast.operators import runs, selection, traces
 from rollcast.operators import score as scoring
 from rollcast.operators.forecast import cross_validate
@@ -163,6 +164,15 @@ def best_series(spark, folder):
     return selection.best_series(event_metrics(spark, folder), 10)
 
 
+@query(
+    with_(*SUPPLIER_CV, scores())
+    + "SELECT unique_id, metric, " + r6("avg(value)", "mean") + " FROM metrics GROUP BY unique_id, metric"
+)
+def row_mean_over_models(spark, folder):
+    wide = scoring.metrics_wide(scoring.score(supplier_cv(spark, folder)), NAMES)
+    return wide.select("unique_id", "metric", row_mean(*map(F.col, NAMES)).alias("mean"))
+
+
 @query()
 def sample_series(spark, folder):
     return selection.sample_series(event_metrics(spark, folder), seed=7, n=5)

@@ -5,8 +5,8 @@ rank of a row inside its series.  ``Window.partitionBy('unique_id')`` alone woul
 send a whole series to one task.  ``measure_series`` counts the series first
 (one partially aggregated pass over the id column).  Series above the limit are
 cut along time at approximate quantiles, so that a task ranks one cut piece and
-adds the known number of rows that lie in the other pieces.  Ranks stay exact:
-the cut points only decide where the work is done.
+adds the known number of rows that lie in later pieces.  Ranks stay exact: the
+cut points only decide where the work is done.
 
 Sizes: with ``limit = max(min_rows, total / parts)`` at most ``parts`` series can
 be above the limit, and together they get fewer than ``3 * parts`` cut points.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,26 +29,54 @@ KEYS = (ID, TS)
 PARTS = 4096
 MIN_ROWS = 1_000_000
 
-_CUTS, _BEFORE, _ROWS, _PIECE = "__cuts", "__before", "__rows", "__piece"
+_PIECE, _LOCAL, _AFTER = "__piece", "__local", "__after"
+
+
+@dataclass(frozen=True)
+class LargeSeries:
+    """A series cut into ``len(cuts) + 1`` pieces; piece ``i`` starts at ``cuts[i - 1]``.
+
+    ``before[i]`` is the number of rows in the pieces before piece ``i``.
+    """
+
+    unique_id: object
+    cuts: list
+    before: list[int]
+    rows: int
+
+    def without_pieces_below(self, size: int) -> LargeSeries:
+        """Join pieces to their older neighbour until each has ``size`` rows or more."""
+        cuts, before = list(self.cuts), list(self.before)
+        i = len(cuts)
+        end = self.rows
+        while i > 0:
+            if end - before[i] < size or (i == 1 and before[1] < size):
+                del cuts[i - 1], before[i]
+                end = before[i] if i < len(before) else self.rows
+            else:
+                end = before[i]
+            i -= 1
+        return LargeSeries(self.unique_id, cuts, before, self.rows)
 
 
 @dataclass(frozen=True)
 class SeriesLayout:
     """What ``measure_series`` found: totals, and the cut points of large series.
 
-    ``large`` is None when every series fits one task; otherwise one row per
-    large series: ``unique_id, __cuts array<ts>, __before array<bigint>, __rows``.
+    ``large`` is empty when every series fits one task.
     """
 
     rows: int
     largest: int
     limit: int
-    large: DataFrame | None = None
+    large: tuple[LargeSeries, ...] = ()
 
 
-def _piece_of(ds: Column, cuts: Column) -> Column:
-    """Number of cut points at or before ``ds``, by binary search in the array."""
-    strides = F.array(*[F.lit(1 << bit) for bit in reversed(range(PARTS.bit_length()))])
+def _piece_of(ds: Column, cuts: Column, most: int) -> Column:
+    """Number of cut points (``most`` or fewer) at or before ``ds``, by binary search."""
+    if most == 0:
+        return F.lit(0)
+    strides = F.array(*[F.lit(1 << bit) for bit in reversed(range(most.bit_length()))])
     return F.aggregate(
         strides,
         F.lit(0),
@@ -57,6 +86,17 @@ def _piece_of(ds: Column, cuts: Column) -> Column:
     )
 
 
+def _most_cuts(large: Sequence[LargeSeries]) -> int:
+    return max((len(s.cuts) for s in large), default=0)
+
+
+def _table(panel: DataFrame, columns: dict[str, T.DataType], values: list[tuple]) -> DataFrame:
+    """A small local table keyed by series; its size is bounded by the layout."""
+    fields = [T.StructField(ID, panel.schema[ID].dataType)]
+    fields += [T.StructField(name, dtype) for name, dtype in columns.items()]
+    return F.broadcast(panel.sparkSession.createDataFrame(values, T.StructType(fields)))
+
+
 def measure_series(panel: DataFrame, *, parts: int = PARTS, min_rows: int = MIN_ROWS) -> SeriesLayout:
     """Count the series of a panel and cut those too large for one task."""
     if not 1 <= parts <= PARTS:
@@ -68,50 +108,49 @@ def measure_series(panel: DataFrame, *, parts: int = PARTS, min_rows: int = MIN_
     if largest <= limit:
         return SeriesLayout(rows, largest, limit)
 
-    pieces = 1 << (-(-largest // limit) - 1).bit_length()
-    large = sizes.where(F.col("n") > limit)
-    members = panel.select(ID, TS).join(F.broadcast(large), ID)
-    fractions = [i / pieces for i in range(1, pieces)]
-    # Smaller series keep every 2^k-th of the common cut points.
-    wanted = F.pow(F.lit(2), F.ceil(F.log2(F.col("n") / F.lit(limit))))
-    stride = F.greatest(F.lit(1), (F.lit(pieces) / wanted).cast("int"))
-    cuts = (
-        members.groupBy(ID, "n")
-        .agg(F.percentile_approx(TS, fractions, max(10_000, 4 * pieces)).alias("all_cuts"))
-        .withColumn("stride", stride)
-        .select(
-            ID,
-            F.array_distinct(
-                F.filter("all_cuts", lambda _, i: (i + 1) % F.col("stride") == 0)
-            ).alias(_CUTS),
-        )
+    # At most ``parts`` series, since each has more than total / parts rows.
+    counted = {r[ID]: r["n"] for r in sizes.where(F.col("n") > limit).collect()}
+    pieces = _pieces(largest, limit)
+    # All series share one list of quantiles; a smaller one keeps every 2^k-th of them.
+    stride = _table(panel, {"stride": T.IntegerType()}, [
+        (uid, pieces // _pieces(n, limit)) for uid, n in counted.items()
+    ])
+    members = panel.select(ID, TS).join(stride, ID)
+    quantiles = F.percentile_approx(TS, [i / pieces for i in range(1, pieces)], max(1_000, 16 * pieces))
+    kept = F.filter("quantiles", lambda _, i: (i + 1) % F.col("stride") == 0)
+    found = (
+        members.groupBy(ID, "stride")
+        .agg(quantiles.alias("quantiles"))
+        .select(ID, F.array_distinct(kept).alias("cuts"))
+        # The sketch may differ from run to run, so the cut points are fixed here, once.
+        .collect()
     )
-    spark = panel.sparkSession
-    # The sketch may differ from run to run, so the cut points are fixed here, once.
-    fixed = spark.createDataFrame(cuts.collect(), cuts.schema)
-    counts = (
+    cuts = {r[ID]: r["cuts"] for r in found}
+    in_piece: dict = {uid: [0] * (len(points) + 1) for uid, points in cuts.items()}
+    piece = _piece_of(F.col(TS), F.col("cuts"), max(map(len, cuts.values())))
+    for row in (
         panel.select(ID, TS)
-        .join(F.broadcast(fixed), ID)
-        .groupBy(ID, _piece_of(F.col(TS), F.col(_CUTS)).alias(_PIECE))
+        .join(_cut_table(panel, cuts.items()), ID)
+        .groupBy(ID, piece.alias(_PIECE))
         .count()
         .collect()
-    )
-    per_series: dict = {}
-    for row in counts:
-        per_series.setdefault(row[ID], {})[row[_PIECE]] = row["count"]
-    table = []
-    for row in fixed.collect():
-        in_piece = per_series[row[ID]]
-        before, seen = [], 0
-        for piece in range(len(row[_CUTS]) + 1):
-            before.append(seen)
-            seen += in_piece.get(piece, 0)
-        table.append((row[ID], row[_CUTS], before, seen))
-    schema = T.StructType(
-        [*fixed.schema.fields]
-        + [T.StructField(_BEFORE, T.ArrayType(T.LongType())), T.StructField(_ROWS, T.LongType())]
-    )
-    return SeriesLayout(rows, largest, limit, spark.createDataFrame(table, schema))
+    ):
+        in_piece[row[ID]][row[_PIECE]] = row["count"]
+    large = []
+    for uid, counts in in_piece.items():
+        ends = list(accumulate(counts))
+        large.append(LargeSeries(uid, cuts[uid], [0, *ends[:-1]], ends[-1]))
+    return SeriesLayout(rows, largest, limit, tuple(large))
+
+
+def _pieces(rows: int, limit: int) -> int:
+    """Pieces for a series: the next power of two above ``rows / limit``."""
+    return 1 << (-(-rows // limit) - 1).bit_length()
+
+
+def _cut_table(panel: DataFrame, cuts) -> DataFrame:
+    stamps = T.ArrayType(panel.schema[TS].dataType)
+    return _table(panel, {"cuts": stamps}, [tuple(pair) for pair in cuts])
 
 
 def time_order(panel: DataFrame, descending: bool) -> list[Column]:
@@ -120,6 +159,25 @@ def time_order(panel: DataFrame, descending: bool) -> list[Column]:
     return [F.col(n).desc() if descending else F.col(n).asc() for n in names]
 
 
+def _with_piece(panel: DataFrame, large: Sequence[LargeSeries]) -> DataFrame:
+    """Add the piece of each row and the number of rows in later pieces (0 for whole series)."""
+    counts = T.ArrayType(T.LongType())
+    table = _table(
+        panel,
+        {"__cuts": T.ArrayType(panel.schema[TS].dataType), "__afters": counts},
+        [(s.unique_id, s.cuts, [s.rows - b for b in [*s.before[1:], s.rows]]) for s in large],
+    )
+    piece = F.when(
+        F.col("__cuts").isNotNull(), _piece_of(F.col(TS), F.col("__cuts"), _most_cuts(large))
+    ).otherwise(0)
+    return (
+        panel.join(table, ID, "left")
+        .withColumn(_PIECE, piece)
+        .withColumn(_AFTER, F.coalesce(F.get("__afters", F.col(_PIECE)), F.lit(0).cast("bigint")))
+        .drop("__cuts", "__afters")
+    )
+
+
 def with_rank_from_end(
     panel: DataFrame, layout: SeriesLayout | None = None, *, last: int | None = None,
     series_rows: bool = False,
@@ -127,43 +185,53 @@ def with_rank_from_end(
     """Add ``rank_from_end`` (1 = last row of its series).
 
     ``last`` keeps only the final ``last`` rows; Spark then limits each map task
-    before the shuffle.  ``series_rows`` also adds ``series_rows``, the row count
-    of the series.
+    before the shuffle.  ``series_rows`` also adds the row count of the series.
     """
     layout = layout or measure_series(panel)
     columns = [F.col(c) for c in panel.columns]
-    if layout.large is None:
-        window = Window.partitionBy(ID)
-        ranked = panel.withColumn("__local", F.row_number().over(window.orderBy(*time_order(panel, True))))
-        if last is not None:
-            ranked = ranked.where(F.col("__local") <= last)
-        out = columns + [F.col("__local").cast("bigint").alias("rank_from_end")]
-        if series_rows:
-            if last is not None:
-                raise ValueError("series_rows needs the whole series")
-            out.append(F.count(F.lit(1)).over(window).alias("series_rows"))
-        return ranked.select(*out)
-
-    cut = panel.join(F.broadcast(layout.large), ID, "left")
-    cuts = F.col(_CUTS)
-    cut = cut.withColumn(_PIECE, F.when(cuts.isNotNull(), _piece_of(F.col(TS), cuts)).otherwise(0))
-    after = F.coalesce(
-        F.col(_ROWS) - F.coalesce(F.get(F.col(_BEFORE), F.col(_PIECE) + 1), F.col(_ROWS)), F.lit(0)
-    )
-    cut = cut.withColumn("__after", after).drop(_CUTS, _BEFORE)
-    if last is not None:
-        cut = cut.where(F.col("__after") < last)
-    window = Window.partitionBy(ID, _PIECE)
-    ranked = cut.withColumn("__local", F.row_number().over(window.orderBy(*time_order(panel, True))))
+    order = time_order(panel, True)
     if last is not None:
-        ranked = ranked.where(F.col("__local") <= last)
-    rank = F.col("__local") + F.col("__after")
-    out = columns + [rank.cast("bigint").alias("rank_from_end")]
+        if series_rows:
+            raise ValueError("series_rows needs the whole series")
+        # One piece and ``last`` more rows of a large series are left.
+        late = _late_rows(panel, layout, last)
+        ranked = late.withColumn(_LOCAL, F.row_number().over(Window.partitionBy(ID).orderBy(*order)))
+        return ranked.where(F.col(_LOCAL) <= last).select(
+            *columns, F.col(_LOCAL).cast("bigint").alias("rank_from_end")
+        )
+
+    if layout.large:
+        cut, keys = _with_piece(panel, layout.large), [ID, _PIECE]
+    else:
+        cut, keys = panel.withColumn(_AFTER, F.lit(0)), [ID]
+    window = Window.partitionBy(*keys)
+    rank = F.row_number().over(window.orderBy(*order)) + F.col(_AFTER)
+    out = [*columns, rank.cast("bigint").alias("rank_from_end")]
     if series_rows:
         own = F.count(F.lit(1)).over(window)
-        out.append(F.coalesce(F.col(_ROWS), own).alias("series_rows"))
-    ranked = ranked.select(*out)
-    return ranked if last is None else ranked.where(F.col("rank_from_end") <= last)
+        if layout.large:
+            known = _table(panel, {"__rows": T.LongType()}, [(s.unique_id, s.rows) for s in layout.large])
+            cut = cut.join(known, ID, "left")
+            own = F.coalesce(F.col("__rows"), own)
+        out.append(own.alias("series_rows"))
+    return cut.select(*out)
+
+
+def _late_rows(panel: DataFrame, layout: SeriesLayout, last: int) -> DataFrame:
+    """Drop rows of large series before the latest cut point that still leaves ``last`` rows."""
+    since = []
+    for series in layout.large:
+        enough = [c for c, b in zip(series.cuts, series.before[1:]) if series.rows - b >= last]
+        if enough:
+            since.append((series.unique_id, enough[-1]))
+    if not since:
+        return panel
+    starts = _table(panel, {"__since": panel.schema[TS].dataType}, since)
+    return (
+        panel.join(starts, ID, "left")
+        .where(F.col("__since").isNull() | (F.col(TS) >= F.col("__since")))
+        .drop("__since")
+    )
 
 
 def training_runs(
@@ -174,24 +242,78 @@ def training_runs(
 
     Returns the frame and its grouping keys.  Inside a run, ordered by
     ``rank_from_end``, every ``width`` neighbouring rows form one window, and each
-    window of a series lies in exactly one run.  A small series is one run.  A
-    large one is cut into runs of ``limit`` rows, and the ``width - 1`` rows a run
-    needs from its neighbour are copied to it.  ``first_of_run`` marks run starts.
+    window of a series lies in exactly one run.  A small series is one run.  Of a
+    large one each piece is a run, together with the last ``width - 1`` rows of the
+    piece before it, which are copied.  ``first_of_run`` marks run starts.
     """
     layout = layout or measure_series(panel)
-    ranked = with_rank_from_end(panel.select(ID, TS, Y, *carry), layout)
-    ranked = ranked.where(F.col("rank_from_end") > hold_out)
-    if layout.large is None:
-        first = F.col("rank_from_end") == hold_out + 1
-        return ranked.withColumn("first_of_run", first), [ID]
-
-    size = max(layout.limit, width)
-    at = F.col("rank_from_end") - (hold_out + 1)
-    low = F.greatest(F.lit(0), F.floor((at - (width - 1)) / size)).cast("int")
-    high = F.floor(at / size).cast("int")
-    runs = (
-        ranked.withColumn("run", F.explode(F.sequence(low, high)))
-        .withColumn("first_of_run", at == F.col("run").cast("bigint") * size)
-        .repartition(ID, "run")
+    rows = panel.select(ID, TS, Y, *carry)
+    large = [s.without_pieces_below(width) for s in layout.large]
+    if not _most_cuts(large):
+        ranked = with_rank_from_end(rows, layout).where(F.col("rank_from_end") > hold_out)
+        return ranked.withColumn("first_of_run", F.col("rank_from_end") == hold_out + 1), [ID]
+
+    since = _overlap_starts(rows, large, width - 1)
+    own = {s.unique_id: [b - a for a, b in zip(s.before, [*s.before[1:], s.rows])] for s in large}
+    stamps, counts = T.ArrayType(panel.schema[TS].dataType), T.ArrayType(T.LongType())
+    table = _table(
+        panel, {"__cuts": stamps, "__since": stamps, "__own": counts, "__afters": counts},
+        [
+            (s.unique_id, s.cuts, since[s.unique_id], own[s.unique_id],
+             [s.rows - b for b in [*s.before[1:], s.rows]])
+            for s in large
+        ],
+    )
+    piece = F.when(
+        F.col("__cuts").isNotNull(), _piece_of(F.col(TS), F.col("__cuts"), _most_cuts(large))
+    ).otherwise(0)
+    # A row late in its piece also belongs to the run of the next piece.
+    here = F.col("__here")
+    runs = F.when(F.get("__since", here) <= F.col(TS), F.array(here, here + 1)).otherwise(F.array(here))
+    placed = (
+        rows.join(table, ID, "left")
+        .withColumn("__here", piece)
+        .withColumn("run", F.explode(runs))
+        .withColumn(_AFTER, F.coalesce(F.get("__afters", F.col("run")), F.lit(0).cast("bigint")))
+        .withColumn("__most", F.get("__own", F.col("run")) + (width - 1))
+        .drop("__cuts", "__since", "__own", "__afters", "__here")
+    )
+    # The copied rows are older, so counting on from the run's own rows ranks them too.
+    window = Window.partitionBy(ID, "run").orderBy(*time_order(rows, True))
+    rank = F.col(_LOCAL) + F.col(_AFTER)
+    ranked = (
+        placed.withColumn(_LOCAL, F.row_number().over(window))
+        .where(F.col("__most").isNull() | (F.col(_LOCAL) <= F.col("__most")))
+        .withColumn("rank_from_end", rank)
+        .where(F.col("rank_from_end") > hold_out)
+        .withColumn(
+            "first_of_run",
+            F.col("rank_from_end") == F.greatest(F.col(_AFTER), F.lit(hold_out)) + 1,
+        )
+        .drop(_LOCAL, _AFTER, "__most")
+    )
+    return ranked, [ID, "run"]
+
+
+def _overlap_starts(rows: DataFrame, large: Sequence[LargeSeries], overlap: int) -> dict:
+    """Per large series and piece: the time of its ``overlap``-th last row.
+
+    One value per cut point.  Every piece but the last gets one.
+    """
+    starts = {s.unique_id: [None] * len(s.cuts) for s in large}
+    if overlap == 0:
+        return {uid: [None] * len(at) for uid, at in starts.items()}
+    placed = rows.select(*KEYS).join(_cut_table(rows, [(s.unique_id, s.cuts) for s in large]), ID)
+    placed = placed.withColumn(_PIECE, _piece_of(F.col(TS), F.col("cuts"), _most_cuts(large)))
+    newest = Window.partitionBy(ID, _PIECE).orderBy(F.col(TS).desc())
+    marks = (
+        placed.where(F.col(_PIECE) < F.size("cuts"))
+        .select(ID, _PIECE, TS)
+        .withColumn(_LOCAL, F.row_number().over(newest))
+        .where(F.col(_LOCAL) <= overlap)
+        .groupBy(ID, _PIECE)
+        .agg(F.min(TS).alias("since"))
     )
-    return runs, [ID, "run"]
+    for row in marks.collect():
+        starts[row[ID]][row[_PIECE]] = row["since"]
+    return starts

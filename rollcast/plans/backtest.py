@@ -21,7 +21,7 @@ from rollcast.operators.linear import LinearSpec, params_frame, solve, window_mo
 from rollcast.operators.panel import profile_series
 from rollcast.operators.score import leaderboard, score
 from rollcast.operators.selection import missing_pairs
-from rollcast.operators.series import ID, measure_series
+from rollcast.operators.series import ID, TS, Y, measure_series
 from rollcast.operators.windows import (
     DEFAULT_HORIZON,
     DEFAULT_INPUT_SIZE,
@@ -76,7 +76,7 @@ def backtest(
     if len(set(names)) != len(names):
         raise ValueError(f"model names must differ: {names}")
     hold_out = tested_rows(horizon, step or horizon, n_windows, test_size)
-    stored = store(panel)
+    stored = store(panel.select(ID, TS, Y, *used_exogenous(models)))
     layout = measure_series(stored)
     failures: list[tuple[str, str, str, str]] = []
 

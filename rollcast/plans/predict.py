@@ -25,6 +25,7 @@ from rollcast.operators.windows import (
     DEFAULT_PLOT_POINTS,
     inference_frame,
 )
+from rollcast.sources.scratch import store
 
 
 @dataclass(frozen=True)
@@ -81,11 +82,12 @@ def predict_job(
         return Prediction([m.name for m in chosen], None, forecasts, None)
 
     tagged = inference_frame(panel.where(F.col(ID) == unique_id), plot_points=plot_points, **sizes)
-    seen = tagged.where("for_inference").drop("for_inference", "for_plot")
-    if seen.isEmpty():
+    # The charted rows and the forecasts are small and read several times below.
+    shown = store(tagged.where("for_plot").drop("for_inference", "for_plot"))
+    if shown.isEmpty():
         raise ValueError(f"no rows for series {unique_id}")
-    forecasts = run_inference(seen, chosen, freq=freq, **sizes)
-    shown = tagged.where("for_plot")
+    seen = tagged.where("for_inference").drop("for_inference", "for_plot")
+    forecasts = store(run_inference(seen, chosen, freq=freq, **sizes))
     traces = comparison_traces(
         shown, forecasts, unique_id, metrics=metrics, max_mae=max_mae, top_n=top_n
     )

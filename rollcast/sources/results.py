@@ -21,6 +21,7 @@ from rollcast.operators.score import (
     wide_to_long,
 )
 from rollcast.operators.series import ID, TS, Y
+from rollcast.sources.scratch import shared_folder
 
 # File name prefixes and the suffix of exogenous model variants.
 CV_PREFIX = "cv_results_"
@@ -114,8 +115,16 @@ def read_metrics(spark: SparkSession, path: str, id_type: str = "bigint") -> Dat
 
 
 def read_summary(spark: SparkSession, path: str) -> DataFrame:
-    """A leaderboard CSV in any of the three layouts as ``model, metric, mean, std``."""
-    board = spark.read.csv(path, header=True)
+    """A leaderboard CSV in any of the three layouts as ``model, metric, mean, std``.
+
+    A missing file gives no rows.
+    """
+    try:
+        board = spark.read.csv(path, header=True)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], "model string, metric string, mean double, std double")
+        raise
     columns = board.columns
     if "metric" in columns:
         models = [c.removesuffix("_mean") for c in columns if c.endswith("_mean")]
@@ -172,10 +181,17 @@ def write_predictions(predictions: DataFrame, path: str) -> None:
 def export_by_model(
     frame: DataFrame, folder: str, prefix: str, models: Sequence[str] | None = None
 ) -> None:
-    """One CSV per model, ``<prefix><model>.csv``, its forecasts in a column named like the model."""
+    """One CSV per model, ``<prefix><model>.csv``, its forecasts in a column named like the model.
+
+    The frame is computed once, into a table by model; each CSV then reads its own part.
+    """
+    spark = frame.sparkSession
     kept = [c for c in (ID, TS, "cutoff", Y) if c in frame.columns]
-    for model in models if models is not None else model_names(frame):
-        rows = frame.where(F.col("model") == model)
+    by_model = shared_folder(spark)
+    write_table(frame.select("model", *kept, "y_hat"), by_model)
+    stored = spark.read.schema(frame.select(*kept, "y_hat", "model").schema).parquet(by_model)
+    for model in models if models is not None else model_names(stored):
+        rows = stored.where(F.col("model") == model)
         writer = rows.select(*kept, F.col("y_hat").alias(model)).write.mode("overwrite")
         writer.option("timestampNTZFormat", TIME_FORMAT).csv(
             f"{folder}/{prefix}{model}.csv", header=True

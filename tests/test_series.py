@@ -3,7 +3,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rollcast.operators.series import measure_series, training_runs, with_rank_from_end
+from rollcast.operators.series import (
+    LargeSeries,
+    measure_series,
+    training_runs,
+    with_rank_from_end,
+)
 from rollcast.operators.windows import (
     cv_folds,
     holdout_split,
@@ -37,24 +42,24 @@ def whole(skewed):
 
 
 def test_small_panels_are_not_cut(whole, skewed):
-    assert whole.large is None
+    assert whole.large == ()
     assert whole.rows == skewed.count()
 
 
 def test_pieces_are_bounded_and_cover_the_series(cut, skewed):
-    large = {r["unique_id"]: r for r in cut.large.collect()}
+    large = {s.unique_id: s for s in cut.large}
     counts = {r["unique_id"]: r["count"] for r in skewed.groupBy("unique_id").count().collect()}
     assert set(large) == {uid for uid, n in counts.items() if n > cut.limit}
-    for uid, row in large.items():
-        starts = [*row["__before"], row["__rows"]]
-        assert row["__rows"] == counts[uid]
+    for uid, series in large.items():
+        starts = [*series.before, series.rows]
+        assert series.rows == counts[uid]
         assert starts[0] == 0 and starts == sorted(starts)
         assert max(b - a for a, b in zip(starts, starts[1:])) <= cut.limit
 
 
 def test_number_of_cut_points_is_bounded(skewed):
     layout = measure_series(skewed, parts=16, min_rows=1)
-    points = sum(len(r["__cuts"]) for r in layout.large.collect())
+    points = sum(len(s.cuts) for s in layout.large)
     assert layout.limit == -(-layout.rows // 16)
     assert points <= 3 * 16
 
@@ -90,12 +95,21 @@ def test_every_window_lies_in_exactly_one_run(skewed, cut):
     collected = per_run.collect()
     assert all(r["starts"] == 1 and r["n"] <= cut.limit + 9 for r in collected)
     windows: dict = {}
+    assert len(collected) > 30
     for r in collected:
         windows[r["unique_id"]] = windows.get(r["unique_id"], 0) + max(0, r["n"] - 9)
     counts = {r["unique_id"]: r["count"] for r in skewed.groupBy("unique_id").count().collect()}
     assert {u: n for u, n in windows.items() if n} == {u: n - 12 for u, n in counts.items() if n > 12}
 
 
+def test_small_pieces_are_joined():
+    series = LargeSeries(1, ["a", "b", "c", "d"], [0, 3, 50, 52, 90], 93)
+    joined = series.without_pieces_below(10)
+    assert joined.cuts == ["c"] and joined.before == [0, 52]
+    assert series.without_pieces_below(1) == series
+    assert series.without_pieces_below(60).cuts == []
+
+
 def test_results_do_not_depend_on_partitions(spark, skewed, cut):
     def run():
         return rows(lag_windows(skewed, input_size=6, horizon=2, layout=cut))
@@ -123,5 +137,5 @@ def test_series_too_large_for_parts(spark):
 def test_text_ids(spark):
     panel = make_panel(spark, {"a": range(100), "b": range(5)}, "unique_id string, ds timestamp_ntz, y double")
     layout = measure_series(panel, min_rows=10)
-    assert [r[0] for r in layout.large.collect()] == ["a"]
+    assert [s.unique_id for s in layout.large] == ["a"]
     assert rows(last_n(panel, 2, layout), "unique_id", "y") == [("a", 98.0), ("a", 99.0), ("b", 3.0), ("b", 4.0)]

@@ -89,6 +89,10 @@ def test_summary_is_read_from_any_layout(spark, metrics, tmp_path, layout):
     assert with_std == (0 if layout == "means" else 1)
 
 
+def test_missing_summary_gives_no_rows(spark, tmp_path):
+    assert read_summary(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_shared_folder_comes_from_the_session(spark):
     class Session:
         conf = {"spark.checkpoint.dir": "hdfs:///shared/"}
