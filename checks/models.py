@@ -273,7 +273,7 @@ MEDIAN_CV = """middles AS (
   SELECT a.unique_id, f.fold, CASE WHEN max(a.y) <= 250 THEN median(a.y) END AS mid
   FROM ranked a JOIN fold_list f ON a.r > f.newest + 12 AND a.r <= f.newest + 60
   GROUP BY a.unique_id, f.fold),
-both AS (
+all_cv AS (
   SELECT model, unique_id, y, y_hat FROM cv
   UNION ALL
   SELECT 'Median', d.unique_id, d.y, m.mid
@@ -281,7 +281,7 @@ both AS (
 
 
 @query(
-    with_(*SUPPLIER_CV, MEDIAN_CV, scores("fraction", "both"), SUMMARY)
+    with_(*SUPPLIER_CV, MEDIAN_CV, scores("fraction", "all_cv"), SUMMARY)
     + f"SELECT model, metric, {r6('mean', 'mean')}, {r6('std', 'std')}, n_series FROM summary"
 )
 def backtest_leaderboard(spark, folder):
