@@ -26,7 +26,7 @@ from rollcast.operators.forecast import LocalForecaster, Naive, WindowAverage
 from rollcast.operators.linear import DLinear, LinearExog, NLinear
 from rollcast.operators.windows import holdout_split
 from rollcast.plans.backtest import backtest as run_backtest
-from rollcast.sources.panels import events_panel, orders_panel, supplier_panel
+from rollcast.sources.panels import events_panel, orders_panel, supplier_layout, supplier_panel
 from rollcast.sources.results import load_params, save_params
 from rollcast.sources.scratch import shared_folder
 
@@ -44,7 +44,10 @@ def event_cv(spark, folder):
 
 
 def supplier_cv(spark, folder):
-    return forecast.cross_validate(supplier_panel(spark, folder), BASELINES, **SUPPLIER_SHAPE)
+    layout = supplier_layout(spark, folder)
+    return forecast.cross_validate(
+        supplier_panel(spark, folder), BASELINES, layout=layout, **SUPPLIER_SHAPE
+    )
 
 
 @query(with_(*SUPPLIER_CV) + CV_COLUMNS)
@@ -131,7 +134,10 @@ def cross_validate_linear_exog(spark, folder):
 def cross_validate_all_models(spark, folder):
     """Default window sizes; the fits are compared with a direct solution in the tests."""
     models = [*BASELINES, NLinear(), DLinear()]
-    return forecast.cross_validate(supplier_panel(spark, folder), models, **SUPPLIER_SHAPE)
+    layout = supplier_layout(spark, folder)
+    return forecast.cross_validate(
+        supplier_panel(spark, folder), models, layout=layout, **SUPPLIER_SHAPE
+    )
 
 
 def middle(lags, horizon):
@@ -219,7 +225,8 @@ def run_inference(spark, folder):
 )
 def predict(spark, folder):
     return forecast.predict(
-        supplier_panel(spark, folder), WindowAverage(), horizon=12, input_size=48, freq=timedelta(days=1)
+        supplier_panel(spark, folder), WindowAverage(), horizon=12, input_size=48,
+        freq=timedelta(days=1), layout=supplier_layout(spark, folder),
     )
 
 

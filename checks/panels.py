@@ -12,7 +12,7 @@ from rollcast.functions import clean_numeric
 from rollcast.operators import panel as panels
 from rollcast.operators import windows
 from rollcast.operators.series import measure_series
-from rollcast.sources.panels import event_readings, events_panel, orders_panel, supplier_panel, table
+from rollcast.sources.panels import event_readings, events_panel, orders_panel, supplier_layout, supplier_panel, table
 from rollcast.sources.readings import read_readings as read_csv_readings
 from rollcast.sources.scratch import shared_folder
 
@@ -141,7 +141,10 @@ FOLD_COLUMNS = "SELECT unique_id, fold, cutoff, step, ds, " + r6("y", "y") + " F
 
 @query(with_(SUPPLIERS, RANKED, folds(12, 3, input_size=48)) + FOLD_COLUMNS)
 def cv_folds(spark, folder):
-    return windows.cv_folds(supplier_panel(spark, folder), horizon=12, n_windows=3, input_size=48)
+    return windows.cv_folds(
+        supplier_panel(spark, folder), horizon=12, n_windows=3, input_size=48,
+        layout=supplier_layout(spark, folder),
+    )
 
 
 @query(with_(EVENTS, RANKED, folds(6, 4, 2)) + FOLD_COLUMNS)
@@ -191,7 +194,8 @@ def lag_columns(frame):
 
 @query(lag_sql(SUPPLIERS, 48, 12))
 def lag_windows(spark, folder):
-    return lag_columns(windows.lag_windows(supplier_panel(spark, folder), input_size=48, horizon=12))
+    panel, layout = supplier_panel(spark, folder), supplier_layout(spark, folder)
+    return lag_columns(windows.lag_windows(panel, input_size=48, horizon=12, layout=layout))
 
 
 @query(lag_sql(EVENTS, 24, 6, 18))

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
@@ -61,9 +62,9 @@ class LargeSeries:
 
 @dataclass(frozen=True)
 class SeriesLayout:
-    """What ``measure_series`` found: totals, and the cut points of large series.
+    """Totals and the cut points of large series; none when every series fits one task.
 
-    ``large`` is empty when every series fits one task.
+    ``largest`` is the row count of the longest series, or an upper bound of it.
     """
 
     rows: int
@@ -143,6 +144,18 @@ def measure_series(panel: DataFrame, *, parts: int = PARTS, min_rows: int = MIN_
     return SeriesLayout(rows, largest, limit, tuple(large))
 
 
+def grid_layout(
+    first: datetime, last: datetime, freq: timedelta, *, min_rows: int = MIN_ROWS
+) -> SeriesLayout | None:
+    """Layout of a panel with one row at most per series and ``freq``, without counting.
+
+    Such a series has no more rows than there are grid points from ``first`` to
+    ``last``.  None when that does not prove the series small enough.
+    """
+    points = (last - first) // freq + 1
+    return SeriesLayout(0, points, min_rows) if points <= min_rows else None
+
+
 def _pieces(rows: int, limit: int) -> int:
     """Pieces for a series: the next power of two above ``rows / limit``."""
     return 1 << (-(-rows // limit) - 1).bit_length()

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcast.operators.panel import EVENT_COLUMN, SERIES_COLUMN, TIME_COLUMN, VALUE_COLUMN
-from rollcast.operators.series import ID, TS, Y
+from rollcast.operators.series import ID, TS, Y, SeriesLayout, grid_layout, measure_series
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -51,3 +53,12 @@ def supplier_panel(spark: SparkSession, folder: str) -> DataFrame:
         .groupBy(F.col("l_suppkey").alias(ID), day.alias(TS))
         .agg(F.sum("l_quantity").alias(Y))
     )
+
+
+def supplier_layout(spark: SparkSession, folder: str) -> SeriesLayout:
+    """Layout of ``supplier_panel``: one row per day at most, so the date range bounds a series."""
+    span = table(spark, folder, "lineitem").agg(
+        F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last")
+    ).first()
+    small = span["first"] and grid_layout(span["first"], span["last"], timedelta(days=1))
+    return small or measure_series(supplier_panel(spark, folder))

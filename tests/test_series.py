@@ -1,10 +1,12 @@
 import random
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from rollcast.operators.series import (
     LargeSeries,
+    grid_layout,
     measure_series,
     training_runs,
     with_rank_from_end,
@@ -129,6 +131,14 @@ def test_last_rows_are_limited_before_the_shuffle(spark):
     assert "row_number(), 3, Partial" in plan
 
 
+def test_a_grid_bounds_the_series():
+    day = timedelta(days=1)
+    layout = grid_layout(at(0), at(0) + 9 * day, day)
+    assert layout.largest == 10 and layout.large == ()
+    assert grid_layout(at(0), at(0) + 9 * day, day, min_rows=9) is None
+    assert grid_layout(at(0), at(0) + 9 * day, timedelta(microseconds=1)) is None
+
+
 def test_series_too_large_for_parts(spark):
     with pytest.raises(ValueError):
         measure_series(make_panel(spark, {1: [1]}), parts=10_000)
