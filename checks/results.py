@@ -344,7 +344,8 @@ def read_summary(spark, folder):
 
 
 ACTUAL = (
-    "SELECT unique_id, ds, 'Actual' AS trace, {y}, strftime(ds, '%Y-%m-%d %H:%M:%S') AS tick "
+    "SELECT unique_id, ds, 'Actual' AS trace, {y}, strftime(ds, '%Y-%m-%d %H:%M:%S') || "
+    "CASE WHEN microsecond(ds) % 1000000 <> 0 THEN '.' || strftime(ds, '%f') ELSE '' END AS tick "
     "FROM {source} WHERE {where}"
 )
 FORECAST = "SELECT unique_id, ds, {trace} AS trace, {y}, NULL AS tick FROM {source} WHERE {where}"

@@ -59,9 +59,13 @@ def wide_to_long(
             f.name for f in wide.schema.fields
             if f.name not in keys and isinstance(f.dataType, T.NumericType)
         ]
-    doubles = [F.col(f"`{c}`").cast("double").alias(c) for c in columns]
-    frame = wide.select(*keys, *doubles)
-    return frame.unpivot(list(keys), [F.col(f"`{c}`") for c in columns], name, value)
+    if not columns:
+        raise ValueError("no value columns")
+    # Exploding an array keeps the partitioning of the frame, which unpivot does not.
+    cells = [
+        F.struct(F.lit(c).alias(name), F.col(f"`{c}`").cast("double").alias(value)) for c in columns
+    ]
+    return wide.select(*keys, F.inline(F.array(*cells)))
 
 
 def metrics_wide(metrics: DataFrame, models: Sequence[str] | None = None) -> DataFrame:
@@ -69,14 +73,18 @@ def metrics_wide(metrics: DataFrame, models: Sequence[str] | None = None) -> Dat
 
     A single aggregation instead of a chain of full outer joins.
     """
-    names = list(models) if models is not None else model_names(metrics)
-    return metrics.groupBy(ID, "metric").pivot("model", names).agg(F.first("value"))
+    return metrics.groupBy(ID, "metric").agg(*_column_per_model(metrics, models, "value"))
 
 
 def predictions_wide(predictions: DataFrame, models: Sequence[str] | None = None) -> DataFrame:
     """One column per model and one row per ``(unique_id, ds)``; gaps are NULL."""
-    names = list(models) if models is not None else model_names(predictions)
-    return predictions.groupBy(ID, "ds").pivot("model", names).agg(F.first("y_hat"))
+    return predictions.groupBy(ID, "ds").agg(*_column_per_model(predictions, models, "y_hat"))
+
+
+def _column_per_model(frame: DataFrame, models: Sequence[str] | None, value: str) -> list[Column]:
+    """One conditional aggregate per model; a pivot would aggregate and shuffle twice."""
+    names = list(models) if models is not None else model_names(frame)
+    return [F.max(F.when(F.col("model") == name, F.col(value))).alias(name) for name in names]
 
 
 def leaderboard(metrics: DataFrame) -> DataFrame:
@@ -112,11 +120,12 @@ def leaderboard_means(summary: DataFrame, metrics: Sequence[str] = METRICS) -> D
 def leaderboard_by_metric(summary: DataFrame, models: Sequence[str] | None = None) -> DataFrame:
     """One row per metric with ``<model>_mean`` and ``<model>_std`` columns."""
     names = list(models) if models is not None else model_names(summary)
-    return (
-        summary.groupBy("metric")
-        .pivot("model", names)
-        .agg(F.max("mean").alias("mean"), F.max("std").alias("std"))
-    )
+    columns = [
+        F.max(F.when(F.col("model") == name, F.col(part))).alias(f"{name}_{part}")
+        for name in names
+        for part in ("mean", "std")
+    ]
+    return summary.groupBy("metric").agg(*columns)
 
 
 def reshape_summary(by_metric: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
@@ -125,7 +134,8 @@ def reshape_summary(by_metric: DataFrame, metrics: Sequence[str] = METRICS) -> D
     long = wide_to_long(by_metric, ["metric"], means).withColumn(
         "model", F.regexp_replace("model", "_mean$", "")
     )
-    return _best_first(long.groupBy("model").pivot("metric", list(metrics)).agg(F.first("value")), "mae")
+    columns = [_only(metric, "value").alias(metric) for metric in metrics]
+    return _best_first(long.groupBy("model").agg(*columns), "mae")
 
 
 def model_ranking(by_metric: DataFrame, metric: str = "mae") -> DataFrame:

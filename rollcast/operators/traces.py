@@ -4,28 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcast.operators.score import model_names
 from rollcast.operators.selection import drop_empty_models, select_models
 from rollcast.operators.series import ID, TS, Y
 
-# Trace names, the tick text format, and default numbers of panels.
+# Trace names and default numbers of panels.
 ACTUAL, PREDICTED = "Actual", "Predicted"
-TICK_FORMAT = "yyyy-MM-dd HH:mm:ss"
 DEFAULT_SERIES = 3
 DEFAULT_PANELS = 5
 
 
+def _tick(ds: Column) -> Column:
+    """Label of a time point: seconds, and six digits of a fraction if there is one."""
+    text = ds.cast("string")
+    return F.when(F.contains(text, F.lit(".")), F.rpad(text, 26, "0")).otherwise(text)
+
+
 def _actual(panel: DataFrame) -> DataFrame:
-    tick = F.date_format(F.col(TS), TICK_FORMAT)
+    tick = _tick(F.col(TS))
     return panel.select(
         ID, TS, F.lit(ACTUAL).alias("trace"), F.col(Y).alias("value"), tick.alias("tick")
     )
 
 
-def _forecast(predictions: DataFrame, trace) -> DataFrame:
+def _forecast(predictions: DataFrame, trace: Column) -> DataFrame:
     """Forecast points; tick labels come from the actual rows only."""
     return predictions.select(
         ID, TS, trace.alias("trace"), F.col("y_hat").alias("value"),

@@ -19,7 +19,7 @@ def event_readings(spark: SparkSession, folder: str) -> DataFrame:
     """The events as raw text readings; the JSON number plays the exogenous column."""
     return table(spark, folder, "events").select(
         F.col("event_type").alias(EVENT_COLUMN),
-        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(TIME_COLUMN),
+        F.replace(F.col("ts").cast("string"), F.lit(" "), F.lit("T")).alias(TIME_COLUMN),
         F.col("value").cast("string").alias(VALUE_COLUMN),
         F.get_json_object("props", "$.k").alias("Carb Value (grams)"),
         F.col("user_id").cast("string").alias(SERIES_COLUMN),

@@ -65,8 +65,9 @@ def test_no_shuffle_is_added_after_series_are_grouped(spark):
 
     panel = make_panel(spark, {1: range(30), 2: range(30)})
     cv = cross_validate(panel, [Naive()], horizon=2, input_size=4, layout=measure_series(panel))
-    plan = score(cv)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1
+    for frame in (score(cv), metrics_wide(score(cv), ["Naive"]), predictions_wide(cv, ["Naive"])):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1
 
 
 @pytest.fixture
