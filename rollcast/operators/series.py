@@ -30,6 +30,9 @@ KEYS = (ID, TS)
 PARTS = 4096
 MIN_ROWS = 1_000_000
 
+# Children per node of the interval lookup in ``_place``.
+FANOUT = 16
+
 _PIECE, _LOCAL, _AFTER = "__piece", "__local", "__after"
 
 
@@ -45,6 +48,16 @@ class LargeSeries:
     before: list[int]
     rows: int
 
+    def pieces(self) -> list[tuple]:
+        """``(from, to, own rows, rows in later pieces)``; open ends are None."""
+        ends = [*self.before[1:], self.rows]
+        return [
+            (start, stop, end - before, self.rows - end)
+            for start, stop, before, end in zip(
+                [None, *self.cuts], [*self.cuts, None], self.before, ends
+            )
+        ]
+
     def without_pieces_below(self, size: int) -> LargeSeries:
         """Join pieces to their older neighbour until each has ``size`` rows or more."""
         cuts, before = list(self.cuts), list(self.before)
@@ -73,24 +86,6 @@ class SeriesLayout:
     large: tuple[LargeSeries, ...] = ()
 
 
-def _piece_of(ds: Column, cuts: Column, most: int) -> Column:
-    """Number of cut points (``most`` or fewer) at or before ``ds``, by binary search."""
-    if most == 0:
-        return F.lit(0)
-    strides = F.array(*[F.lit(1 << bit) for bit in reversed(range(most.bit_length()))])
-    return F.aggregate(
-        strides,
-        F.lit(0),
-        lambda at, stride: F.when(
-            (at + stride <= F.size(cuts)) & (F.get(cuts, at + stride - 1) <= ds), at + stride
-        ).otherwise(at),
-    )
-
-
-def _most_cuts(large: Sequence[LargeSeries]) -> int:
-    return max((len(s.cuts) for s in large), default=0)
-
-
 def _table(panel: DataFrame, columns: dict[str, T.DataType], values: list[tuple]) -> DataFrame:
     """A small local table keyed by series; its size is bounded by the layout."""
     fields = [T.StructField(ID, panel.schema[ID].dataType)]
@@ -98,6 +93,42 @@ def _table(panel: DataFrame, columns: dict[str, T.DataType], values: list[tuple]
     return F.broadcast(panel.sparkSession.createDataFrame(values, T.StructType(fields)))
 
 
+def _place(panel: DataFrame, intervals: dict, *, how: str = "left") -> DataFrame:
+    """Add the piece a row lies in, and what is known of it: ``__own``, ``__after``.
+
+    ``intervals`` has for each large series a list of ``(from, to, own, after)``.  A row
+    in the overlap of two intervals is returned for both; rows of other series get
+    NULLs.  The lookup descends a tree of broadcast interval joins, so a row is
+    compared with at most ``FANOUT`` intervals on each of up to three levels.
+    """
+    stamp = panel.schema[TS].dataType
+    sizes = [1]
+    while max(map(len, intervals.values())) > FANOUT * sizes[-1]:
+        sizes.append(FANOUT * sizes[-1])
+    ds, placed, parent = F.col(TS), panel, None
+    for size in reversed(sizes):
+        rows = []
+        for uid, pieces in intervals.items():
+            for at, first in enumerate(range(0, len(pieces), size)):
+                members = pieces[first : first + size]
+                rows.append((uid, at // FANOUT, at, members[0][0], members[-1][1], *members[0][2:]))
+        node = {"__up": T.IntegerType(), _PIECE: T.IntegerType(), "__from": stamp, "__to": stamp,
+                "__own": T.LongType(), _AFTER: T.LongType()}
+        table = _table(panel, node, rows).withColumnRenamed(ID, "__id")
+        after = F.col("__from").isNull() | (ds >= F.col("__from"))
+        before = F.col("__to").isNull() | (ds < F.col("__to")) | ds.isNull()
+        match = (F.col(ID) == F.col("__id")) & after & before
+        if parent is not None:
+            match = match & (F.col(parent) == F.col("__up"))
+        placed = placed.join(table, match, how).drop("__id", "__up", "__from", "__to")
+        if parent is not None:
+            placed = placed.drop(parent)
+        if size > 1:
+            parent = f"__level{size}"
+            placed = placed.withColumnRenamed(_PIECE, parent).drop("__own", _AFTER)
+    return placed
+
+
 def measure_series(panel: DataFrame, *, parts: int = PARTS, min_rows: int = MIN_ROWS) -> SeriesLayout:
     """Count the series of a panel and cut those too large for one task."""
     if not 1 <= parts <= PARTS:
@@ -127,15 +158,13 @@ def measure_series(panel: DataFrame, *, parts: int = PARTS, min_rows: int = MIN_
         .collect()
     )
     cuts = {r[ID]: r["cuts"] for r in found}
-    in_piece: dict = {uid: [0] * (len(points) + 1) for uid, points in cuts.items()}
-    piece = _piece_of(F.col(TS), F.col("cuts"), max(map(len, cuts.values())))
-    for row in (
-        panel.select(ID, TS)
-        .join(_cut_table(panel, cuts.items()), ID)
-        .groupBy(ID, piece.alias(_PIECE))
-        .count()
-        .collect()
-    ):
+    intervals = {
+        uid: [(a, b, None, None) for a, b in zip([None, *points], [*points, None])]
+        for uid, points in cuts.items()
+    }
+    in_piece = {uid: [0] * len(pieces) for uid, pieces in intervals.items()}
+    placed = _place(panel.select(ID, TS), intervals, how="inner")
+    for row in placed.groupBy(ID, _PIECE).count().collect():
         in_piece[row[ID]][row[_PIECE]] = row["count"]
     large = []
     for uid, counts in in_piece.items():
@@ -161,36 +190,12 @@ def _pieces(rows: int, limit: int) -> int:
     return 1 << (-(-rows // limit) - 1).bit_length()
 
 
-def _cut_table(panel: DataFrame, cuts) -> DataFrame:
-    stamps = T.ArrayType(panel.schema[TS].dataType)
-    return _table(panel, {"cuts": stamps}, [tuple(pair) for pair in cuts])
-
-
 def time_order(panel: DataFrame, descending: bool) -> list[Column]:
     """Time order; equal timestamps (a malformed panel) are ordered by the target."""
     names = [TS] + ([Y] if Y in panel.columns else [])
     return [F.col(n).desc() if descending else F.col(n).asc() for n in names]
 
 
-def _with_piece(panel: DataFrame, large: Sequence[LargeSeries]) -> DataFrame:
-    """Add the piece of each row and the number of rows in later pieces (0 for whole series)."""
-    counts = T.ArrayType(T.LongType())
-    table = _table(
-        panel,
-        {"__cuts": T.ArrayType(panel.schema[TS].dataType), "__afters": counts},
-        [(s.unique_id, s.cuts, [s.rows - b for b in [*s.before[1:], s.rows]]) for s in large],
-    )
-    piece = F.when(
-        F.col("__cuts").isNotNull(), _piece_of(F.col(TS), F.col("__cuts"), _most_cuts(large))
-    ).otherwise(0)
-    return (
-        panel.join(table, ID, "left")
-        .withColumn(_PIECE, piece)
-        .withColumn(_AFTER, F.coalesce(F.get("__afters", F.col(_PIECE)), F.lit(0).cast("bigint")))
-        .drop("__cuts", "__afters")
-    )
-
-
 def with_rank_from_end(
     panel: DataFrame, layout: SeriesLayout | None = None, *, last: int | None = None,
     series_rows: bool = False,
@@ -214,11 +219,13 @@ def with_rank_from_end(
         )
 
     if layout.large:
-        cut, keys = _with_piece(panel, layout.large), [ID, _PIECE]
+        cut = _place(panel, {s.unique_id: s.pieces() for s in layout.large}).drop("__own")
+        window = Window.partitionBy(ID, _PIECE)
+        rank = F.row_number().over(window.orderBy(*order)) + F.coalesce(F.col(_AFTER), F.lit(0))
     else:
-        cut, keys = panel.withColumn(_AFTER, F.lit(0)), [ID]
-    window = Window.partitionBy(*keys)
-    rank = F.row_number().over(window.orderBy(*order)) + F.col(_AFTER)
+        cut = panel
+        window = Window.partitionBy(ID)
+        rank = F.row_number().over(window.orderBy(*order))
     out = [*columns, rank.cast("bigint").alias("rank_from_end")]
     if series_rows:
         own = F.count(F.lit(1)).over(window)
@@ -262,65 +269,48 @@ def training_runs(
     layout = layout or measure_series(panel)
     rows = panel.select(ID, TS, Y, *carry)
     large = [s.without_pieces_below(width) for s in layout.large]
-    if not _most_cuts(large):
+    if not any(s.cuts for s in large):
         ranked = with_rank_from_end(rows, layout).where(F.col("rank_from_end") > hold_out)
         return ranked.withColumn("first_of_run", F.col("rank_from_end") == hold_out + 1), [ID]
 
+    # The interval of a run reaches back into the piece before it, so late rows match both.
     since = _overlap_starts(rows, large, width - 1)
-    own = {s.unique_id: [b - a for a, b in zip(s.before, [*s.before[1:], s.rows])] for s in large}
-    stamps, counts = T.ArrayType(panel.schema[TS].dataType), T.ArrayType(T.LongType())
-    table = _table(
-        panel, {"__cuts": stamps, "__since": stamps, "__own": counts, "__afters": counts},
-        [
-            (s.unique_id, s.cuts, since[s.unique_id], own[s.unique_id],
-             [s.rows - b for b in [*s.before[1:], s.rows]])
-            for s in large
-        ],
-    )
-    piece = F.when(
-        F.col("__cuts").isNotNull(), _piece_of(F.col(TS), F.col("__cuts"), _most_cuts(large))
-    ).otherwise(0)
-    # A row late in its piece also belongs to the run of the next piece.
-    here = F.col("__here")
-    runs = F.when(F.get("__since", here) <= F.col(TS), F.array(here, here + 1)).otherwise(F.array(here))
-    placed = (
-        rows.join(table, ID, "left")
-        .withColumn("__here", piece)
-        .withColumn("run", F.explode(runs))
-        .withColumn(_AFTER, F.coalesce(F.get("__afters", F.col("run")), F.lit(0).cast("bigint")))
-        .withColumn("__most", F.get("__own", F.col("run")) + (width - 1))
-        .drop("__cuts", "__since", "__own", "__afters", "__here")
-    )
+    intervals = {
+        s.unique_id: [
+            (back if back is not None else start, stop, own, after)
+            for back, (start, stop, own, after) in zip([None, *since[s.unique_id]], s.pieces())
+        ]
+        for s in large
+    }
     # The copied rows are older, so counting on from the run's own rows ranks them too.
-    window = Window.partitionBy(ID, "run").orderBy(*time_order(rows, True))
-    rank = F.col(_LOCAL) + F.col(_AFTER)
+    window = Window.partitionBy(ID, _PIECE).orderBy(*time_order(rows, True))
+    later = F.coalesce(F.col(_AFTER), F.lit(0))
+    own = F.col("__own")
     ranked = (
-        placed.withColumn(_LOCAL, F.row_number().over(window))
-        .where(F.col("__most").isNull() | (F.col(_LOCAL) <= F.col("__most")))
-        .withColumn("rank_from_end", rank)
+        _place(rows, intervals)
+        .withColumn(_LOCAL, F.row_number().over(window))
+        .where(own.isNull() | (F.col(_LOCAL) <= own + (width - 1)))
+        .withColumn("rank_from_end", F.col(_LOCAL) + later)
         .where(F.col("rank_from_end") > hold_out)
         .withColumn(
-            "first_of_run",
-            F.col("rank_from_end") == F.greatest(F.col(_AFTER), F.lit(hold_out)) + 1,
+            "first_of_run", F.col("rank_from_end") == F.greatest(later, F.lit(hold_out)) + 1
         )
-        .drop(_LOCAL, _AFTER, "__most")
+        .drop(_LOCAL, _AFTER, "__own")
+        .withColumnRenamed(_PIECE, "run")
     )
     return ranked, [ID, "run"]
 
 
 def _overlap_starts(rows: DataFrame, large: Sequence[LargeSeries], overlap: int) -> dict:
-    """Per large series and piece: the time of its ``overlap``-th last row.
-
-    One value per cut point.  Every piece but the last gets one.
-    """
+    """Per large series, for every piece but the last: the time of its ``overlap``-th last row."""
     starts = {s.unique_id: [None] * len(s.cuts) for s in large}
     if overlap == 0:
-        return {uid: [None] * len(at) for uid, at in starts.items()}
-    placed = rows.select(*KEYS).join(_cut_table(rows, [(s.unique_id, s.cuts) for s in large]), ID)
-    placed = placed.withColumn(_PIECE, _piece_of(F.col(TS), F.col("cuts"), _most_cuts(large)))
+        return starts
+    # Only pieces with a successor are needed, so the last interval is left out.
+    intervals = {s.unique_id: s.pieces()[:-1] for s in large if s.cuts}
     newest = Window.partitionBy(ID, _PIECE).orderBy(F.col(TS).desc())
     marks = (
-        placed.where(F.col(_PIECE) < F.size("cuts"))
+        _place(rows.select(*KEYS), intervals, how="inner")
         .select(ID, _PIECE, TS)
         .withColumn(_LOCAL, F.row_number().over(newest))
         .where(F.col(_LOCAL) <= overlap)

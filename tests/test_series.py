@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from rollcast.operators.series import (
+    FANOUT,
     LargeSeries,
+    SeriesLayout,
     grid_layout,
     measure_series,
     training_runs,
@@ -59,6 +61,19 @@ def test_pieces_are_bounded_and_cover_the_series(cut, skewed):
         assert max(b - a for a, b in zip(starts, starts[1:])) <= cut.limit
 
 
+def test_lookup_descends_through_levels(spark):
+    """More pieces than one or two levels of the lookup can tell apart."""
+    panel = make_panel(spark, {1: range(1500), 2: range(40)})
+    layout = measure_series(panel, parts=4096, min_rows=4)
+    assert max(len(s.cuts) for s in layout.large) > FANOUT**2
+    plain = SeriesLayout(layout.rows, layout.largest, layout.limit)
+    assert rows(with_rank_from_end(panel, layout)) == rows(with_rank_from_end(panel, plain))
+    options = {"input_size": 2, "horizon": 1}
+    assert rows(lag_windows(panel, layout=layout, **options)) == rows(
+        lag_windows(panel, layout=plain, **options)
+    )
+
+
 def test_number_of_cut_points_is_bounded(skewed):
     layout = measure_series(skewed, parts=16, min_rows=1)
     points = sum(len(s.cuts) for s in layout.large)
