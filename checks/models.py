@@ -208,9 +208,9 @@ predictions AS (
 EVENT_FUTURE = (EVENTS, RANKED, FUTURE.format(lags=24, horizon=6, freq="5 minutes"))
 
 
-def event_predictions(spark, folder):
+def event_predictions(spark, folder, models=BASELINES, input_size=24):
     return forecast.run_inference(
-        events_panel(spark, folder), BASELINES, horizon=6, input_size=24, freq=timedelta(minutes=5)
+        events_panel(spark, folder), models, horizon=6, input_size=input_size, freq=timedelta(minutes=5)
     )
 
 

@@ -154,6 +154,14 @@ def test_a_grid_bounds_the_series():
     assert grid_layout(at(0), at(0) + 9 * day, timedelta(microseconds=1)) is None
 
 
+def test_ranks_of_cut_series_take_one_shuffle(skewed, cut):
+    for frame in (with_rank_from_end(skewed, cut), training_runs(skewed, 5, cut)[0]):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        # The fixture itself is spread round-robin; ranking adds one exchange by series and piece.
+        assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_series_too_large_for_parts(spark):
     with pytest.raises(ValueError):
         measure_series(make_panel(spark, {1: [1]}), parts=10_000)

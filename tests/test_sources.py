@@ -61,6 +61,12 @@ def test_writing_a_model_again_replaces_only_that_model(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(run_id" in plan
 
 
+def test_files_are_rebalanced_by_run_and_model(spark):
+    frame = spark.createDataFrame([("r", "A", 1.0)], "run_id string, model string, y_hat double")
+    plan = frame.hint("rebalance", "run_id", "model")._jdf.queryExecution().executedPlan().toString()
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan and "hashpartitioning(run_id" in plan
+
+
 def test_predictions_table(spark, tmp_path):
     frame = spark.createDataFrame([("A", 1, 1.0)], "model string, unique_id bigint, y_hat double")
     write_predictions(frame, str(tmp_path / "p"))
