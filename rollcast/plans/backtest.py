@@ -17,7 +17,13 @@ from rollcast.operators.forecast import (
     run_models,
     used_exogenous,
 )
-from rollcast.operators.linear import LinearSpec, params_frame, solve, window_moments
+from rollcast.operators.linear import (
+    PARAM_SCHEMA,
+    LinearSpec,
+    params_frame,
+    solve,
+    window_moments,
+)
 from rollcast.operators.panel import profile_series
 from rollcast.operators.score import leaderboard, score
 from rollcast.operators.selection import missing_pairs
@@ -29,7 +35,7 @@ from rollcast.operators.windows import (
     cv_origins,
     tested_rows,
 )
-from rollcast.sources.results import write_cv_results, write_metrics, write_table
+from rollcast.sources.results import read_table, write_cv_results, write_metrics, write_table
 from rollcast.sources.scratch import shared_folder, store
 
 # Fixed value: the form of a run id.
@@ -101,7 +107,7 @@ def backtest(
 
     local = [m for m in models if isinstance(m, LocalForecaster)]
     built_in = [m for m in models if not isinstance(m, LocalForecaster | LinearSpec)] + fitted
-    done = []
+    schemas = {}
     for group in [built_in] * bool(built_in) + [[m] for m in local]:
         try:
             origins = cv_origins(
@@ -111,34 +117,35 @@ def backtest(
             runs = store(run_models(origins, group, horizon).withColumn("run_id", F.lit(run_id)))
             cv_results = forecast_rows(runs).withColumn("run_id", F.lit(run_id))
             write_cv_results(cv_results, f"{folder}/cv_results")
-            write_metrics(score(cv_results, mape=mape), f"{folder}/metrics")
+            metrics = score(cv_results, mape=mape)
+            write_metrics(metrics, f"{folder}/metrics")
             short = missing_pairs(profile_series(stored), [m.name for m in group], runs).select(
                 "model", ID, F.lit("skipped").alias("status"),
                 F.lit(f"fewer than {input_size + hold_out} rows").alias("error"),
             )
             status = fit_status(runs).unionByName(short).withColumn("run_id", F.lit(run_id))
             write_table(status, f"{folder}/fit_status")
-            done += group
+            schemas = {
+                "cv_results": cv_results.schema, "metrics": metrics.schema, "fit_status": status.schema
+            }
         except Exception as error:  # noqa: BLE001
             failed(group, "cross-validation", error)
-    params = None
+    if not schemas:
+        raise RuntimeError(f"no model succeeded: {failures}")
     if fitted:
+        schemas["model_params"] = PARAM_SCHEMA
         write_table(params_frame(spark, fitted, run_id), f"{folder}/model_params")
-        params = _rows_of(spark.read.parquet(f"{folder}/model_params"), run_id)
-    if not done:
-        raise RuntimeError(f"no model succeeded: {failures}")
-    metrics = _rows_of(spark.read.parquet(f"{folder}/metrics"), run_id)
+    tables = {
+        name: read_table(spark, f"{folder}/{name}", schema).where(F.col("run_id") == run_id)
+        for name, schema in schemas.items()
+    }
     return Backtest(
         run_id=run_id,
         folder=folder,
-        cv_results=_rows_of(spark.read.parquet(f"{folder}/cv_results"), run_id),
-        metrics=metrics,
-        summary=leaderboard(metrics),
-        status=_rows_of(spark.read.parquet(f"{folder}/fit_status"), run_id),
-        params=params,
+        cv_results=tables["cv_results"],
+        metrics=tables["metrics"],
+        summary=leaderboard(tables["metrics"]),
+        status=tables["fit_status"],
+        params=tables.get("model_params"),
         failures=spark.createDataFrame(failures, FAILURE_SCHEMA),
     )
-
-
-def _rows_of(table: DataFrame, run_id: str) -> DataFrame:
-    return table.where(F.col("run_id") == run_id)

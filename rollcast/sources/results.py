@@ -11,7 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcast.functions import missing_to_null, strict_cast, strict_timestamp
-from rollcast.operators.linear import LinearModel, models_from_params, params_frame
+from rollcast.operators.linear import (
+    PARAM_SCHEMA,
+    LinearModel,
+    models_from_params,
+    params_frame,
+)
 from rollcast.operators.score import (
     leaderboard_by_metric,
     leaderboard_means,
@@ -168,6 +173,11 @@ def write_table(frame: DataFrame, path: str) -> None:
     )
 
 
+def read_table(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A stored result table.  With the schema given, a run named ``7`` stays text."""
+    return spark.read.schema(schema).parquet(path)
+
+
 def write_cv_results(cv_results: DataFrame, path: str) -> None:
     """Cross-validation rows, partitioned by run and model."""
     write_table(cv_results, path)
@@ -226,5 +236,5 @@ def save_params(spark: SparkSession, models: Sequence[LinearModel], path: str, r
 
 def load_params(spark: SparkSession, path: str, run_id: str) -> list[LinearModel]:
     """Fitted linear models of one run."""
-    params = spark.read.parquet(path).where(F.col("run_id") == run_id)
-    return models_from_params(params)
+    params = read_table(spark, path, PARAM_SCHEMA)
+    return models_from_params(params.where(F.col("run_id") == run_id))

@@ -8,7 +8,7 @@ from rollcast.operators.series import measure_series
 from rollcast.plans.backtest import backtest, new_run_id
 from rollcast.plans.predict import choose_models, predict_job
 from rollcast.plans.summarize import summarize
-from rollcast.sources.results import export_by_model
+from rollcast.sources.results import export_by_model, load_params
 from conftest import at, make_panel, rows
 
 SHAPE = {"horizon": 2, "input_size": 4, "n_windows": 2}
@@ -60,6 +60,12 @@ def test_a_repeated_run_replaces_its_rows(spark, panel, tmp_path):
         backtest(panel, [Naive(), Naive()], **SHAPE)
 
 
+def test_a_run_with_a_number_for_a_name(spark, panel, tmp_path):
+    run = backtest(panel, [Naive(name="1"), NLinear()], run_id="007", folder=str(tmp_path / "o"), **SHAPE)
+    assert rows(run.cv_results.select("run_id", "model").distinct()) == [("007", "1"), ("007", "NLinear")]
+    assert [m.name for m in load_params(spark, f"{run.folder}/model_params", "007")] == ["NLinear"]
+
+
 def test_exogenous_models_in_a_backtest(spark, panel):
     wide = panel.selectExpr("*", "y % 3 as carbs")
     run = backtest(wide, [LinearExog(exogenous=("carbs",)), NLinear()], **SHAPE)
