@@ -1,4 +1,4 @@
-"""Where intermediate tables go, and the session settings the jobs expect."""
+"""Where intermediate tables go."""
 
 from __future__ import annotations
 
@@ -7,25 +7,44 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one the cluster names in ``spark.checkpoint.dir``.
+    """A new folder below the one the session names in ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (a single machine, tests) a temporary
-    folder stands in for it.
+    All executors must see that folder.  A session without the setting gets a
+    temporary folder if it runs in this one process (``local[n]``), else an error.
+    The folder is deleted when the session's process ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="rollcast-")
-    return f"{base.rstrip('/')}/rollcast-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/rollcast-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
 
 
 def store(frame: DataFrame, path: str | None = None) -> DataFrame:
     """Write a frame as a table in the shared folder and read it back.
 
     Later steps start from the files, so a lost executor costs no recomputation.
+    Shuffle files of the finished step are freed at once.
     """
     spark = frame.sparkSession
     path = path or shared_folder(spark)
-    frame.write.mode("errorifexists").parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        frame.write.mode("errorifexists").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_UP)
+        else:
+            spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(frame.schema).parquet(path)
