@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcast.llm import decontamination, mixing, warc
+from rollcast.llm import decontamination, mixing, rules, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +86,16 @@ def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return mixing.mix(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
+
+
+@query()
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = tokens.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query()
+def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return rules.judge(docs, table(spark, folder, "labels")).drop("text")
