@@ -85,10 +85,15 @@ def _newton(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 25) -> np.n
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Model:
-    """Fit on the features of labelled rows; rows of one kind only give a constant model."""
+    """Fit on the features of labelled rows.
+
+    Rows of one kind only give a model that says so of all texts; no rows, one that
+    passes all texts.
+    """
+    labels = np.asarray(labels).astype(np.int64)
     none = np.zeros(0, np.int64)
     if len(rows) == 0 or labels.min() == labels.max():
-        shift = 0.0 if len(rows) == 0 else (20.0 if labels[0] else -20.0)
+        shift = -20.0 if len(rows) and not labels[0] else 20.0
         return Model(none, none, none, none, 0.0, 0.0, shift)
     held = np.arange(len(rows)) % HELD_OUT == 0
     if min(labels[held].min(), 1 - labels[held].max()) or labels[~held].min() == labels[~held].max():
