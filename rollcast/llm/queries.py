@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcast.llm import decontamination, mixing, quality, rules, simhash, tokens, warc
+from rollcast.llm import decontamination, mixing, quality, rules, simhash, substrings, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +35,27 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(docs.select("doc_id", "text"), keep=["doc_id"]).drop("first")
 
 
+@query(
+    """
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+                      regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    x AS (SELECT r, i, array_to_string(w[i : i + 34], ' ') AS s
+          FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+    h AS (SELECT r, i FROM x JOIN (SELECT s FROM x GROUP BY s HAVING count(*) > 1) USING (s)),
+    g AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS j FROM h),
+    u AS (SELECT r, doc_id, w, unnest(range(1, len(w) + 1)) AS j FROM d),
+    k AS (SELECT r, count(*) AS n, string_agg(w[j], ' ' ORDER BY j) AS s FROM u ANTI JOIN g USING (r, j) GROUP BY r)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+           sha256(coalesce(s, '')) AS kept_sha256
+    FROM d LEFT JOIN k USING (r)
+    """
+)
+def op3_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = substrings.remove_repeats(docs, keep=["doc_id"])
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query(
     """
     WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS d, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
