@@ -48,3 +48,9 @@ def store(frame: DataFrame, path: str | None = None) -> DataFrame:
         else:
             spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that no later step reads."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
