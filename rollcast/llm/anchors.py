@@ -8,16 +8,16 @@ seeds, so a window whose seed occurs once in the corpus occurs once.  About ``2
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollcast.llm.common import small_batches, texts_of
-from rollcast.sources.scratch import store
+from rollcast.sources.scratch import discard, shared_folder, store
 
 SEEDS = T.StructType([
     T.StructField("seed", T.LongType()), T.StructField("key", T.LongType()), T.StructField("times", T.LongType())
@@ -80,6 +80,64 @@ def repeated_seeds(seeds: DataFrame) -> DataFrame:
     Counting is combined before the shuffle, and a seed that very many documents have
     is split by Spark's skew join; the result is stored.
     """
-    again = seeds.groupBy("seed").agg(F.sum("times").alias("n")).where("n > 1")
-    met = seeds.select("seed", "key").join(again, "seed")
-    return store(met.groupBy("key").agg(F.collect_set(F.struct("seed", "n")).alias("seeds")))
+    spark = seeds.sparkSession
+    path = shared_folder(spark)
+    kept = store(seeds, path)
+    again = kept.groupBy("seed").agg(F.sum("times").alias("n")).where("n > 1")
+    met = kept.select("seed", "key").join(again, "seed")
+    found = store(met.groupBy("key").agg(F.collect_set(F.struct("seed", "n")).alias("seeds")))
+    discard(spark, path)
+    return found
+
+
+def largest(again: DataFrame) -> int:
+    """The most occurrences of a seed."""
+    return again.agg(F.max(F.array_max(F.transform("seeds", lambda s: s["n"])))).first()[0] or 0
+
+
+def chosen(again: DataFrame, wanted: Callable[[Column], Column]) -> DataFrame:
+    """``key, seeds``: the seeds of each document that are wanted, without their numbers."""
+    found = again.select("key", F.transform(F.filter("seeds", wanted), lambda s: s["seed"]).alias("seeds"))
+    return found.where(F.size("seeds") > 0)
+
+
+def runs_of_windows(own: np.ndarray, seeds: list[int]) -> Iterator[tuple[int, int, np.uint64]]:
+    """Runs ``[a, b)`` of neighbouring windows that share one of the wanted seeds."""
+    if not len(own):
+        return
+    first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+    last = np.append(first[1:], len(own))
+    keep = np.isin(own[first].view(np.int64), np.array(seeds, np.int64))
+    yield from zip(first[keep].tolist(), last[keep].tolist(), own[first[keep]])
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables in which no seed's rows are split; rows come sorted by seed."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([held, table]) if held is not None else table
+        seeds = table["seed"].to_numpy()
+        changes = np.flatnonzero(seeds[1:] != seeds[:-1]) + 1
+        if not len(changes):
+            held = table
+            continue
+        held = table.slice(int(changes[-1]))
+        yield table.slice(0, int(changes[-1])).combine_chunks()
+    if held is not None:
+        yield held.combine_chunks()
+
+
+def leaf_runs(leaf: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of the runs of marked windows that lie in one row."""
+    joined = np.concatenate(([False], leaf[1:] & leaf[:-1] & (row[1:] == row[:-1])))
+    return np.flatnonzero(leaf & ~joined), np.flatnonzero(leaf & ~np.append(joined[1:], False))
+
+
+def covered(spans: Sequence[dict] | None, n: int) -> np.ndarray:
+    """Which of ``n`` units lie in a span ``from .. to``."""
+    edge = np.zeros(n + 1, np.int64)
+    if spans:
+        np.add.at(edge, [s["from"] for s in spans], 1)
+        np.add.at(edge, [s["to"] for s in spans], -1)
+    return np.cumsum(edge[:-1]) > 0

@@ -31,7 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollcast.llm.anchors import repeated_seeds, seed_counts, window_seeds
+from rollcast.llm.anchors import (
+    chosen, covered, largest, leaf_runs, repeated_seeds, runs_of_windows, seed_counts, whole_groups, window_seeds,
+)
 from rollcast.llm.common import ROW, column, row_key, small_batches, texts_of
 from rollcast.llm.hashing import Runs, word_hashes
 from rollcast.sources.scratch import store
@@ -64,15 +66,9 @@ def _suffixes(docs: DataFrame, width: int, seed_words: int) -> DataFrame:
             ):
                 runs = Runs(word_hashes(text)[2])
                 own = window_seeds(runs.windows(seed_words), width - seed_words + 1)
-                if not len(own):
-                    continue
                 path = runs.windows(width)
-                # Neighbouring windows with the same seed, and of these the wanted ones.
-                first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-                last = np.append(first[1:], len(own))
-                keep = np.isin(own[first].view(np.int64), np.array(seeds, np.int64))
-                for a, b in zip(first[keep].tolist(), last[keep].tolist()):
-                    out[0].append(own[a])
+                for a, b, seed in runs_of_windows(own, seeds):
+                    out[0].append(seed)
                     out[1].append(id_)
                     out[2].append(h)
                     out[3].append(a)
@@ -94,17 +90,14 @@ def _deep_nodes(width: int):
     """Per group of one seed: spans of the suffixes under nodes of full depth with two leaves or more."""
 
     def spans_of(table: pa.Table) -> pa.RecordBatch:
-        lists = table["paths"].combine_chunks()
+        lists = table["paths"].chunk(0)
         lengths = np.diff(lists.offsets.to_numpy())
         path, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(lengths)), lengths)
         order = np.argsort(path, kind="stable")
         same = path[order][1:] == path[order][:-1]
         leaf = np.zeros(len(path), bool)
         leaf[order] = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        # Runs of leaves inside a row become spans of words.
-        joined = np.concatenate(([False], leaf[1:] & leaf[:-1] & (row[1:] == row[:-1])))
-        begin = np.flatnonzero(leaf & ~joined)
-        end = np.flatnonzero(leaf & ~np.append(joined[1:], False))
+        begin, end = leaf_runs(leaf, row)
         place = np.arange(len(path)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         at = row[begin]
         starts = table["start"].to_numpy()[at]
@@ -116,20 +109,8 @@ def _deep_nodes(width: int):
         )
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by seed; equal paths have equal seeds, so whole groups suffice."""
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([held, table]) if held is not None else table
-            seeds = table["seed"].to_numpy()
-            changes = np.flatnonzero(seeds[1:] != seeds[:-1]) + 1
-            if not len(changes):
-                held = table
-                continue
-            held = table.slice(int(changes[-1]))
-            yield spans_of(table.slice(0, int(changes[-1])))
-        if held is not None:
-            yield spans_of(held)
+        """Equal paths have equal seeds, so whole groups suffice."""
+        yield from map(spans_of, whole_groups(batches))
 
     return walk
 
@@ -144,16 +125,14 @@ def repeated_spans(
     key = F.xxhash64("id", "h")
     keyed = docs.withColumn("key", key)
     hashes_of = _seed_hashes(seed_words)
-    again = repeated_seeds(store(seed_counts(keyed, hashes_of, width - seed_words + 1)))
-    most = again.agg(F.max(F.array_max(F.transform("seeds", lambda s: s["n"])))).first()[0] or 0
+    again = repeated_seeds(seed_counts(keyed, hashes_of, width - seed_words + 1))
 
     def suffixes(wanted):
-        chosen = again.select("key", F.transform(F.filter("seeds", wanted), lambda s: s["seed"]).alias("seeds"))
-        return _suffixes(keyed.join(chosen.where(F.size("seeds") > 0), "key"), width, seed_words)
+        return _suffixes(keyed.join(chosen(again, wanted), "key"), width, seed_words)
 
     small = suffixes(lambda s: s["n"] <= group_rows).repartition("seed").sortWithinPartitions("seed")
     spans = small.mapInArrow(_deep_nodes(width), SPANS)
-    if most > group_rows:
+    if largest(again) > group_rows:
         large = suffixes(lambda s: s["n"] > group_rows).select(
             "id", "h", "start", F.posexplode("paths").alias("nth", "path")
         )
@@ -168,15 +147,6 @@ def _seed_hashes(seed_words: int):
     return lambda text: Runs(word_hashes(text)[2]).windows(seed_words)
 
 
-def covered(spans: Sequence[dict], n: int) -> np.ndarray:
-    """Which of ``n`` units lie in a span."""
-    edge = np.zeros(n + 1, np.int64)
-    if spans:
-        np.add.at(edge, [s["from"] for s in spans], 1)
-        np.add.at(edge, [s["to"] for s in spans], -1)
-    return np.cumsum(edge[:-1]) > 0
-
-
 def remove_repeats(
     docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH,
     seed_words: int = SEED_WORDS, group_rows: int = GROUP_ROWS, keep: Sequence[str] | None = None,
@@ -204,7 +174,7 @@ def remove_repeats(
             n_words, n_removed, texts = [], [], []
             for text, spans in zip(texts_of(batch.column("text")), batch.column("spans").to_pylist()):
                 words = text.split()
-                gone = covered(spans or (), len(words))
+                gone = covered(spans, len(words))
                 n_words.append(len(words))
                 n_removed.append(int(gone.sum()))
                 left = [w for w, g in zip(words, gone.tolist()) if not g] if spans else words
