@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcast.llm import decontamination, mixing, quality, rules, simhash, substrings, suffix_index, tokens, warc
+from rollcast.llm import decontamination, mixing, privacy, quality, rules, simhash, substrings, suffix_index, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +35,25 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(docs.select("doc_id", "text"), keep=["doc_id"]).drop("first")
 
 
+@query()
+def op2_privacy(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = privacy.sanitise(docs, keep=["doc_id"])
+    kinds = F.array(*map(F.lit, (*privacy.KINDS, "term")))
+
+    def joined(spans):
+        named = F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"], s["end"]))
+        return F.array_join(named, ",")
+
+    base = F.filter("spans", lambda s: s["action"] == "mask")
+
+    def count(i: int):
+        return F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("long")
+
+    counts = [count(i).alias(f"n_{kind}") for i, kind in enumerate(privacy.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 @query(
     """
     WITH d AS (SELECT row_number() OVER () AS r, doc_id,
