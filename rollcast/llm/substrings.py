@@ -10,8 +10,8 @@ built whole:
   ``group_rows`` occurrences makes one group, and its subtree is built in memory: suffixes
   are sorted by their path, and those with equal neighbours are under a deep node.
 * For a seed with more occurrences the string is lengthened to the whole window.  Such a
-  group is a single node, so its members are only counted, combined before the
-  shuffle, and never brought together.
+  group is a single node, so its members are only counted, and never brought together;
+  neighbouring suffixes that many documents have alike are merged before that.
 
 Neighbouring leaves of a document join to its maximal repeats, the spans.
 
@@ -131,16 +131,28 @@ def repeated_spans(
         return _suffixes(keyed.join(chosen(again, wanted), "key"), width, seed_words)
 
     small = suffixes(lambda s: s["n"] <= group_rows).repartition("seed").sortWithinPartitions("seed")
-    spans = small.mapInArrow(_deep_nodes(width), SPANS)
+    one = F.array(F.struct("from", "to")).alias("spans")
+    spans = small.mapInArrow(_deep_nodes(width), SPANS).select("id", "h", one)
     if largest(again) > group_rows:
-        large = suffixes(lambda s: s["n"] > group_rows).select(
-            "id", "h", "start", F.posexplode("paths").alias("nth", "path")
-        )
-        nodes = large.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select("path")
-        start = F.col("start") + F.col("nth")
-        leaves = large.join(nodes, "path").select("id", "h", start.alias("from"), (start + width).alias("to"))
-        spans = spans.unionByName(leaves)
-    return spans.groupBy("id", "h").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+        spans = spans.unionByName(_whole_paths(suffixes(lambda s: s["n"] > group_rows), width))
+    return spans.groupBy("id", "h").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+
+
+def _whole_paths(runs: DataFrame, width: int) -> DataFrame:
+    """Spans of the runs of frequent seeds: equal runs are merged, then whole paths counted.
+
+    A run that many documents share is one row of the count, whatever their number.
+    """
+    runs = runs.withColumn("content", F.xxhash64("paths"))
+    contents = runs.groupBy("content").agg(F.count("*").alias("n"), F.first("paths").alias("paths"))
+    suffixes = contents.select("content", "n", F.posexplode("paths").alias("nth", "path"))
+    nodes = suffixes.groupBy("path").agg(F.sum("n").alias("n")).where("n > 1").select("path")
+    leaves = suffixes.join(nodes, "path").groupBy("content").agg(F.sort_array(F.collect_list("nth")).alias("nths"))
+    first, last = F.element_at("nths", 1), F.element_at("nths", -1)
+    span = lambda a, b: F.struct((F.col("start") + a).alias("from"), (F.col("start") + b + width).alias("to"))
+    together = F.size("nths") == last - first + 1
+    spans = F.when(together, F.array(span(first, last))).otherwise(F.transform("nths", lambda n: span(n, n)))
+    return runs.select("content", "id", "h", "start").join(leaves, "content").select("id", "h", spans.alias("spans"))
 
 
 def _seed_hashes(seed_words: int):
