@@ -2,8 +2,8 @@
 
 Every page becomes three records: a request, a response (or a revisit of an equal
 payload) and a metadata record.  Request and metadata name the response in
-``WARC-Concurrent-To``.  The archives are plain WARC files written by Spark's text
-writer, since each record ends with two line ends.  The reader splits files by
+``WARC-Concurrent-To``.  The archives are gzipped WARC files written by Spark's
+text writer, since each record ends with two line ends.  The reader splits files by
 ``Content-Length``, joins the three records of a transaction by those identifiers and
 returns one nested row per capture; a revisit gets its payload's size from the
 response that it refers to.
@@ -17,6 +17,7 @@ are ignored.
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -114,7 +115,7 @@ def write_archives(
         _record("metadata", _urn(F.lit("metadata"), response_id), url, [link], fields, "application/warc-fields"),
     )
     text = dealt.select(F.explode(records).alias("value"))
-    text.write.mode("errorifexists").option("lineSep", RECORD_END).text(path)
+    text.write.mode("errorifexists").option("lineSep", RECORD_END).option("compression", "gzip").text(path)
 
 
 def _split(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -143,7 +144,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows, held = [], 0
-                for headers, block in _split(content.as_py()):
+                for headers, block in _split(gzip.decompress(content.as_py())):
                     rows.append((*map(headers.get, names), block))
                     held += len(block)
                     if held > 4 << 20:
