@@ -201,17 +201,35 @@ def repeated_spans(
 
     if largest(again) > group_rows:
         hot = chosen(again, lambda s: s["n"] > group_rows)
-        windows = _entries(keyed.join(hot, "key"), width, seed_bytes, paths=True).select(
-            "id", "h", "start", F.posexplode("paths").alias("nth", "path")
-        )
-        windows = windows.select("path", F.struct(F.isnull("id").alias("last"), "id", "h", (F.col("start") + F.col("nth")).alias("from")).alias("place"))
-        first = windows.groupBy("path").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        later = windows.join(first, "path").where("place > first")
-        spans.append(later.select("place.id", "place.h", "place.from", (F.col("place.from") + width).alias("to")))
+        spans.append(_whole_windows(_entries(keyed.join(hot, "key"), width, seed_bytes, paths=True), width))
     every = reduce(DataFrame.unionByName, spans)
     return every.groupBy("id", "h").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
 
 
+def _whole_windows(entries: DataFrame, width: int) -> DataFrame:
+    """Matches among the entries of frequent seeds: equal entries first, then single windows.
+
+    Of equal entries the earliest stands for all; the others match it from end to end, and
+    only its windows are compared, by the earliest place of each.
+    """
+    place = F.struct(F.isnull("id").alias("last"), "id", "h", "start").alias("place")
+    entries = entries.select(F.xxhash64("paths").alias("content"), "paths", place)
+    contents = entries.groupBy("content").agg(F.min("place").alias("first"), F.first("paths").alias("paths"))
+    copies = (
+        entries.select("content", "place", F.size("paths").alias("n"))
+        .join(contents.select("content", "first"), "content").where("place > first")
+        .select("place.id", "place.h", F.col("place.start").alias("from"), (F.col("place.start") + F.col("n") - 1 + width).alias("to"))
+    )
+    windows = contents.select("first", F.posexplode("paths").alias("nth", "path")).select(
+        "path", F.col("first").withField("start", F.col("first.start") + F.col("nth")).alias("place")
+    )
+    earliest = windows.groupBy("path").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = windows.join(earliest, "path").where("place > first").select(
+        "place.id", "place.h", F.col("place.start").alias("from"), (F.col("place.start") + width).alias("to")
+    )
+    return copies.unionByName(later)
+
+
 def remove_repeats(
     docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH,
     seed_bytes: int = SEED_BYTES, batches: int = BATCHES, group_rows: int = GROUP_ROWS,
