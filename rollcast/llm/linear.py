@@ -21,7 +21,7 @@ from rollcast.llm.common import annotate, column
 from rollcast.llm.hashing import byte_runs, word_hashes
 
 WORD_SPACE = 1 << 22
-CHAR_SPACE = 1 << 13
+CHAR_SPACE = 1 << 11
 GRAM = 3
 
 # Screening: rows a feature must occur in, its least score, and how many features pass at most.
@@ -105,25 +105,27 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Model:
 
     # Score test of every feature against the label.
     picked = [rows[i][0] for i in np.flatnonzero(train)]
-    flat = np.concatenate(picked)
-    count = np.bincount(flat, minlength=WORD_SPACE)
-    with_label = np.bincount(flat, np.repeat(centred, [len(p) for p in picked]), minlength=WORD_SPACE)
+    seen, flat = np.unique(np.concatenate(picked), return_inverse=True)
+    count = np.bincount(flat, minlength=len(seen))
+    with_label = np.bincount(flat, np.repeat(centred, [len(p) for p in picked]), minlength=len(seen))
     share = count / n
     z = with_label / np.sqrt(np.maximum(spread * n * share * (1 - share), 1e-12))
     z[count < LEAST_ROWS] = 0
     grams = np.stack([rows[i][1] for i in np.flatnonzero(train)])
-    z_grams = (grams.T @ centred) / np.sqrt(np.maximum(spread * n * grams.var(axis=0), 1e-12))
+    deviation = grams.std(axis=0)
+    z_grams = (grams.T @ centred.astype(np.float32)) / np.sqrt(np.maximum(spread * n, 1e-12)) / np.maximum(deviation, 1e-6)
     z_grams[(grams > 0).sum(axis=0) < LEAST_ROWS] = 0
     both = np.abs(np.concatenate((z, z_grams)))
     best = np.argsort(-both, kind="stable")[:MOST_FEATURES]
     best = best[both[best] >= LEAST_Z]
-    words, chars = np.sort(best[best < WORD_SPACE]), np.sort(best[best >= WORD_SPACE] - WORD_SPACE)
+    words, chars = seen[np.sort(best[best < len(seen)])], np.sort(best[best >= len(seen)] - len(seen))
+    del grams
 
     place = np.full(WORD_SPACE, -1, np.int32)
     place[words] = np.arange(len(words))
     x = np.zeros((len(rows), len(words) + len(chars) + 1))
     # Gram shares are small numbers; scaled, the ridge treats them like the words.
-    scale = 1 / np.maximum(grams[:, chars].std(axis=0), 1e-6)
+    scale = 1 / np.maximum(deviation[chars], 1e-6)
     for i, (own, shares) in enumerate(rows):
         found = place[own]
         x[i, found[found >= 0]] = 1
