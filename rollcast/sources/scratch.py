@@ -15,7 +15,6 @@ def shared_folder(spark: SparkSession) -> str:
 
     All executors must see that folder.  A session without the setting gets a
     temporary folder if it runs in this one process (``local[n]``), else an error.
-    The folder is deleted when the session's process ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -23,21 +22,32 @@ def shared_folder(spark: SparkSession) -> str:
         if master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="rollcast-")
-    path = f"{base.rstrip('/')}/rollcast-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return path
+    return f"{base.rstrip('/')}/rollcast-{uuid.uuid4().hex}"
+
+
+def _place(spark: SparkSession, path: str) -> tuple:
+    """The Hadoop file system of a path, and the path as it knows it."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder when the session's process ends."""
+    files, folder = _place(spark, path)
+    files.deleteOnExit(folder)
 
 
 def store(frame: DataFrame, path: str | None = None) -> DataFrame:
     """Write a frame as a table in the shared folder and read it back.
 
     Later steps start from the files, so a lost executor costs no recomputation.
-    Shuffle files of the finished step are freed at once.
+    Shuffle files of the finished step are freed at once.  Without a ``path`` the table
+    is scratch and goes when the process ends.
     """
     spark = frame.sparkSession
-    path = path or shared_folder(spark)
+    if path is None:
+        path = shared_folder(spark)
+        delete_at_end(spark, path)
     before = spark.conf.get(CLEAN_UP, None)
     spark.conf.set(CLEAN_UP, "true")
     try:
@@ -52,5 +62,5 @@ def store(frame: DataFrame, path: str | None = None) -> DataFrame:
 
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that no later step reads."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    files, folder = _place(spark, path)
+    files.delete(folder, True)

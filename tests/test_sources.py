@@ -108,6 +108,14 @@ def test_shared_folder_comes_from_the_session(spark):
     assert shared_folder(spark) != shared_folder(spark)
 
 
+def test_a_cluster_without_a_shared_folder_raises():
+    class Session:
+        conf = {"spark.master": "local-cluster[3,2,1024]"}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session)
+
+
 def test_store_keeps_rows_and_types(spark, metrics):
     stored = store(metrics)
     assert stored.schema.simpleString() == metrics.schema.simpleString()
