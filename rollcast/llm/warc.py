@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollcast.llm.common import column
-from rollcast.sources.scratch import shared_folder, store
+from rollcast.sources.scratch import delete_at_end, shared_folder, store
 
 SHARD_BYTES = 16 << 20
 LEAST_BYTES = 100
@@ -202,5 +202,6 @@ def page_captures(pages: DataFrame, **options) -> DataFrame:
     """Write the pages into new archives in the shared folder, read them back, assemble captures."""
     spark = pages.sparkSession
     path = shared_folder(spark)
+    delete_at_end(spark, path)
     write_archives(pages, path, **options)
     return captures(read_records(spark, path))
