@@ -23,12 +23,12 @@ from checks.sql import (
 )
 from rollcast.operators import forecast
 from rollcast.operators.forecast import LocalForecaster, Naive, WindowAverage
-from rollcast.operators.linear import DLinear, LinearExog, NLinear
+from rollcast.operators.linear import DLinear, LinearExog, LinearModel, NLinear
 from rollcast.operators.windows import holdout_split
 from rollcast.plans.backtest import backtest as run_backtest
 from rollcast.sources.panels import events_panel, orders_panel, supplier_layout, supplier_panel
 from rollcast.sources.results import load_params, save_params
-from rollcast.sources.scratch import shared_folder
+from rollcast.sources.scratch import delete_at_end, shared_folder
 
 BASELINES = [Naive(), WindowAverage()]
 EVENT_SHAPE = {"horizon": 6, "input_size": 24, "n_windows": 3}
@@ -91,17 +91,25 @@ def cross_validate_nlinear(spark, folder):
 
 
 # With two lags and a kernel of 25 points the trend is (13 x2 + 12 x1)/25 and (12 x2 + 13 x1)/25,
-# the remainder the rest. Ridge on those four features is a ridge with the matrix
-# inverse(M'M) = [[g, h], [h, g]] on the two lags.
-_m = DLinear().decomposition(2)
-_G = np.linalg.inv(_m.T @ _m)
-
-DLINEAR_FIT = f"""sums AS (
-  SELECT step, avg(target) AS mt, avg(x1) AS m1, avg(x2) AS m2,
-         var_pop(x1) + 0.001 * {float(_G[1, 1])!r} AS c11, var_pop(x2) + 0.001 * {float(_G[0, 0])!r} AS c22,
-         covar_pop(x1, x2) + 0.001 * ({float(_G[0, 1])!r}) AS c12,
-         covar_pop(x1, target) AS c1t, covar_pop(x2, target) AS c2t
+# the remainder the rest. Ridge on those four features M x, each in units of its variance d, is a
+# ridge with the matrix inverse(M' diag(1/d) M) on the two lags.
+_M = DLinear().decomposition(2).tolist()
+_D = [f"({a!r} * {a!r} * v2 + {b!r} * {b!r} * v1 + 2 * {a!r} * ({b!r}) * v12)" for a, b in _M]
+
+
+def _k(i: int, j: int) -> str:
+    return " + ".join(f"({row[i]!r}) * ({row[j]!r}) / {d}" for row, d in zip(_M, _D))
+
+
+DLINEAR_FIT = f"""plain AS (
+  SELECT step, avg(target) AS mt, avg(x1) AS m1, avg(x2) AS m2, var_pop(x1) AS v1, var_pop(x2) AS v2,
+         covar_pop(x1, x2) AS v12, covar_pop(x1, target) AS c1t, covar_pop(x2, target) AS c2t
   FROM training GROUP BY step),
+units AS (SELECT *, {_k(0, 0)} AS k22, {_k(1, 1)} AS k11, {_k(0, 1)} AS k12 FROM plain),
+sums AS (
+  SELECT *, v1 + 0.001 * k22 / (k11 * k22 - k12 * k12) AS c11, v2 + 0.001 * k11 / (k11 * k22 - k12 * k12) AS c22,
+         v12 - 0.001 * k12 / (k11 * k22 - k12 * k12) AS c12
+  FROM units),
 fit AS (
   SELECT step, mt, m1, m2, (c1t * c22 - c2t * c12) / (c11 * c22 - c12 * c12) AS w1,
          (c2t * c11 - c1t * c12) / (c11 * c22 - c12 * c12) AS w2
@@ -118,7 +126,7 @@ def cross_validate_dlinear(spark, folder):
 
 EXOG_FIT = """fit AS (
   SELECT step, avg(target - x1) AS b, avg(e1) AS me1,
-         covar_pop(e1, target - x1) / (var_pop(e1) + 0.001) AS w
+         covar_pop(e1, target - x1) / (var_pop(e1) * 1.001) AS w
   FROM training GROUP BY step)"""
 
 
@@ -219,6 +227,33 @@ def run_inference(spark, folder):
     return event_predictions(spark, folder)
 
 
+def runs_with_unusable_models(spark, folder):
+    """Beside the baselines, a model fitted for another horizon and one without its column."""
+    panel = events_panel(spark, folder)
+    [other] = forecast.fit_all(panel, [NLinear()], horizon=3, input_size=2)
+    absent = LinearModel("Absent", 24, np.zeros(6), np.zeros((6, 48)), ("no_such_column",))
+    return forecast.inference_runs(
+        panel, [other, *BASELINES, absent], horizon=6, input_size=24, freq=timedelta(minutes=5)
+    )
+
+
+@query(with_(*EVENT_FUTURE) + "SELECT model, unique_id, ds, " + r6("y_hat", "y_hat") + " FROM predictions")
+def inference_beside_unusable_models(spark, folder):
+    runs, _ = runs_with_unusable_models(spark, folder)
+    return forecast.forecast_rows(runs).select("model", "unique_id", "ds", "y_hat")
+
+
+@query(
+    with_(*EVENT_FUTURE)
+    + """SELECT model, count(DISTINCT unique_id) AS n_ok, CAST(0 AS BIGINT) AS n_failed, CAST(NULL AS VARCHAR) AS error
+FROM predictions GROUP BY model
+UNION ALL SELECT 'NLinear', 0, 0, 'fitted for 3 steps, not 6'
+UNION ALL SELECT 'Absent', 0, 0, 'missing columns: no_such_column'"""
+)
+def inference_status(spark, folder):
+    return forecast.inference_status(*runs_with_unusable_models(spark, folder))
+
+
 @query(
     with_(SUPPLIERS, RANKED, FUTURE.format(lags=48, horizon=12, freq="1 day"))
     + "SELECT model, unique_id, ds, " + r6("y_hat", "y_hat") + " FROM predictions WHERE model = 'WindowAverage'"
@@ -276,6 +311,23 @@ def backtest(spark, folder):
     return rows.select("model", "unique_id", "ds", "cutoff", "y", "y_hat")
 
 
+class Unfit(NLinear):
+    """Fails in its fit."""
+
+    def features(self, input_size):
+        raise RuntimeError("no features")
+
+
+@query(with_(*EVENT_CV) + CV_COLUMNS + " WHERE model = 'Naive'")
+def backtest_repeated(spark, folder):
+    """The second run under the same id has one model less and one that fails."""
+    panel, out = events_panel(spark, folder), shared_folder(spark)
+    delete_at_end(spark, out)
+    run_backtest(panel, [*BASELINES, NLinear()], run_id="run_1", folder=out, **EVENT_SHAPE)
+    run = run_backtest(panel, [Naive(), Unfit()], run_id="run_1", folder=out, **EVENT_SHAPE)
+    return run.cv_results.select("model", "unique_id", "ds", "cutoff", "y", "y_hat")
+
+
 MEDIAN_CV = """middles AS (
   SELECT a.unique_id, f.fold, CASE WHEN max(a.y) <= 250 THEN median(a.y) END AS mid
   FROM ranked a JOIN fold_list f ON a.r > f.newest + 12 AND a.r <= f.newest + 60

@@ -168,20 +168,59 @@ def cv_runs(
     return run_models(origins, fitted, horizon)
 
 
-def run_inference(
+def unusable(
+    panel: DataFrame, models: Sequence[Spec], *, horizon: int, input_size: int
+) -> dict[str, str]:
+    """Why models cannot run on this panel with this shape, by model name."""
+    reasons = {}
+    for model in models:
+        absent = [c for c in model.exogenous if c not in panel.columns]
+        if absent:
+            reasons[model.name] = f"missing columns: {', '.join(absent)}"
+        elif isinstance(model, LinearModel) and model.horizon != horizon:
+            reasons[model.name] = f"fitted for {model.horizon} steps, not {horizon}"
+        elif isinstance(model, LinearModel) and model.input_size != input_size:
+            reasons[model.name] = f"fitted for {model.input_size} input rows, not {input_size}"
+    return reasons
+
+
+def inference_runs(
     panel: DataFrame, models: Sequence[Forecaster], *, horizon: int = DEFAULT_HORIZON,
     input_size: int = DEFAULT_INPUT_SIZE, freq: timedelta = DEFAULT_FREQ,
     layout: SeriesLayout | None = None,
-) -> DataFrame:
+) -> tuple[DataFrame, dict[str, str]]:
+    """One row per usable model and series, and the reasons of the models left out."""
+    reasons = unusable(panel, models, horizon=horizon, input_size=input_size)
+    usable = [m for m in models if m.name not in reasons]
+    if not usable:
+        raise ValueError(f"no usable model: {reasons}")
+    origins = forecast_origins(
+        panel, horizon=horizon, input_size=input_size, freq=freq, exogenous=used_exogenous(usable),
+        layout=layout,
+    )
+    return run_models(origins, usable, horizon), reasons
+
+
+def run_inference(panel: DataFrame, models: Sequence[Forecaster], **options) -> DataFrame:
     """Forecasts of several fitted models after the last row of every series.
 
-    Columns: ``model, unique_id, ds, y_hat``.
+    Columns: ``model, unique_id, ds, y_hat``; options as in ``inference_runs``.  A model
+    that cannot run is left out (``inference_status`` tells why) unless none can.
     """
-    origins = forecast_origins(
-        panel, horizon=horizon, input_size=input_size, freq=freq, exogenous=used_exogenous(models),
-        layout=layout,
+    runs, _ = inference_runs(panel, models, **options)
+    return forecast_rows(runs).select("model", ID, TS, "y_hat")
+
+
+def inference_status(runs: DataFrame, reasons: dict[str, str]) -> DataFrame:
+    """Per model: on how many series it worked and failed, and an error text."""
+    worked = runs.groupBy("model").agg(
+        F.count_if(F.col("error").isNull()).alias("n_ok"),
+        F.count_if(F.col("error").isNotNull()).alias("n_failed"),
+        F.min("error").alias("error"),
     )
-    return forecast_rows(run_models(origins, models, horizon)).select("model", ID, TS, "y_hat")
+    left_out = [(name, 0, 0, reason) for name, reason in reasons.items()]
+    schema = "model string, n_ok bigint, n_failed bigint, error string"
+    return worked.unionByName(runs.sparkSession.createDataFrame(left_out, schema))
 
 
 def predict(panel: DataFrame, model: Forecaster, **options) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcast.functions import moving_average_matrix
-from rollcast.operators.series import TS, Y, SeriesLayout, time_order, training_runs
+from rollcast.operators.series import Y, SeriesLayout, measure_series, time_order, training_runs
 
 PARAM_SCHEMA = (
     "run_id string, model string, horizon_step int, input_size int, exogenous array<string>, "
@@ -26,6 +26,12 @@ PARAM_SCHEMA = (
 )
 
 
+# A squared mean above so many variances calls for a shift.
+FAR = 1e6
+# A variance below this share of the mean square is rounding.
+ROUNDING = 1e-12
+
+
 class NotFitted(RuntimeError):
     """No training window, or an unusable solution."""
 
@@ -132,23 +138,45 @@ def _raw_from_base(input_size: int) -> np.ndarray:
     return matrix
 
 
+@dataclass(frozen=True)
+class WindowMoments:
+    """Second moments of training windows, after ``shift`` was subtracted from each column.
+
+    ``skipped`` windows had a NULL or non-finite value.
+    """
+
+    matrix: np.ndarray
+    shift: tuple[float, ...]
+    skipped: int = 0
+
+    @property
+    def used(self) -> int:
+        return int(self.matrix[0, 0])
+
+
 def _sum_moments(
-    batches: Iterator[pd.DataFrame], columns: list[str], input_size: int, horizon: int
+    batches: Iterator[pd.DataFrame], columns: list[str], input_size: int, horizon: int,
+    shift: Sequence[float] = (0.0,),
 ) -> Iterator[pd.DataFrame]:
-    """Second moments of all windows in one partition of runs (newest row first)."""
+    """Second moments of all windows in one partition of runs (newest row first).
+
+    A cell at row -1 has the number of skipped windows.
+    """
     width = input_size + horizon
-    total = None
+    total, skipped = None, 0
     rest = np.empty((0, len(columns)))
     rest_first = np.empty(0, dtype=bool)
     for batch in batches:
-        values = np.vstack([rest, batch[columns].to_numpy(dtype=float)])
+        values = np.vstack([rest, batch[columns].to_numpy(dtype=float) - np.asarray(shift)])
         first = np.concatenate([rest_first, batch["first_of_run"].to_numpy(dtype=bool)])
         if len(values) >= width:
             # A window may start a run but must not contain the start of another.
             inside = np.lib.stride_tricks.sliding_window_view(first, width)[:, 1:]
             windows = np.lib.stride_tricks.sliding_window_view(values, width, axis=0)
             windows = windows[~inside.any(axis=1)][:, :, ::-1]
-            windows = windows[np.isfinite(windows).all(axis=(1, 2))]
+            finite = np.isfinite(windows).all(axis=(1, 2))
+            skipped += int((~finite).sum())
+            windows = windows[finite]
             if len(windows):
                 target = windows[:, 0, :]
                 last = target[:, input_size - 1 : input_size]
@@ -168,43 +196,64 @@ def _sum_moments(
     if total is not None:
         row, col = np.triu_indices(len(total))
         yield pd.DataFrame({"row": row, "col": col, "value": total[row, col]})
+    if skipped:
+        yield pd.DataFrame({"row": [-1], "col": [-1], "value": [float(skipped)]})
 
 
 def window_moments(
     panel: DataFrame, *, input_size: int, horizon: int, exogenous: Sequence[str] = (),
     hold_out: int = 0, layout: SeriesLayout | None = None,
-) -> np.ndarray:
+) -> WindowMoments:
     """Second moments of all training windows of a panel.
 
     The vector is ``[1, last, lag differences, exogenous lags, target differences]``.
     Only the summed upper triangle reaches the driver: its size depends on
     ``input_size``, ``horizon`` and the number of exogenous columns, not on the data.
+    Columns whose mean is far above their spread would cancel in the sums; they get a
+    second scan, with the means of the first one subtracted.
     """
     columns = [Y, *exogenous]
+    layout = layout or measure_series(panel)
     runs, keys = training_runs(panel, input_size + horizon, layout, hold_out=hold_out, carry=exogenous)
-    ordered = runs.sortWithinPartitions(*keys, *time_order(panel, True))
-    partial = ordered.select("first_of_run", *columns).mapInPandas(
-        lambda batches: _sum_moments(batches, columns, input_size, horizon),
-        "row int, col int, value double",
-    )
+    ordered = runs.sortWithinPartitions(*keys, *time_order(panel, True)).select("first_of_run", *columns)
     size = 1 + input_size * (1 + len(exogenous)) + horizon
-    moments = np.zeros((size, size))
-    for cell in partial.groupBy("row", "col").agg(F.sum("value").alias("value")).collect():
-        moments[cell["row"], cell["col"]] = moments[cell["col"], cell["row"]] = cell["value"]
-    return moments
+
+    def scan(shift: tuple[float, ...]) -> WindowMoments:
+        partial = ordered.mapInPandas(
+            lambda batches: _sum_moments(batches, columns, input_size, horizon, shift),
+            "row int, col int, value double",
+        )
+        moments, skipped = np.zeros((size, size)), 0
+        for cell in partial.groupBy("row", "col").agg(F.sum("value").alias("value")).collect():
+            if cell["row"] < 0:
+                skipped = int(cell["value"])
+            else:
+                moments[cell["row"], cell["col"]] = moments[cell["col"], cell["row"]] = cell["value"]
+        return WindowMoments(moments, shift, skipped)
+
+    found = scan((0.0,) * len(columns))
+    if not found.used:
+        return found
+    # The last value and the first lag of each exogenous column stand for their columns.
+    at = [1, *(1 + input_size * (1 + i) for i in range(len(exogenous)))]
+    means = found.matrix[at, 0] / found.used
+    spread = np.maximum(found.matrix[at, at] / found.used - means**2, 0.0)
+    far = means**2 > FAR * spread
+    return scan(tuple(np.where(far, means, 0.0).tolist())) if far.any() else found
 
 
 def solve(
-    spec: LinearSpec, moments: np.ndarray, *, input_size: int, horizon: int,
+    spec: LinearSpec, found: WindowMoments, *, input_size: int, horizon: int,
     exogenous: Sequence[str] = (),
 ) -> LinearModel:
     """Ridge solution of one model; the intercept is not penalised.
 
-    ``moments`` may cover more exogenous columns than the model uses.
+    The ridge acts on features of unit variance, so the unit of the data does not
+    matter.  ``found`` may cover more exogenous columns than the model uses.
     """
-    windows = moments[0, 0]
+    moments, windows = found.matrix, found.used
     if windows < 1:
-        raise NotFitted(f"{spec.name}: no training window")
+        raise NotFitted(f"{spec.name}: no training window ({found.skipped} with missing values)")
     used = list(range(1, 1 + input_size))
     for name in spec.exogenous:
         at = 1 + input_size * (1 + list(exogenous).index(name))
@@ -221,12 +270,20 @@ def solve(
     if not spec.relative:
         target[:, 1] = 1.0
 
-    mean_x = features @ moments[:, 0] / windows
-    mean_y = target @ moments[:, 0] / windows
-    cov_xx = features @ moments @ features.T / windows - np.outer(mean_x, mean_x)
-    cov_xy = features @ moments @ target.T / windows - np.outer(mean_x, mean_y)
-    weights = np.linalg.lstsq(cov_xx + spec.ridge * np.eye(len(cov_xx)), cov_xy, rcond=None)[0].T
-    intercept = mean_y - weights @ mean_x
+    shift = np.zeros(len(moments))
+    for i, value in enumerate(found.shift):
+        shift[1 + input_size * i : (1 if i == 0 else input_size) + 1 + input_size * i] = value
+    mean = moments[:, 0] / windows
+    cov = moments / windows - np.outer(mean, mean)
+    cov_xx, cov_xy = features @ cov @ features.T, features @ cov @ target.T
+    variance, square = np.diag(cov_xx), np.diag(features @ moments @ features.T) / windows
+    varies = variance > ROUNDING * square
+    scale = np.sqrt(np.where(varies, variance, 1.0))
+    unit_xx = np.where(np.outer(varies, varies), cov_xx, 0.0) / np.outer(scale, scale)
+    unit_xy = np.where(varies[:, None], cov_xy, 0.0) / scale[:, None]
+    unit = np.linalg.lstsq(unit_xx + spec.ridge * np.eye(len(unit_xx)), unit_xy, rcond=None)[0]
+    weights = (unit / scale[:, None]).T
+    intercept = target @ (mean + shift) - weights @ (features @ (mean + shift))
 
     on_base = weights @ base if len(base) else np.zeros((horizon, len(used)))
     coefficients = on_base.copy()

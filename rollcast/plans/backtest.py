@@ -15,6 +15,7 @@ from rollcast.operators.forecast import (
     fit_status,
     forecast_rows,
     run_models,
+    unusable,
     used_exogenous,
 )
 from rollcast.operators.linear import (
@@ -36,12 +37,19 @@ from rollcast.operators.windows import (
     tested_rows,
 )
 from rollcast.sources.results import read_table, write_cv_results, write_metrics, write_table
-from rollcast.sources.scratch import shared_folder, store
+from rollcast.sources.scratch import remove_partitions, shared_folder, store
 
 # Fixed value: the form of a run id.
 RUN_ID_FORMAT = "run_%Y%m%d_%H%M%S"
 
 FAILURE_SCHEMA = "run_id string, model string, stage string, error string"
+SETTINGS_SCHEMA = (
+    "run_id string, horizon int, input_size int, n_windows int, step int, test_size int, mape string, "
+    "models array<string>"
+)
+
+# The completion table comes first, so that a run being replaced is not listed as complete.
+TABLES = ("runs", "summary", "failures", "model_params", "fit_status", "metrics", "cv_results")
 
 
 @dataclass(frozen=True)
@@ -56,6 +64,7 @@ class Backtest:
     status: DataFrame
     params: DataFrame | None
     failures: DataFrame
+    settings: DataFrame
 
 
 def new_run_id() -> str:
@@ -72,8 +81,9 @@ def backtest(
 
     The panel is stored and measured once for all models.  Linear models share one
     fitting pass, and all built-in models one forecasting pass; each user function
-    runs as a job of its own, so that it cannot stop the others.  A model's rows are
-    written as soon as they exist; a repeated run replaces them.
+    runs as a job of its own, so that it cannot stop the others.  A repeated run first
+    removes all that is stored under its id, and rows of a model that fails later are
+    removed too.  Failures, leaderboard and settings are stored with the results.
     """
     spark = panel.sparkSession
     run_id = run_id or new_run_id()
@@ -82,9 +92,13 @@ def backtest(
     if len(set(names)) != len(names):
         raise ValueError(f"model names must differ: {names}")
     hold_out = tested_rows(horizon, step or horizon, n_windows, test_size)
+    for name in TABLES:
+        remove_partitions(spark, f"{folder}/{name}", {"run_id": [run_id]})
+    reasons = unusable(panel, models, horizon=horizon, input_size=input_size)
+    failures = [(run_id, name, "prepare", reason) for name, reason in reasons.items()]
+    models = [m for m in models if m.name not in reasons]
     stored = store(panel.select(ID, TS, Y, *used_exogenous(models)))
     layout = measure_series(stored)
-    failures: list[tuple[str, str, str, str]] = []
 
     def failed(group: Sequence[Spec], stage: str, error: Exception) -> None:
         failures.extend((run_id, m.name, stage, f"{type(error).__name__}: {error}") for m in group)
@@ -107,7 +121,7 @@ def backtest(
 
     local = [m for m in models if isinstance(m, LocalForecaster)]
     built_in = [m for m in models if not isinstance(m, LocalForecaster | LinearSpec)] + fitted
-    schemas = {}
+    schemas, finished = {}, []
     for group in [built_in] * bool(built_in) + [[m] for m in local]:
         try:
             origins = cv_origins(
@@ -128,24 +142,37 @@ def backtest(
             schemas = {
                 "cv_results": cv_results.schema, "metrics": metrics.schema, "fit_status": status.schema
             }
+            finished += [m.name for m in group]
         except Exception as error:  # noqa: BLE001
             failed(group, "cross-validation", error)
-    if not schemas:
+            for name in TABLES:
+                keys = {"run_id": [run_id], "model": [m.name for m in group]}
+                remove_partitions(spark, f"{folder}/{name}", keys)
+
+    def of_run(name: str, schema) -> DataFrame:
+        return read_table(spark, f"{folder}/{name}", schema).where(F.col("run_id") == run_id)
+
+    write_table(spark.createDataFrame(failures, FAILURE_SCHEMA), f"{folder}/failures")
+    if not finished:
         raise RuntimeError(f"no model succeeded: {failures}")
+    fitted = [m for m in fitted if m.name in finished]
     if fitted:
         schemas["model_params"] = PARAM_SCHEMA
         write_table(params_frame(spark, fitted, run_id), f"{folder}/model_params")
-    tables = {
-        name: read_table(spark, f"{folder}/{name}", schema).where(F.col("run_id") == run_id)
-        for name, schema in schemas.items()
-    }
+    tables = {name: of_run(name, schema) for name, schema in schemas.items()}
+    summary = leaderboard(tables["metrics"])
+    write_table(summary, f"{folder}/summary")
+    # Written last: a run that is listed here is complete.
+    settings = (run_id, horizon, input_size, n_windows, step, test_size, mape, finished)
+    write_table(spark.createDataFrame([settings], SETTINGS_SCHEMA), f"{folder}/runs")
     return Backtest(
         run_id=run_id,
         folder=folder,
         cv_results=tables["cv_results"],
         metrics=tables["metrics"],
-        summary=leaderboard(tables["metrics"]),
+        summary=of_run("summary", summary.schema),
         status=tables["fit_status"],
         params=tables.get("model_params"),
-        failures=spark.createDataFrame(failures, FAILURE_SCHEMA),
+        failures=of_run("failures", FAILURE_SCHEMA),
+        settings=of_run("runs", SETTINGS_SCHEMA),
     )

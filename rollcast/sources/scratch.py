@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,6 +61,18 @@ def store(frame: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def remove_partitions(spark: SparkSession, path: str, keys: dict[str, list[str]]) -> None:
+    """Delete the partitions of a stored table whose keys, outermost first, have these values."""
+    files, folder = _place(spark, path)
+    found = [folder] if files.exists(folder) else []
+    for key, values in keys.items():
+        names = {f"{key}={value}" for value in values}
+        inside = [status.getPath() for parent in found for status in files.listStatus(parent)]
+        found = [child for child in inside if unquote(child.getName()) in names]
+    for partition in found:
+        files.delete(partition, True)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that no later step reads."""
     files, folder = _place(spark, path)

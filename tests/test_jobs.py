@@ -60,6 +60,27 @@ def test_a_repeated_run_replaces_its_rows(spark, panel, tmp_path):
         backtest(panel, [Naive(), Naive()], **SHAPE)
 
 
+def test_a_repeated_run_shows_no_old_rows(spark, panel, tmp_path):
+    folder = str(tmp_path / "out")
+    backtest(panel, [Naive(), WindowAverage(), NLinear()], run_id="a b/1", folder=folder, **SHAPE)
+    kept = backtest(panel, [Naive()], run_id="other", folder=folder, **SHAPE)
+    wanting = LinearExog(name="Wanting", exogenous=("absent",))
+    again = backtest(panel, [Naive(), Broken(name="NLinear"), wanting], run_id="a b/1", folder=folder, **SHAPE)
+    assert rows(again.failures, "model", "stage", "error") == [
+        ("NLinear", "fit", "RuntimeError: no features"), ("Wanting", "prepare", "missing columns: absent")]
+    for table in (again.cv_results, again.metrics, again.summary, again.status):
+        assert {r["model"] for r in table.collect()} == {"Naive"}
+    assert load_params(spark, f"{folder}/model_params", "a b/1") == []
+    stored = spark.read.parquet(f"{folder}/cv_results").groupBy("run_id", "model").count()
+    assert rows(stored) == [("a b/1", "Naive", 8), ("other", "Naive", 8)]
+    assert rows(again.settings, "run_id", "horizon", "models") == [("a b/1", 2, ["Naive"])]
+    assert kept.failures.count() == 0
+    with pytest.raises(RuntimeError):
+        backtest(panel, [Broken(name="NLinear")], run_id="a b/1", folder=folder, **SHAPE)
+    stored = spark.read.parquet(f"{folder}/failures")
+    assert rows(stored, "run_id", "model") == [("a b/1", "NLinear")]
+
+
 def test_a_run_with_a_number_for_a_name(spark, panel, tmp_path):
     run = backtest(panel, [Naive(name="1"), NLinear()], run_id="007", folder=str(tmp_path / "o"), **SHAPE)
     assert rows(run.cv_results.select("run_id", "model").distinct()) == [("007", "1"), ("007", "NLinear")]

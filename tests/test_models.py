@@ -70,10 +70,10 @@ def windows_of(columns: dict, hold_out=0):
 
 
 def ridge_solution(x, y, ridge):
-    """Centred ridge by stacking penalty rows under the design matrix."""
+    """Centred ridge by stacking penalty rows, in units of each feature, under the design matrix."""
     n = len(x)
     mean_x, mean_y = x.mean(axis=0), y.mean(axis=0)
-    stacked = np.vstack([x - mean_x, np.sqrt(ridge * n) * np.eye(x.shape[1])])
+    stacked = np.vstack([x - mean_x, np.sqrt(ridge * n) * np.diag(x.std(axis=0))])
     target = np.vstack([y - mean_y, np.zeros((x.shape[1], y.shape[1]))])
     weights = np.linalg.lstsq(stacked, target, rcond=None)[0]
     return lambda z: mean_y + (z - mean_x) @ weights
@@ -122,14 +122,35 @@ def test_fit_of_cut_series_is_the_same(panel):
     size = {"input_size": L, "horizon": H, "hold_out": 3}
     whole = window_moments(panel, layout=measure_series(panel), **size)
     cut = window_moments(panel, layout=measure_series(panel, min_rows=16), **size)
-    assert whole[0, 0] == cut[0, 0] == sum(max(0, n - 3 - L - H + 1) for n in (60, 200, 25, 11, 10))
-    np.testing.assert_allclose(cut, whole, rtol=1e-12)
+    assert whole.used == cut.used == sum(max(0, n - 3 - L - H + 1) for n in (60, 200, 25, 11, 10))
+    np.testing.assert_allclose(cut.matrix, whole.matrix, rtol=1e-12)
+
+
+def test_fit_does_not_depend_on_unit_or_level(spark, panel, exog_panel, data):
+    models = [NLinear(), DLinear(kernel=5), LinearExog(exogenous=("carbs",))]
+    size = {"input_size": L, "horizon": H}
+    x = windows_of(data)[0][:, 0, :]
+    carbs = np.tile([0.0, 3.0], L // 2) * np.ones((len(x), 1))
+    base = fit_linear(exog_panel, models, **size)
+    for factor, level in ((1e-3, 0.0), (1.0, 1e9), (1e4, -1e8)):
+        changed = exog_panel.withColumn("y", exog_panel["y"] * factor + level)
+        for old, new in zip(base, fit_linear(changed, models, **size)):
+            extra = carbs if old.exogenous else np.empty((len(x), 0))
+            again = (applied(new, np.hstack([x * factor + level, extra])) - level) / factor
+            np.testing.assert_allclose(again, applied(old, np.hstack([x, extra])), rtol=1e-4)
+
+
+def test_skipped_windows_are_counted(spark):
+    ys = [float(i % 5) for i in range(30)]
+    ys[12] = float("nan")
+    found = window_moments(make_panel(spark, {1: ys}), input_size=3, horizon=2)
+    assert (found.used, found.skipped) == (21, 5)
 
 
 def test_test_rows_do_not_reach_the_fit(spark, data, panel):
     changed = make_panel(spark, {u: np.where(np.arange(len(y)) >= len(y) - 9, 1e6, y) for u, y in data.items()})
     size = {"input_size": L, "horizon": H, "hold_out": 9}
-    np.testing.assert_array_equal(window_moments(panel, **size), window_moments(changed, **size))
+    np.testing.assert_array_equal(window_moments(panel, **size).matrix, window_moments(changed, **size).matrix)
 
 
 @settings(max_examples=60, deadline=None)
