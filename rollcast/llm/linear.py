@@ -29,6 +29,7 @@ LEAST_ROWS, LEAST_Z, MOST_FEATURES = 8, 4.0, 1000
 RIDGE = 1.0
 SAMPLE_ROWS = 4000
 HELD_OUT = 5  # one row in so many
+BLOCK = 256  # rows weighted at a time
 
 
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +76,10 @@ def _newton(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 25) -> np.n
     for _ in range(steps):
         p = sigmoid(x @ w)
         gradient = x.T @ (p - y) + penalty * w
-        hessian = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag(penalty)
+        hessian, spread = np.diag(penalty), np.maximum(p * (1 - p), 1e-6)
+        for at in range(0, len(x), BLOCK):
+            part = x[at : at + BLOCK]
+            hessian += (part * spread[at : at + BLOCK, None]).T @ part
         step = np.linalg.solve(hessian, gradient)
         size = np.abs(step).max()
         w -= step * min(1.0, 5 / max(size, 1e-12))
@@ -169,6 +173,7 @@ def labelled_rows(
     # Repeated documents could make more rows than the sample has labels.
     found = annotate(rows, "__body", schema, task).drop("__body").orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
     table = found.toArrow()
-    words = [np.frombuffer(x, np.int32) for x in table["words"].to_pylist()]
-    shares = [np.frombuffer(x, np.float32) for x in table["shares"].to_pylist()]
+    # Views of the table's memory, no copies on the driver.
+    words = [np.frombuffer(cell.as_buffer(), np.int32) for cell in table["words"]]
+    shares = [np.frombuffer(cell.as_buffer(), np.float32) for cell in table["shares"]]
     return list(zip(words, shares)), {c: table[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in label_columns}

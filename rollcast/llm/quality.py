@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,6 +74,9 @@ def classify(
     models = docs.sparkSession.sparkContext.broadcast(
         (fit(rows, known[quality_column] > 0), fit(rows, known[toxic_column] <= 0))
     )
+    # Later steps run while this function does: the sample need not stay on the driver.
+    del rows, known
+    pa.default_memory_pool().release_unused()
 
     def task():
         good, clean = (m.scorer() for m in models.value)
