@@ -5,7 +5,8 @@ one stream of words, which repeats while the target asks for more.  The stream i
 into blocks of equally many words.  Slot ``i`` of the mix is the point ``frac(i / golden
 ratio)``; the cumulative targets map it to a source; the k-th slot of a source takes the
 k-th block of its stream.  The schedule runs slightly longer than the mix, and a source
-stops when its target is reached.
+stops when its target is reached.  Blocks that a source still needs then (small sources get
+too few points, or none on the grid) come after the last slot, source by source.
 
 Defined results: a null text has no words; a null source is a source of its own, last in
 order; a null id is kept; repeated rows are laid end to end like other rows; documents
@@ -115,10 +116,15 @@ def mix_blocks(
     about = sizes.agg(F.sum("source_size").alias("words"), F.sum("n").alias("rows")).first()
     targets = store(source_targets(sizes.drop("n"), weights, total, cap))
 
+    # Where a source's blocks without a point of the schedule go: each has a place of its own.
+    blocks = F.expr(f"(CAST(floor(target) AS BIGINT) + {block_words - 1}) div {block_words}")
+    earlier = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    late = targets.withColumn("late", F.coalesce(F.sum(blocks).over(earlier), F.lit(0).cast("long")))
+
     bits = max(0, -(-(about["rows"] or 0) // ROWS_PER_BUCKET) - 1).bit_length()
     bucket = F.shiftright("place", 64 - bits) if bits else F.lit(0).cast("long")
     numbered = sized.withColumn("bucket", bucket).join(
-        targets.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))
+        late.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))
     ).drop("__source")
     worded = numbered.where("size > 0")
     order = [F.col(c) for c in ("place", "id", "size")]
@@ -126,7 +132,8 @@ def mix_blocks(
 
     wanted = int((about["words"] or 0) * total)
     n_slots = -(-wanted // block_words)
-    slots = _slots(targets, n_slots + n_slots // 100 + 256 if n_slots else 0)
+    n_points = n_slots + n_slots // 100 + 256 if n_slots else 0
+    slots = _slots(targets, n_points)
 
     # A document lies once in every pass over the stream, up to the target.
     end = F.least(F.col("from") + F.col("size"), F.floor("target"))
@@ -139,12 +146,13 @@ def mix_blocks(
     )
     first = F.greatest("from", F.col("rank") * block_words)
     last = F.least("to", (F.col("rank") + 1) * block_words)
-    pieces = passes.join(slots, ["number", "rank"]).select(
-        "slot", "source", "number", "id", "start", "pass",
+    slot = F.coalesce("slot", F.lit(n_points) + F.col("late") + F.col("rank")).alias("slot")
+    pieces = passes.join(slots, ["number", "rank"], "left").select(
+        slot, "source", "number", "id", "start", "pass",
         (first - F.col("from")).alias("first_word"), (last - first).alias("n_words"),
     )
     empty = numbered.where("size = 0").withColumn("start", F.lit(None).cast("long")).drop("bucket")
-    return pieces, placed.unionByName(empty), targets
+    return pieces, placed.unionByName(empty).drop("late"), targets
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
