@@ -1,17 +1,16 @@
 """Information-theoretic sanitisation of personal data. DataFrame operations only.
 
 Emails, IP addresses, card and phone numbers are found by pattern and checked (parts,
-check digits, number of digits).  They are the protected entities.  Terms near a mention
+check digits, number of digits).  They are the protected entities.  Terms beside a mention
 can still give an entity away, so the corpus is asked how strongly: over all documents,
 
     disclosure(e, t) = PMI(e; t) / IC(e) = ln(N n(e,t) / (n(e) n(t))) / ln(N / n(e)),
 
-with the number of documents that hold the entity, the term, or the term in the entity's
-context.  It is 1 if the term occurs with the entity alone.  Terms with a disclosure of
+with the number of documents that hold the entity, the term, or both.  It is 1 if the term occurs with the entity alone.  Terms with a disclosure of
 ``remove`` or more are removed, with ``generalise`` or more replaced by their class, both
-in the contexts of that entity; a pair needs ``support`` documents to count as evidence.
-A context is ``reach`` code points on either side of a mention, up to the next match of
-the same kind.
+wherever they occur in documents that hold that entity; a pair needs ``support`` documents
+to count as evidence (in one document alone, every word of its own would disclose).
+A term has three letters or digits or more, or is two letters of a script without spaces.
 
 Spans are code points, end exclusive.  Patterns are the equivalent forms without
 backtracking, so long runs of digits or letters stay linear.
@@ -42,9 +41,8 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-TERM = r"[\p{L}\p{N}]{3,}"
+TERM = r"[\p{L}\p{N}]{3,}|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]{2}"
 
-REACH = 64
 SUPPORT = 3
 GENERALISE, REMOVE = 0.75, 0.9
 
@@ -91,40 +89,12 @@ def _entity(kind: str, value: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), same)
 
 
-def _tokens(context: Column, start: Column) -> Column:
-    """Terms of a short context that starts at a code point: ``term, start, end``."""
-    found = F.regexp_extract_all(context, F.lit(TERM), 0)
-    gaps = F.split(context, TERM, -1)
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), 0), F.lower))
 
-    def placed(terms: Column, between: Column) -> Column:
-        def one(term: Column, i: Column) -> Column:
-            before = F.aggregate(
-                F.sequence(F.lit(0), i), F.lit(0),
-                lambda n, j: n + F.length(F.get(between, j)) + F.when(j < i, F.length(F.get(terms, j))).otherwise(0),
-            )
-            at = start + before
-            return F.struct(F.lower(term).alias("term"), at.alias("start"), (at + F.length(term)).alias("end"))
-
-        return F.transform(terms, one)
-
-    return let(found, lambda terms: let(gaps, lambda between: placed(terms, between)))
-
-
-def _before(gap: Column, reach: int) -> Column:
-    """The last code points of a gap; a term cut at the far end is blanked."""
-    near = F.when(F.length(gap) > reach, F.right(gap, F.lit(reach))).otherwise(gap)
-    cut = F.length(F.regexp_extract(near, r"^[\p{L}\p{N}]*", 0))
-    blanked = F.concat(F.repeat(F.lit(" "), cut), F.substring(near, cut + 1, F.lit(reach)))
-    return F.when(F.length(gap) > reach, blanked).otherwise(near)
 
-
-def _after(gap: Column, reach: int) -> Column:
-    near = F.regexp_replace(F.left(gap, F.lit(reach)), r"[\p{L}\p{N}]+$", "")
-    return F.when(F.length(gap) > reach, near).otherwise(gap)
-
-
-def find_mentions(docs: DataFrame, text: str, reach: int = REACH) -> DataFrame:
-    """Add ``base`` (spans by kind, then start) and ``mentions`` (entities with nearby terms).
+def find_mentions(docs: DataFrame, text: str) -> DataFrame:
+    """Add ``base`` (spans by kind, then start) and ``mentions`` (their entities).
 
     Steps are separate projections, and arrays used inside lambdas are bound first, so
     that the optimizer does not run a pattern again for every match.
@@ -164,13 +134,7 @@ def find_mentions(docs: DataFrame, text: str, reach: int = REACH) -> DataFrame:
     spanned = ended.withColumns({f"__spans_{k}": placed(k) for k in KINDS})
 
     def mentions(kind: str) -> Column:
-        def one(m: Column, gaps: Column) -> Column:
-            left = let(F.get(gaps, m["nth"]), lambda gap: _before(gap, reach))
-            right = let(F.get(gaps, m["nth"] + 1), lambda gap: _after(gap, reach))
-            near = let(left, lambda c: _tokens(c, m["start"] - F.length(c)))
-            return F.struct(_entity(kind, m["value"]).alias("entity"), F.concat(near, let(right, lambda c: _tokens(c, m["end"]))).alias("terms"))
-
-        return let(col("gaps", kind), lambda gaps: F.transform(col("spans", kind), lambda m: one(m, gaps)))
+        return F.transform(col("spans", kind), lambda m: F.struct(_entity(kind, m["value"]).alias("entity")))
 
     slim = lambda spans: F.transform(spans, lambda m: F.struct(m["kind"], m["start"], m["end"]))
     return spanned.select(
@@ -180,20 +144,27 @@ def find_mentions(docs: DataFrame, text: str, reach: int = REACH) -> DataFrame:
     )
 
 
+def _entities() -> Column:
+    return F.array_distinct(F.transform("mentions", lambda m: m["entity"]))
+
+
 def disclosures(mentions: DataFrame, docs: DataFrame, text: str, *, support: int = SUPPORT) -> DataFrame:
     """``entity, term, disclosure`` of all pairs with enough documents.
 
     ``mentions`` has a row per document with any; ``docs`` has all documents.
     """
-    entities = mentions.select(F.explode(F.array_distinct(F.transform("mentions", lambda m: m["entity"]))).alias("entity"))
-    of_entity = entities.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = F.flatten(F.transform("mentions", lambda m: F.transform(m["terms"], lambda t: F.struct(m["entity"].alias("entity"), t["term"].alias("term")))))
+    held = store(mentions.select(
+        F.monotonically_increasing_id().alias("row"), _entities().alias("entities"), _terms(column(text)).alias("terms")
+    ))
+    entities = held.select("row", F.explode("entities").alias("entity"))
+    # A pair cannot have more documents than its entity.
+    of_entity = store(entities.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support))
     of_pair = (
-        mentions.select(F.explode(F.array_distinct(pairs)).alias("p"))
-        .groupBy("p.entity", "p.term").agg(F.count("*").alias("n_pair")).where(F.col("n_pair") >= support)
+        entities.join(of_entity.select("entity"), "entity").join(held.select("row", "terms"), "row")
+        .select("entity", F.explode("terms").alias("term"))
+        .groupBy("entity", "term").agg(F.count("*").alias("n_pair")).where(F.col("n_pair") >= support)
     )
-    terms = F.array_distinct(F.regexp_extract_all(F.lower(column(text)), F.lit(TERM), 0))
-    of_term = docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    of_term = docs.select(F.explode(_terms(F.coalesce(column(text), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     n = docs.agg(F.count("*").alias("n_docs"))
     rate = F.log(F.col("n_docs") * F.col("n_pair") / F.col("n_entity") / F.col("n_term"))
     information = F.log(F.col("n_docs") / F.col("n_entity"))
@@ -205,7 +176,7 @@ def disclosures(mentions: DataFrame, docs: DataFrame, text: str, *, support: int
 
 
 def sanitise(
-    docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", reach: int = REACH,
+    docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text",
     support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add ``spans`` (base spans, then terms) and ``clean_text``.
@@ -221,32 +192,53 @@ def sanitise(
         F.struct(*[column(c).alias(c) for c in kept]).alias(ROW), key["id"].cast("string").alias("id"), key["h"].alias("h"),
         F.coalesce(column(text_column).cast("string"), F.lit("")).alias("text"),
     )
-    found = find_mentions(rows, "text", reach)
-    mentions = store(found.where(F.size("mentions") > 0).select("id", "h", "mentions"))
-    strong = disclosures(mentions, rows, "text", support=support).where(F.col("disclosure") >= generalise)
-    near = (
-        mentions.select("id", "h", F.explode("mentions").alias("m"))
-        .select("id", "h", F.col("m.entity").alias("entity"), F.explode("m.terms").alias("t"))
-        .select("id", "h", "entity", "t.term", "t.start", "t.end")
+    found = find_mentions(rows, "text")
+    mentions = store(found.where(F.size("mentions") > 0).select("id", "h", "text", "mentions"))
+    strong = store(disclosures(mentions, rows, "text", support=support).where(F.col("disclosure") >= generalise))
+    listed = store(
+        mentions.select("id", "h", F.explode(_entities()).alias("entity"), _terms(F.col("text")).alias("terms"))
+        .join(strong.select("entity").distinct(), "entity", "left_semi")
+        .select("id", "h", "entity", F.explode("terms").alias("term"))
         .join(strong, ["entity", "term"])
-        .groupBy("id", "h", "start", "end").agg(F.max("disclosure").alias("d"))
-    )
-    action = F.when(F.col("d") >= remove, "remove").otherwise("generalise")
-    terms = store(
-        near.groupBy("id", "h")
-        .agg(F.sort_array(F.collect_list(F.struct(F.lit(len(KINDS)).alias("kind"), "start", "end", action.alias("action")))).alias("terms"))
-        .withColumnsRenamed({"id": "__i", "h": "__h"})
+        .groupBy("id", "h", "term").agg(F.max("disclosure").alias("d"))
+        .groupBy(F.col("id").alias("__i"), F.col("h").alias("__h"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("__strong"))
     )
     same = F.col("id").eqNullSafe(F.col("__i")) & (F.col("h") == F.col("__h"))
-    met = found.drop("mentions").join(terms, same, "left")
+    met = _placed_terms(found.drop("mentions").join(listed, same, "left"), remove)
     base = F.transform("base", lambda s: F.struct(s["kind"], s["start"], s["end"], F.lit("mask").alias("action")))
     apart = lambda t, spans: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
-    some = F.coalesce("terms", F.array().cast(terms.schema["terms"].dataType))
-    own = let(F.col("base"), lambda spans: F.filter(some, lambda t: apart(t, spans)))
+    own = let(F.col("base"), lambda spans: F.filter("terms", lambda t: apart(t, spans)))
     spanned = met.withColumn("spans", F.concat(base, own))
     return _masked(spanned).select(*[F.col(ROW).getField(c).alias(c) for c in kept], "spans", "clean_text")
 
 
+def _placed_terms(met: DataFrame, remove: float) -> DataFrame:
+    """Add ``terms``: spans of all occurrences of the terms that ``__strong`` has for the row."""
+    none = F.array().cast("array<string>")
+    some = F.isnotnull("__strong")
+    split = met.withColumns({
+        "__words": F.when(some, F.regexp_extract_all("text", F.lit(TERM), 0)).otherwise(none),
+        "__between": F.when(some, F.split("text", TERM, -1)).otherwise(none),
+    })
+    steps = let(F.col("__between"), lambda gaps: F.transform(
+        "__words", lambda w, i: (F.length(w) + F.length(F.get(gaps, i))).cast("long")
+    ))
+    ended = split.withColumn("__steps", steps).withColumn("__word_ends", _running(F.col("__steps"), lambda a, b: a + b))
+
+    def one(word: Column, end: Column, strong: Column) -> Column:
+        d = F.element_at(strong, F.lower(word))
+        return F.when(F.isnotnull(d), F.struct(
+            F.lit(len(KINDS)).alias("kind"), (end - F.length(word)).alias("start"), end.alias("end"),
+            F.when(d >= remove, "remove").otherwise("generalise").alias("action"),
+        ))
+
+    terms = let(F.col("__word_ends"), lambda ends: let(F.col("__strong"), lambda strong: F.transform(
+        "__words", lambda word, i: one(word, F.get(ends, i), strong)
+    )))
+    return ended.withColumn("__all", terms).withColumn("terms", F.filter("__all", F.isnotnull))
+
+
 def _masked(spanned: DataFrame) -> DataFrame:
     """Add ``clean_text``: what lies outside the spans, with a mask at the start of each."""
     ordered = F.sort_array(F.transform("spans", lambda s: F.struct(s["start"], s["end"], s["kind"], s["action"])))
