@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcast.llm import decontamination, mixing, privacy, quality, rules, simhash, substrings, suffix_index, tokens, warc
+from rollcast.llm import (
+    decontamination, language, mixing, privacy, quality, ranking, resampling, rules, simhash, substrings, suffix_index, tokens, warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -159,3 +161,72 @@ def op9_suffix_index(spark: SparkSession, folder: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return rules.judge(docs, table(spark, folder, "labels")).drop("text")
+
+
+@query(
+    f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS6} AS w FROM documents),
+    q AS (SELECT row_number() OVER () AS q, item_id, list_distinct({_WORDS6}) AS w FROM benchmark),
+    t AS (SELECT q, unnest(w) AS term FROM q),
+    g AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+    p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) SEMI JOIN t USING (term) GROUP BY ALL),
+    f AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+          FROM p, g GROUP BY term, n_docs),
+    m AS (SELECT r, doc_id, 100 - 90 + ((90 * len(w) * n_docs) // n_terms) AS m FROM d, g WHERE len(w) > 0),
+    s AS (SELECT q, r, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+          FROM t JOIN f USING (term) JOIN p USING (term) JOIN m USING (r) GROUP BY q, r),
+    o AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank
+          FROM s JOIN d USING (r) WHERE score > 0)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o JOIN q USING (q) WHERE rank <= 10
+    """
+)
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = ranking.search(docs, table(spark, folder, "benchmark"))
+    return found.select("item_id", "rank", F.col("id").alias("doc_id"), "score")
+
+
+@query()
+def op12_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    # Rows without an id have no remainder: nothing is learned from them.
+    learn = F.col("doc_id").isNotNull() & ~held_out & F.col("lang").isNotNull()
+    model = language.learn(docs.where(learn))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), F.col("language").alias("lang_pred"), "score")
+
+
+@query(
+    f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS6} AS w FROM documents),
+    x AS (SELECT r, unnest(w) AS g FROM d),
+    y AS (SELECT unnest({_WORDS6}) AS g FROM benchmark),
+    k AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i:
+                 CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b)) AS k),
+    u AS (SELECT g, list_transform(range(len(hex(g)) // 2),
+                                   lambda i: CAST('0x' || substr(hex(g), 2 * i + 1, 2) AS BIGINT)) AS bytes
+          FROM (SELECT g FROM x UNION SELECT g FROM y)),
+    b AS (SELECT g, xor(list_reduce(bytes, lambda c, v: xor(c // 256, k[xor(c, v) % 256 + 1]), 4294967295), 4294967295)
+                    % 10000 AS bucket FROM u, k),
+    s AS (SELECT bucket, count(*) AS s FROM x JOIN b USING (g) GROUP BY bucket),
+    t AS (SELECT bucket, count(*) AS t FROM y JOIN b USING (g) GROUP BY bucket),
+    a AS (SELECT (SELECT count(*) FROM x) AS s_all, (SELECT count(*) FROM y) AS t_all),
+    v AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (s_all + 10000) /
+                                              ((s + 1.0::DOUBLE) * (t_all + 10000)))) AS BIGINT) AS gain
+          FROM s LEFT JOIN t USING (bucket), a),
+    w AS (SELECT r, count(*) AS n, sum(gain)::BIGINT AS weight FROM x JOIN b USING (g) JOIN v USING (bucket) GROUP BY r),
+    o AS (SELECT r, doc_id, coalesce(n, 0) AS n, coalesce(weight, 0) AS weight,
+                 CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+          FROM d LEFT JOIN w USING (r)),
+    z AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score,
+                 10 * (SELECT count(*) FROM o WHERE n >= 20) // 100 AS drawn FROM o),
+    e AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM z WHERE n >= 20)
+    SELECT doc_id, CAST(n AS BIGINT) AS n_features, weight, score,
+           CAST(CASE WHEN rank <= drawn THEN rank END AS BIGINT) AS rank FROM z LEFT JOIN e USING (r)
+    """
+)
+def op13_importance(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = resampling.resample(docs, table(spark, folder, "benchmark"), keep=["doc_id"])
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
