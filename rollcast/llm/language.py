@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollcast.llm.common import ROW, column, small_batches, texts_of
+from rollcast.llm.hashing import Runs, mix
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 14
@@ -153,16 +154,22 @@ class Words:
         own = begin - (text_end - sizes - 1)[text]
         return Words(characters, first, size, own, text, script[begin], letters)
 
-    def grams(self, order: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets of the n-grams of all words, and the word of each."""
-        word = np.repeat(np.arange(len(self.size)), self.size + 2)
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """One of each group of equal words, and the group of every word."""
+        runs = Runs(mix(self.characters.astype(np.uint64)))
+        _, which, group = np.unique(runs.between(self.first, self.first + self.size), return_index=True, return_inverse=True)
+        return which, group
+
+    def grams(self, which: np.ndarray, order: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of the n-grams of these words, and the place in ``which`` of each one's word."""
         # Each word with both borders: characters first - 1 ... first + size.
-        length = self.size + 2
+        length = self.size[which] + 2
+        word = np.repeat(np.arange(len(which)), length)
         place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
         fits = place <= length[word] - order
         if order == 1:
             fits &= (place > 0) & (place < length[word] - 1)
-        at = (np.repeat(self.first - 1, length) + place)[fits]
+        at = (np.repeat(self.first[which] - 1, length) + place)[fits]
         h = np.full(len(at), order, np.uint64)
         for i in range(order):
             h = (h ^ self.characters[at + i]) * np.uint64(0x9E3779B97F4A7C15)
@@ -182,19 +189,20 @@ class Model:
 
     def score(self, words: Words) -> np.ndarray:
         """Words by languages; minus infinity where the script rules a language out."""
-        total = np.zeros((len(words.size), len(self.languages)))
-        number = np.zeros(len(words.size))
+        which, group = words.distinct()
+        total = np.zeros((len(which), len(self.languages)), np.float32)
+        number = np.zeros(len(which), np.float32)
         for order, table in zip(self.orders, self.tables):
-            bucket, word = words.grams(order, self.buckets)
-            count = np.bincount(word, minlength=len(words.size))
+            bucket, word = words.grams(which, order, self.buckets)
+            count = np.bincount(word, minlength=len(which))
             number += count
             some = np.flatnonzero(count)
             if len(some):
                 starts = (np.cumsum(count) - count)[some]
                 total[some] += np.add.reduceat(table[bucket], starts, axis=0)
         total /= np.sqrt(np.maximum(number, 1))[:, None]
-        total[~self.allowed[words.script]] = -np.inf
-        return total
+        total[~self.allowed[words.script[which]]] = -np.inf
+        return total[group]
 
 
 def learn(
@@ -215,8 +223,11 @@ def learn(
             for name in set(names):
                 own = found.setdefault(name, [np.zeros(buckets, np.int64) for _ in orders] + [np.zeros(OTHER + 1, np.int64)])
                 words = Words.of([texts[i] for i in np.flatnonzero(names == name)], tables)
+                which, group = words.distinct()
+                times = np.bincount(group, minlength=len(which))
                 for i, order in enumerate(orders):
-                    own[i] += np.bincount(words.grams(order, buckets)[0], minlength=buckets)
+                    bucket, word = words.grams(which, order, buckets)
+                    own[i] += np.bincount(bucket, times[word], buckets).astype(np.int64)
                 own[-1] += np.bincount(words.script, words.letters, OTHER + 1).astype(np.int64)
         for name, arrays in found.items():
             for kind, values in enumerate(arrays):
@@ -260,24 +271,26 @@ def best_paths(scores: np.ndarray, text: np.ndarray, penalty: float) -> np.ndarr
     # How many texts have a t-th word, and where those words are.
     active = np.searchsorted(-count, -np.arange(steps), "left")
     came_from = np.zeros(scores.shape, np.int32)
-    value = scores[first]
+    value = scores[first].astype(float)
     rows = np.arange(len(first))
     for t in range(1, steps):
         k = active[t]
         before = value[:k]
         top = before.argmax(axis=1)
-        change = before[rows[:k], top] - penalty
-        stay = before >= change[:, None]
+        change = (before[rows[:k], top] - penalty)[:, None]
         at = first[:k] + t
-        came_from[at] = np.where(stay, np.arange(scores.shape[1]), top[:, None])
-        value[:k] = np.where(stay, before, change[:, None]) + scores[at]
+        # -1: stayed.
+        came_from[at] = np.where(before >= change, -1, top[:, None])
+        value[:k] = np.maximum(before, change) + scores[at]
     path = np.zeros(len(text), np.int64)
     state = value.argmax(axis=1)
     for t in range(steps - 1, -1, -1):
         k = active[t]
         at = first[:k] + t
         path[at] = state[:k]
-        state[:k] = came_from[at, state[:k]]
+        if t:
+            origin = came_from[at, state[:k]]
+            state[:k] = np.where(origin < 0, state[:k], origin)
     return path
 
 
