@@ -11,7 +11,7 @@ from checks.sql import EVENTS, ORDERS, RANKED, SUPPLIERS, folds, with_
 from rollcast.functions import clean_numeric
 from rollcast.operators import panel as panels
 from rollcast.operators import windows
-from rollcast.operators.series import measure_series
+from rollcast.operators.series import cut_table, measure_series, with_rank_from_end
 from rollcast.sources.panels import event_readings, events_panel, orders_panel, supplier_layout, supplier_panel, table
 from rollcast.sources.readings import read_readings as read_csv_readings
 from rollcast.sources.scratch import shared_folder
@@ -84,7 +84,7 @@ LAST = with_(ORDERS, RANKED) + "SELECT unique_id, ds, " + r6("y", "y") + " FROM
 
 def small_pieces(panel):
     """A layout that cuts every series into pieces of about 64 rows, as it would a huge one."""
-    return measure_series(panel, min_rows=64)
+    return measure_series(panel, piece_rows=64, spacing=timedelta(days=1))
 
 
 @query(LAST)
@@ -98,6 +98,69 @@ def last_n_of_cut_series(spark, folder):
     return windows.last_n(panel, 48, small_pieces(panel))
 
 
+@query(LAST.replace("r <= 48", "r <= 1000"))
+def last_n_as_far_as_groups_are_limited(spark, folder):
+    return windows.last_n(orders_panel(spark, folder), 1000)
+
+
+@query(LAST.replace("r <= 48", "r <= 1001"))
+def last_n_beyond_the_group_limit(spark, folder):
+    """Older rows are dropped by time, from bucket counts, before the tail is sorted."""
+    panel = orders_panel(spark, folder)
+    return windows.last_n(panel, 1001, measure_series(panel, piece_rows=512, spacing=timedelta(days=1)))
+
+
+@query(LAST.replace("r <= 48", "r <= 1500"))
+def last_n_of_more_than_a_piece(spark, folder):
+    panel = orders_panel(spark, folder)
+    return windows.last_n(panel, 1500, small_pieces(panel))
+
+
+@query(
+    with_(ORDERS)
+    + "SELECT unique_id, count(*) AS n_rows, true AS bounded FROM panel GROUP BY unique_id"
+)
+def series_pieces(spark, folder):
+    """Pieces of cut series cover all rows, and none has over 64 rows and a quarter."""
+    pieces = cut_table(small_pieces(orders_panel(spark, folder)), 64)
+    pieces = pieces.select("unique_id", "__piece", "__own").distinct()
+    return pieces.groupBy("unique_id").agg(F.sum("__own").alias("n_rows"), (F.max("__own") <= 80).alias("bounded"))
+
+
+# A panel with NULL ids and times, and series of very different length.
+SPOTTY = """panel AS (
+  SELECT CASE WHEN user_id % 3 > 0 THEN user_id % 10 END AS unique_id,
+         CASE WHEN event_id % 11 > 0 THEN ts END AS ds, value AS y
+  FROM events)"""
+
+SPOTTY_RANKED = """ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY unique_id ORDER BY ds DESC NULLS LAST, y DESC NULLS LAST) AS r
+  FROM panel)"""
+
+
+def spotty_panel(spark, folder):
+    user, event = F.col("user_id"), F.col("event_id")
+    return table(spark, folder, "events").select(
+        F.when(user % 3 > 0, user % 10).alias("unique_id"), F.when(event % 11 > 0, F.col("ts")).alias("ds"),
+        F.col("value").alias("y"),
+    )
+
+
+@query(with_(SPOTTY, SPOTTY_RANKED) + "SELECT unique_id, ds, " + r6("y", "y") + ", r AS rank_from_end FROM ranked")
+def ranks_with_null_ids_and_times(spark, folder):
+    panel = spotty_panel(spark, folder)
+    return with_rank_from_end(panel, measure_series(panel, piece_rows=64))
+
+
+@query(
+    with_(SPOTTY, SPOTTY_RANKED)
+    + "SELECT unique_id, ds, " + r6("y", "y")
+    + ", CASE WHEN r > 25 THEN 'inference' ELSE 'holdout' END AS role FROM ranked"
+)
+def holdout_with_null_ids_and_times(spark, folder):
+    return windows.holdout_split(spotty_panel(spark, folder), 25)
+
+
 HOLDOUT = (
     with_(ORDERS, RANKED)
     + "SELECT unique_id, ds, " + r6("y", "y")
@@ -127,13 +190,11 @@ def inference_frame(spark, folder):
     return windows.inference_frame(panel, horizon=12, input_size=40, plot_points=48)
 
 
-@query(
-    with_(EVENTS.replace("FROM events", "FROM events WHERE event_type = 'view'"), RANKED)
-    + INFERENCE.replace("48", "10").replace("12", "3").replace("40", "6")
-)
+@query(with_(EVENTS, RANKED) + INFERENCE.replace("48", "60").replace("12", "3").replace("40", "62"))
 def inference_frame_of_short_series(spark, folder):
-    panel = panels.prepare_readings(event_readings(spark, folder), event_type="view")
-    return windows.inference_frame(panel, horizon=3, input_size=6, plot_points=10)
+    """Many series have fewer than 60 rows, or fewer than 62 after the hold-out."""
+    panel = events_panel(spark, folder).drop("carbs")
+    return windows.inference_frame(panel, horizon=3, input_size=62, plot_points=60)
 
 
 FOLD_COLUMNS = "SELECT unique_id, fold, cutoff, step, ds, " + r6("y", "y") + " FROM folds"
@@ -166,6 +227,31 @@ def cv_folds_of_cut_series(spark, folder):
     )
 
 
+@query(with_(ORDERS, RANKED, folds(12, 3, input_size=1200)) + FOLD_COLUMNS)
+def cv_folds_with_long_inputs(spark, folder):
+    """More rows before the folds than Spark limits groups to."""
+    panel = orders_panel(spark, folder)
+    return windows.cv_folds(
+        panel, horizon=12, n_windows=3, input_size=1200,
+        layout=measure_series(panel, piece_rows=512, spacing=timedelta(days=1)),
+    )
+
+
+@query(
+    with_(EVENTS, RANKED)
+    + """SELECT a.unique_id, a.ds, CASE WHEN b.r >= a.r THEN 24 - (b.r - a.r) ELSE 24 + a.r - b.r END AS position, """
+    + r6("b.y", "y") + """
+FROM ranked a JOIN ranked b ON b.unique_id = a.unique_id AND b.r <= a.r + 23 AND b.r >= a.r - 6
+WHERE a.r > 6 AND a.r + 23 <= a.n"""
+)
+def lag_windows_every_element(spark, folder):
+    """All lags and targets of all windows, one row each."""
+    panel = events_panel(spark, folder)
+    found = windows.lag_windows(panel, input_size=24, horizon=6, layout=small_pieces(panel))
+    both = F.posexplode(F.concat("lags", "targets")).alias("at", "y")
+    return found.select("unique_id", "ds", both).select("unique_id", "ds", (F.col("at") + 1).alias("position"), "y")
+
+
 def lag_sql(panel: str, lags: int, horizon: int, hold_out: int = 0) -> str:
     window = "(PARTITION BY unique_id ORDER BY ds ROWS BETWEEN {} AND {})"
     past = window.format(f"{lags - 1} PRECEDING", "CURRENT ROW")

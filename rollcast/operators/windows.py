@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from rollcast.operators.series import (
     ID,
+    TIE,
     TS,
     Y,
     SeriesLayout,
+    same,
     time_order,
     training_runs,
     with_rank_from_end,
@@ -30,10 +32,46 @@ def last_n(panel: DataFrame, n: int, layout: SeriesLayout | None = None) -> Data
     return with_rank_from_end(panel, layout, last=n).drop("rank_from_end")
 
 
+def _with_boundaries(
+    panel: DataFrame, ranks: Sequence[int], layout: SeriesLayout | None, rows_up_to: int = 0
+) -> tuple[DataFrame, Column, list[Column], Column]:
+    """Join to every row what is known of its series' end.
+
+    Returns the frame, the row's place in the order of its series, the places of the rows
+    at these ranks (from the end; NULL if there are fewer rows), and the number of rows,
+    counted no further than to the greatest rank or ``rows_up_to``.  Only tails are
+    sorted; the panel itself meets their boundaries in a join by series.
+
+    Rows are ordered by time, target, and a hash of the whole row.  So rows that are equal
+    in all columns have one place: they fall on the same side of a boundary.
+    """
+    ties = F.xxhash64(*panel.columns).alias(TIE)
+    place = F.struct(*[F.col(c) for c in (TS, Y) if c in panel.columns], ties)
+    keyed = panel.select(*[c for c in (ID, TS, Y) if c in panel.columns], ties)
+    most = max(1, rows_up_to, *ranks)
+    tail = with_rank_from_end(keyed, layout, last=most)
+    end = F.struct(*[F.col(c) for c in (TS, Y, TIE) if c in keyed.columns])
+    names = [f"__boundary{i}" for i in range(len(ranks))]
+    known = tail.groupBy(ID).agg(
+        F.count(F.lit(1)).alias("__rows"),
+        *[F.max(F.when(F.col("rank_from_end") == rank, end)).alias(n) for n, rank in zip(names, ranks)],
+    )
+    joined = panel.join(known.withColumnRenamed(ID, "__id"), same(F.col(ID), F.col("__id")), "left")
+    return joined, place, [F.col(n) for n in names], F.col("__rows")
+
+
+def _at_end(place: Column, boundary: Column, rank: int) -> Column:
+    """Is a row among the last ``rank`` of its series?"""
+    if rank < 1:
+        return F.lit(False)
+    return F.coalesce(place >= boundary, F.lit(True))
+
+
 def holdout_split(panel: DataFrame, horizon: int, layout: SeriesLayout | None = None) -> DataFrame:
     """Tag the last ``horizon`` rows of every series ``holdout``, the others ``inference``."""
-    role = F.when(F.col("rank_from_end") > horizon, "inference").otherwise("holdout")
-    return with_rank_from_end(panel, layout).withColumn("role", role).drop("rank_from_end")
+    joined, place, [boundary], _ = _with_boundaries(panel, [horizon], layout)
+    role = F.when(_at_end(place, boundary, horizon), "holdout").otherwise("inference")
+    return joined.select(*panel.columns, role.alias("role"))
 
 
 def inference_frame(
@@ -46,15 +84,14 @@ def inference_frame(
     but the last ``horizon``.  A series shorter than ``plot_points``, or with fewer
     than ``input_size`` rows left after the hold-out, gives all rows to the models.
     """
-    ranked = with_rank_from_end(panel, layout, series_rows=True)
-    rank, n = F.col("rank_from_end"), F.col("series_rows")
-    too_short = (n < plot_points) | (n - horizon < input_size)
-    return (
-        ranked.withColumn("for_inference", too_short | (rank > horizon))
-        .withColumn("for_plot", (n < plot_points) | (rank <= plot_points))
-        .where("for_inference or for_plot")
-        .drop("rank_from_end", "series_rows")
+    joined, place, [held, charted], n = _with_boundaries(
+        panel, [horizon, plot_points], layout, rows_up_to=horizon + input_size
     )
+    too_short = (n < plot_points) | (n - horizon < input_size)
+    for_inference = too_short | ~_at_end(place, held, horizon)
+    for_plot = (n < plot_points) | _at_end(place, charted, plot_points)
+    tagged = joined.select(*panel.columns, for_inference.alias("for_inference"), for_plot.alias("for_plot"))
+    return tagged.where("for_inference or for_plot")
 
 
 def fold_count(horizon: int, step: int, n_windows: int | None, test_size: int | None) -> int:

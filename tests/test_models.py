@@ -121,7 +121,7 @@ def test_linear_with_exogenous_columns(exog_panel):
 def test_fit_of_cut_series_is_the_same(panel):
     size = {"input_size": L, "horizon": H, "hold_out": 3}
     whole = window_moments(panel, layout=measure_series(panel), **size)
-    cut = window_moments(panel, layout=measure_series(panel, min_rows=16), **size)
+    cut = window_moments(panel, layout=measure_series(panel, piece_rows=16), **size)
     assert whole.used == cut.used == sum(max(0, n - 3 - L - H + 1) for n in (60, 200, 25, 11, 10))
     np.testing.assert_allclose(cut.matrix, whole.matrix, rtol=1e-12)
 
