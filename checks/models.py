@@ -25,7 +25,11 @@ from rollcast.operators import forecast
 from rollcast.operators.forecast import LocalForecaster, Naive, WindowAverage
 from rollcast.operators.linear import DLinear, LinearExog, LinearModel, NLinear
 from rollcast.operators.windows import holdout_split
+from rollcast.operators.runs import run_list as list_runs
 from rollcast.plans.backtest import backtest as run_backtest
+from rollcast.plans.backtest import open_run
+from rollcast.plans.predict import predict_stored
+from rollcast.sources.generations import read_current
 from rollcast.sources.panels import events_panel, orders_panel, supplier_layout, supplier_panel
 from rollcast.sources.results import load_params, save_params
 from rollcast.sources.scratch import delete_at_end, shared_folder
@@ -202,6 +206,56 @@ def fit_summary(spark, folder):
     return forecast.fit_summary(event_status(spark, folder))
 
 
+def line_of(history):
+    """A regression line over days; refuses a series whose history reaches 148."""
+    if history["y"].max() >= 148:
+        raise ValueError("reading of 148 or more")
+    days = (history["ds"] - np.datetime64("1995-01-01")) / np.timedelta64(1, "D")
+    return np.polyfit(days, history["y"], 1)
+
+
+def on_line(line, past, times):
+    days = (np.array(times, "datetime64[us]") - np.datetime64("1995-01-01")) / np.timedelta64(1, "D")
+    return np.polyval(line, days)
+
+
+LINE = """lines AS (
+  SELECT unique_id, regr_slope(y, t) AS slope, regr_intercept(y, t) AS start, max(y) AS top, max(n) AS n
+  FROM (SELECT *, epoch(ds - TIMESTAMP '1995-01-01') / 86400 AS t FROM ranked) q
+  WHERE r > 36 AND r <= {most} GROUP BY unique_id)"""
+
+
+@query(
+    with_(SUPPLIERS, RANKED, folds(12, 3, input_size=48), LINE.format(most=10_000))
+    + f"SELECT 'Line' AS model, d.unique_id, d.ds, d.cutoff, {r6('d.y', 'y')}, round(CASE WHEN l.top < 148 THEN "
+    "l.start + l.slope * epoch(d.ds - TIMESTAMP '1995-01-01') / 86400 END, 3) AS y_hat "
+    "FROM folds d JOIN lines l USING (unique_id)"
+)
+def cross_validate_per_series(spark, folder):
+    """A user's regression, fitted once per series, forecasts every fold; some series fail."""
+    found = forecast.cross_validate(
+        supplier_panel(spark, folder), [forecast.SeriesForecaster("Line", line_of, on_line)], **SUPPLIER_SHAPE
+    )
+    return found.withColumn("y_hat", F.round("y_hat", 3))
+
+
+@query(
+    with_(SUPPLIERS, RANKED, folds(12, 3, input_size=48), LINE.format(most=500))
+    + """SELECT 'Line' AS model, unique_id,
+  CASE WHEN top >= 148 THEN 'failed' WHEN n > 500 THEN 'bounded' ELSE 'ok' END AS status,
+  CASE WHEN top >= 148 THEN 'ValueError: reading of 148 or more'
+       WHEN n > 500 THEN 'fitted on the last 500 rows' END AS error
+FROM lines WHERE n >= 84"""
+)
+def fit_status_per_series(spark, folder):
+    """Series with more rows than the model takes are fitted on their tail, and reported."""
+    runs = forecast.cv_runs(
+        supplier_panel(spark, folder), [forecast.SeriesForecaster("Line", line_of, on_line, max_rows=500)],
+        step=None, test_size=None, layout=supplier_layout(spark, folder), **SUPPLIER_SHAPE,
+    )
+    return forecast.fit_status(runs)
+
+
 FUTURE = """future AS (
   SELECT a.unique_id, max(a.ds) AS cutoff, max(CASE WHEN a.r = 1 THEN a.y END) AS last_y,
          avg(a.y) AS mean_y
@@ -328,6 +382,38 @@ def backtest_repeated(spark, folder):
     return run.cv_results.select("model", "unique_id", "ds", "cutoff", "y", "y_hat")
 
 
+@query(
+    with_(*EVENT_FUTURE)
+    + "SELECT 'run_2' AS run_id, model, unique_id, ds, " + r6("y_hat", "y_hat") + " FROM predictions"
+)
+def predict_from_stored_run(spark, folder):
+    """Two runs are stored; the forecasts need the folder and the panel only, and are read back from it."""
+    panel, out = events_panel(spark, folder), shared_folder(spark)
+    delete_at_end(spark, out)
+    run_backtest(panel, [Naive()], run_id="run_1", folder=out, **EVENT_SHAPE)
+    run_backtest(panel, BASELINES, run_id="run_2", folder=out, **EVENT_SHAPE)
+    predict_stored(panel, out, freq=timedelta(minutes=5))
+    return open_run(spark, out).predictions.select("run_id", "model", "unique_id", "ds", "y_hat")
+
+
+@query(
+    with_(EVENTS, "sizes AS (SELECT unique_id, count(*) AS n FROM panel GROUP BY unique_id)")
+    + """SELECT run_id, horizon, input_size, n_models, n_models * count_if(n >= input_size + 18)::BIGINT AS n_ok,
+  0::BIGINT AS n_bounded, 0::BIGINT AS n_failed, n_models * count_if(n < input_size + 18)::BIGINT AS n_skipped, has_models
+FROM sizes, (VALUES ('run_1', 6::BIGINT, 24::BIGINT, 1::BIGINT, false), ('run_2', 6, 40, 3, true))
+  t(run_id, horizon, input_size, n_models, has_models)
+GROUP BY run_id, horizon, input_size, n_models, has_models"""
+)
+def run_list(spark, folder):
+    """The runs of a folder with their shape and outcome; the first run was stored twice."""
+    panel, out = events_panel(spark, folder), shared_folder(spark)
+    delete_at_end(spark, out)
+    run_backtest(panel, [*BASELINES], run_id="run_1", folder=out, **EVENT_SHAPE)
+    run_backtest(panel, [*BASELINES, NLinear()], run_id="run_2", folder=out, **{**EVENT_SHAPE, "input_size": 40})
+    run_backtest(panel, [Naive()], run_id="run_1", folder=out, **EVENT_SHAPE)
+    return list_runs(*[read_current(spark, out, name) for name in ("runs", "fit_status", "model_params")])
+
+
 MEDIAN_CV = """middles AS (
   SELECT a.unique_id, f.fold, CASE WHEN max(a.y) <= 250 THEN median(a.y) END AS mid
   FROM ranked a JOIN fold_list f ON a.r > f.newest + 12 AND a.r <= f.newest + 60

@@ -5,20 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import timedelta
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rollcast.operators.linear import LinearModel, LinearSpec, fit_linear
-from rollcast.operators.series import ID, KEYS, TS, Y, SeriesLayout, measure_series
+from rollcast.operators.series import ID, KEYS, TS, Y, SeriesLayout, measure_series, with_rank_from_end
 from rollcast.operators.windows import (
     DEFAULT_FREQ,
     DEFAULT_HORIZON,
     DEFAULT_INPUT_SIZE,
     DEFAULT_WINDOWS,
     cv_origins,
+    fold_count,
     forecast_origins,
     tested_rows,
 )
@@ -81,7 +84,27 @@ class LocalForecaster:
         return run("lags")
 
 
-Forecaster = Naive | WindowAverage | LinearModel | LocalForecaster
+@dataclass(frozen=True)
+class SeriesForecaster:
+    """A user model that is fitted to each series by itself: once, on the rows before all folds.
+
+    ``fit(history)`` gets a series' rows as a pandas frame (``ds, y`` and the exogenous
+    columns, oldest first) and returns a state.  ``forecast(state, past, times)`` returns a
+    value for each of ``times``, given the rows up to a fold's cutoff.
+
+    A task holds one series at a time, and of it the last ``max_rows`` rows: a longer one
+    is fitted on these and reported as ``bounded``.  A failing fit fails all folds of its
+    series, a failing forecast its fold; other series go on.
+    """
+
+    name: str
+    fit: Callable[[pd.DataFrame], object]
+    forecast: Callable[[object, pd.DataFrame, Sequence], Sequence[float]]
+    max_rows: int = 10_000
+    exogenous: tuple[str, ...] = ()
+
+
+Forecaster = Naive | WindowAverage | LinearModel | LocalForecaster | SeriesForecaster
 Spec = Forecaster | LinearSpec
 
 
@@ -111,7 +134,7 @@ def run_models(origins: DataFrame, models: Sequence[Forecaster], horizon: int) -
     """Apply all models to all origins in one pass.
 
     One row per model and origin: ``model, unique_id, [fold,] cutoff, steps,
-    y_hat array<double>, error``.  ``error`` is NULL where the model worked.
+    y_hat array<double>, error, note``.  ``error`` is NULL where the model worked.
     """
     results = []
     for model in models:
@@ -122,7 +145,105 @@ def run_models(origins: DataFrame, models: Sequence[Forecaster], horizon: int) -
             y_hat, error = model.forecast(horizon), F.lit(None).cast("string")
         results.append(F.struct(F.lit(model.name).alias("model"), y_hat.alias("y_hat"), error.alias("error")))
     kept = [c for c in (ID, "fold", "cutoff", "steps") if c in origins.columns]
-    return origins.select(*kept, F.explode(F.array(*results)).alias("r")).select("r.model", *kept, "r.y_hat", "r.error")
+    spread = origins.select(*kept, F.explode(F.array(*results)).alias("r"))
+    return spread.select("r.model", *kept, "r.y_hat", "r.error", F.lit(None).cast("string").alias("note"))
+
+
+def _outcome(model: SeriesForecaster, state: object, past: pd.DataFrame, times: Sequence) -> tuple[list | None, str | None]:
+    """Forecasts of one fold, or why there are none."""
+    try:
+        values = np.asarray(model.forecast(state, past, times), dtype=float)
+        if values.shape != (len(times),):
+            raise ValueError(f"expected {len(times)} values, got shape {values.shape}")
+        return values.tolist(), None
+    except Exception as error:  # noqa: BLE001 - any failure of user code is recorded
+        return None, f"{type(error).__name__}: {error}"
+
+
+def _fitted(model: SeriesForecaster, history: pd.DataFrame) -> tuple[object, str | None]:
+    try:
+        return model.fit(history), None
+    except Exception as error:  # noqa: BLE001
+        return None, f"{type(error).__name__}: {error}"
+
+
+def _tails(panel: DataFrame, model: SeriesForecaster, layout: SeriesLayout | None) -> DataFrame:
+    """The rows a task needs of each series, and one more that tells that there are more."""
+    return with_rank_from_end(panel.select(ID, TS, Y, *model.exogenous), layout, last=model.max_rows + 1)
+
+
+def _run_schema(panel: DataFrame, fold: bool) -> T.StructType:
+    steps = T.ArrayType(T.StructType([panel.schema[TS], T.StructField(Y, T.DoubleType())]))
+    fields = [T.StructField("model", T.StringType()), T.StructField(ID, panel.schema[ID].dataType)]
+    fields += [T.StructField("fold", T.IntegerType())] if fold else []
+    return T.StructType(fields + [
+        T.StructField("cutoff", panel.schema[TS].dataType), T.StructField("steps", steps),
+        T.StructField("y_hat", T.ArrayType(T.DoubleType())), T.StructField("error", T.StringType()),
+        T.StructField("note", T.StringType()),
+    ])
+
+
+def series_runs(
+    panel: DataFrame, model: SeriesForecaster, *, horizon: int, input_size: int,
+    n_windows: int | None = DEFAULT_WINDOWS, step: int | None = None, test_size: int | None = None,
+    layout: SeriesLayout | None = None,
+) -> DataFrame:
+    """Fit a model to each series and forecast all its folds; shaped like ``run_models``.
+
+    Series without ``input_size`` rows before the folds are left out, as in ``cv_origins``.
+    """
+    step = step or horizon
+    folds = fold_count(horizon, step, n_windows, test_size)
+    tested = tested_rows(horizon, step, folds)
+    if model.max_rows < input_size + tested:
+        raise ValueError(f"{model.name}: max_rows must be {input_size + tested} or more")
+    schema = _run_schema(panel, fold=True)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rank_from_end", ascending=False, ignore_index=True)
+        note = None
+        if len(rows) > model.max_rows:
+            rows = rows.iloc[len(rows) - model.max_rows :].reset_index(drop=True)
+            note = f"fitted on the last {model.max_rows} rows"
+        uid, first, out = rows[ID].iloc[0], len(rows) - tested, []
+        rows = rows.drop(columns=[ID, "rank_from_end"])
+        if first < input_size:
+            return pd.DataFrame(out, columns=schema.names)
+        state, failed = _fitted(model, rows.iloc[:first])
+        for fold in range(folds):
+            start = first + fold * step
+            ahead = rows.iloc[start : start + horizon]
+            steps = [{TS: t, Y: None if pd.isna(y) else float(y)} for t, y in zip(ahead[TS], ahead[Y])]
+            values, error = (None, failed) if failed else _outcome(model, state, rows.iloc[:start], list(ahead[TS]))
+            out.append((model.name, uid, fold + 1, rows[TS].iloc[start - 1], steps, values, error, note))
+        return pd.DataFrame(out, columns=schema.names)
+
+    return _tails(panel, model, layout).groupBy(ID).applyInPandas(run, schema)
+
+
+def series_inference(
+    panel: DataFrame, model: SeriesForecaster, *, horizon: int, input_size: int, freq: timedelta = DEFAULT_FREQ,
+    layout: SeriesLayout | None = None,
+) -> DataFrame:
+    """Fit a model to each series and forecast after its last row; shaped like ``run_models``."""
+    schema = _run_schema(panel, fold=False)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rank_from_end", ascending=False, ignore_index=True)
+        note = f"fitted on the last {model.max_rows} rows" if len(rows) > model.max_rows else None
+        rows = rows.iloc[-model.max_rows :].reset_index(drop=True)
+        uid = rows[ID].iloc[0]
+        rows = rows.drop(columns=[ID, "rank_from_end"])
+        if len(rows) < input_size:
+            return pd.DataFrame([], columns=schema.names)
+        cutoff = rows[TS].iloc[-1]
+        times = [cutoff + i * freq for i in range(1, horizon + 1)]
+        state, failed = _fitted(model, rows)
+        values, error = (None, failed) if failed else _outcome(model, state, rows, times)
+        steps = [{TS: t, Y: None} for t in times]
+        return pd.DataFrame([(model.name, uid, cutoff, steps, values, error, note)], columns=schema.names)
+
+    return _tails(panel, model, layout).groupBy(ID).applyInPandas(run, schema)
 
 
 def forecast_rows(runs: DataFrame) -> DataFrame:
@@ -161,11 +282,18 @@ def cv_runs(
     fitted = fit_all(
         panel, models, horizon=horizon, input_size=input_size, hold_out=hold_out, layout=layout
     )
-    origins = cv_origins(
-        panel, horizon=horizon, input_size=input_size, n_windows=n_windows, step=step,
-        test_size=test_size, exogenous=used_exogenous(fitted), layout=layout,
-    )
-    return run_models(origins, fitted, horizon)
+    shape = {"horizon": horizon, "input_size": input_size, "n_windows": n_windows, "step": step, "test_size": test_size}
+    return cv_group(panel, fitted, layout=layout, **shape)
+
+
+def cv_group(panel: DataFrame, models: Sequence[Forecaster], *, horizon: int, **shape) -> DataFrame:
+    """Forecasts of fitted models: one pass for all that see windows, one for each that sees series."""
+    windowed = [m for m in models if not isinstance(m, SeriesForecaster)]
+    runs = [series_runs(panel, m, horizon=horizon, **shape) for m in models if isinstance(m, SeriesForecaster)]
+    if windowed:
+        origins = cv_origins(panel, horizon=horizon, exogenous=used_exogenous(windowed), **shape)
+        runs.append(run_models(origins, windowed, horizon))
+    return reduce(DataFrame.unionByName, runs)
 
 
 def unusable(
@@ -194,11 +322,13 @@ def inference_runs(
     usable = [m for m in models if m.name not in reasons]
     if not usable:
         raise ValueError(f"no usable model: {reasons}")
-    origins = forecast_origins(
-        panel, horizon=horizon, input_size=input_size, freq=freq, exogenous=used_exogenous(usable),
-        layout=layout,
-    )
-    return run_models(origins, usable, horizon), reasons
+    shape = {"horizon": horizon, "input_size": input_size, "freq": freq, "layout": layout}
+    windowed = [m for m in usable if not isinstance(m, SeriesForecaster)]
+    runs = [series_inference(panel, m, **shape) for m in usable if isinstance(m, SeriesForecaster)]
+    if windowed:
+        origins = forecast_origins(panel, exogenous=used_exogenous(windowed), **shape)
+        runs.append(run_models(origins, windowed, horizon))
+    return reduce(DataFrame.unionByName, runs), reasons
 
 
 def run_inference(panel: DataFrame, models: Sequence[Forecaster], **options) -> DataFrame:
@@ -234,10 +364,15 @@ def attach_actuals(forecasts: DataFrame, panel: DataFrame) -> DataFrame:
 
 
 def fit_status(runs: DataFrame) -> DataFrame:
-    """Outcome per model and series: ``status`` ok or failed, and the first error text."""
+    """Outcome per model and series: ``status`` ok, bounded or failed, and the first error text.
+
+    ``bounded`` series had more rows than their model takes; the text tells how many it took.
+    """
+    failed, bounded = F.max("error").isNotNull(), F.max("note").isNotNull()
+    first = F.min_by("error", F.when(F.col("error").isNotNull(), F.col("cutoff")))
     return runs.groupBy("model", ID).agg(
-        F.when(F.max("error").isNull(), "ok").otherwise("failed").alias("status"),
-        F.min_by("error", F.when(F.col("error").isNotNull(), F.col("cutoff"))).alias("error"),
+        F.when(failed, "failed").when(bounded, "bounded").otherwise("ok").alias("status"),
+        F.coalesce(first, F.max("note")).alias("error"),
     )
 
 

@@ -41,3 +41,21 @@ def trained_models(results: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n_series"), F.sum("rows").alias("n_rows"))
         .orderBy("model")
     )
+
+
+def run_list(settings: DataFrame, status: DataFrame, params: DataFrame | None = None) -> DataFrame:
+    """Every run with its shape and state, greatest run id first.
+
+    ``horizon, input_size, n_models`` as set, ``has_models`` (coefficients are stored), and the
+    numbers of pairs of model and series by outcome.
+    """
+    outcome = lambda name: F.count_if(F.col("status") == name).alias(f"n_{name}")
+    states = status.groupBy("run_id").agg(outcome("ok"), outcome("bounded"), outcome("failed"), outcome("skipped"))
+    runs = settings.select("run_id", "horizon", "input_size", F.size("models").cast("bigint").alias("n_models"))
+    found = runs.join(states, "run_id", "left")
+    if params is None:
+        found = found.withColumn("has_models", F.lit(False))
+    else:
+        fitted = params.select("run_id").distinct().withColumn("has_models", F.lit(True))
+        found = found.join(fitted, "run_id", "left").withColumn("has_models", F.coalesce("has_models", F.lit(False)))
+    return found.orderBy(F.desc("run_id"))

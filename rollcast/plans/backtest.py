@@ -6,20 +6,20 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcast.operators.forecast import (
     LocalForecaster,
+    SeriesForecaster,
     Spec,
+    cv_group,
     fit_status,
     forecast_rows,
-    run_models,
     unusable,
     used_exogenous,
 )
 from rollcast.operators.linear import (
-    PARAM_SCHEMA,
     LinearSpec,
     params_frame,
     solve,
@@ -33,10 +33,10 @@ from rollcast.operators.windows import (
     DEFAULT_HORIZON,
     DEFAULT_INPUT_SIZE,
     DEFAULT_WINDOWS,
-    cv_origins,
     tested_rows,
 )
-from rollcast.sources.results import read_table, write_cv_results, write_metrics, write_table
+from rollcast.sources.generations import current, new_generation, publish, read_current, remove_older
+from rollcast.sources.results import write_cv_results, write_metrics, write_table
 from rollcast.sources.scratch import remove_partitions, shared_folder, store
 
 # Fixed value: the form of a run id.
@@ -48,8 +48,7 @@ SETTINGS_SCHEMA = (
     "models array<string>"
 )
 
-# The completion table comes first, so that a run being replaced is not listed as complete.
-TABLES = ("runs", "summary", "failures", "model_params", "fit_status", "metrics", "cv_results")
+TABLES = ("runs", "summary", "failures", "model_params", "fit_status", "metrics", "cv_results", "predictions")
 
 
 @dataclass(frozen=True)
@@ -57,6 +56,7 @@ class Backtest:
     """Result tables of one run, read from ``folder``."""
 
     run_id: str
+    generation: str
     folder: str
     cv_results: DataFrame
     metrics: DataFrame
@@ -65,6 +65,7 @@ class Backtest:
     params: DataFrame | None
     failures: DataFrame
     settings: DataFrame
+    predictions: DataFrame | None = None
 
 
 def new_run_id() -> str:
@@ -81,9 +82,12 @@ def backtest(
 
     The panel is stored and measured once for all models.  Linear models share one
     fitting pass, and all built-in models one forecasting pass; each user function
-    runs as a job of its own, so that it cannot stop the others.  A repeated run first
-    removes all that is stored under its id, and rows of a model that fails later are
-    removed too.  Failures, leaderboard and settings are stored with the results.
+    runs as a job of its own, so that it cannot stop the others, and rows of a model that
+    fails are removed.  Failures, leaderboard and settings are stored with the results.
+
+    A repeated run replaces all that is stored under its id, at once, when it is complete:
+    its tables are written as a new generation and published by one row.  If it is stopped,
+    or no model succeeds, the run before it stays as it was.
     """
     spark = panel.sparkSession
     run_id = run_id or new_run_id()
@@ -92,8 +96,8 @@ def backtest(
     if len(set(names)) != len(names):
         raise ValueError(f"model names must differ: {names}")
     hold_out = tested_rows(horizon, step or horizon, n_windows, test_size)
-    for name in TABLES:
-        remove_partitions(spark, f"{folder}/{name}", {"run_id": [run_id]})
+    generation = new_generation()
+    marked = lambda frame: frame.withColumns({"run_id": F.lit(run_id), "generation": F.lit(generation)})
     reasons = unusable(panel, models, horizon=horizon, input_size=input_size)
     failures = [(run_id, name, "prepare", reason) for name, reason in reasons.items()]
     models = [m for m in models if m.name not in reasons]
@@ -119,60 +123,69 @@ def backtest(
                 except Exception as error:  # noqa: BLE001
                     failed([spec], "fit", error)
 
-    local = [m for m in models if isinstance(m, LocalForecaster)]
-    built_in = [m for m in models if not isinstance(m, LocalForecaster | LinearSpec)] + fitted
-    schemas, finished = {}, []
+    user_made = LocalForecaster | SeriesForecaster
+    local = [m for m in models if isinstance(m, user_made)]
+    built_in = [m for m in models if not isinstance(m, user_made | LinearSpec)] + fitted
+    finished = []
     for group in [built_in] * bool(built_in) + [[m] for m in local]:
         try:
-            origins = cv_origins(
-                stored, horizon=horizon, input_size=input_size, n_windows=n_windows, step=step,
-                test_size=test_size, exogenous=used_exogenous(group), layout=layout,
+            found = cv_group(
+                stored, group, horizon=horizon, input_size=input_size, n_windows=n_windows, step=step,
+                test_size=test_size, layout=layout,
             )
-            runs = store(run_models(origins, group, horizon).withColumn("run_id", F.lit(run_id)))
-            cv_results = forecast_rows(runs).withColumn("run_id", F.lit(run_id))
+            runs = store(found)
+            cv_results = marked(forecast_rows(runs))
             write_cv_results(cv_results, f"{folder}/cv_results")
-            metrics = score(cv_results, mape=mape)
+            metrics = marked(score(cv_results.drop("generation"), mape=mape))
             write_metrics(metrics, f"{folder}/metrics")
             short = missing_pairs(profile_series(stored), [m.name for m in group], runs).select(
                 "model", ID, F.lit("skipped").alias("status"),
                 F.lit(f"fewer than {input_size + hold_out} rows").alias("error"),
             )
-            status = fit_status(runs).unionByName(short).withColumn("run_id", F.lit(run_id))
-            write_table(status, f"{folder}/fit_status")
-            schemas = {
-                "cv_results": cv_results.schema, "metrics": metrics.schema, "fit_status": status.schema
-            }
+            write_table(marked(fit_status(runs).unionByName(short)), f"{folder}/fit_status")
             finished += [m.name for m in group]
         except Exception as error:  # noqa: BLE001
             failed(group, "cross-validation", error)
             for name in TABLES:
-                keys = {"run_id": [run_id], "model": [m.name for m in group]}
+                keys = {"run_id": [run_id], "generation": [generation], "model": [m.name for m in group]}
                 remove_partitions(spark, f"{folder}/{name}", keys)
 
-    def of_run(name: str, schema) -> DataFrame:
-        return read_table(spark, f"{folder}/{name}", schema).where(F.col("run_id") == run_id)
-
-    write_table(spark.createDataFrame(failures, FAILURE_SCHEMA), f"{folder}/failures")
     if not finished:
         raise RuntimeError(f"no model succeeded: {failures}")
+    write_table(marked(spark.createDataFrame(failures, FAILURE_SCHEMA)), f"{folder}/failures", small=True)
     fitted = [m for m in fitted if m.name in finished]
     if fitted:
-        schemas["model_params"] = PARAM_SCHEMA
-        write_table(params_frame(spark, fitted, run_id), f"{folder}/model_params")
-    tables = {name: of_run(name, schema) for name, schema in schemas.items()}
-    summary = leaderboard(tables["metrics"])
-    write_table(summary, f"{folder}/summary")
-    # Written last: a run that is listed here is complete.
+        write_table(marked(params_frame(spark, fitted, run_id)), f"{folder}/model_params", small=True)
+    at = (run_id, generation)
+    write_table(marked(leaderboard(read_current(spark, folder, "metrics", at))), f"{folder}/summary", small=True)
     settings = (run_id, horizon, input_size, n_windows, step, test_size, mape, finished)
-    write_table(spark.createDataFrame([settings], SETTINGS_SCHEMA), f"{folder}/runs")
+    write_table(marked(spark.createDataFrame([settings], SETTINGS_SCHEMA)), f"{folder}/runs", small=True)
+    # From here on this is what readers see; what it replaces may go.
+    publish(spark, folder, run_id, generation)
+    remove_older(spark, folder, TABLES, run_id, generation)
+    return open_run(spark, folder, run_id)
+
+
+def open_run(spark: SparkSession, folder: str, run_id: str | None = None) -> Backtest:
+    """The stored tables of a published run; without an id, of the greatest one."""
+    at = current(spark, folder, run_id)
+    if at is None:
+        raise ValueError(f"no published run {run_id or ''} in {folder}")
+    tables = {name: read_current(spark, folder, name, at) for name in TABLES}
+    params = tables["model_params"]
+    failures = tables["failures"]
+    if failures is None:
+        failures = spark.createDataFrame([], FAILURE_SCHEMA)
     return Backtest(
-        run_id=run_id,
+        run_id=at[0],
+        generation=at[1],
         folder=folder,
         cv_results=tables["cv_results"],
         metrics=tables["metrics"],
-        summary=of_run("summary", summary.schema),
+        summary=tables["summary"],
         status=tables["fit_status"],
-        params=tables.get("model_params"),
-        failures=of_run("failures", FAILURE_SCHEMA),
-        settings=of_run("runs", SETTINGS_SCHEMA),
+        params=None if params is None or params.isEmpty() else params,
+        failures=failures,
+        settings=tables["runs"],
+        predictions=tables["predictions"],
     )

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcast.operators.forecast import Forecaster, run_inference
+from rollcast.operators.forecast import Forecaster, Naive, WindowAverage, run_inference
+from rollcast.operators.linear import models_from_params
 from rollcast.operators.selection import (
     DEFAULT_TOP_MODELS,
     best_models,
@@ -25,6 +26,8 @@ from rollcast.operators.windows import (
     DEFAULT_PLOT_POINTS,
     inference_frame,
 )
+from rollcast.plans.backtest import Backtest, open_run
+from rollcast.sources.results import write_predictions
 from rollcast.sources.scratch import store
 
 
@@ -92,3 +95,43 @@ def predict_job(
         shown, forecasts, unique_id, metrics=metrics, max_mae=max_mae, top_n=top_n
     )
     return Prediction([m.name for m in chosen], unique_id, forecasts, traces)
+
+
+# Models without parameters, by their usual names.
+PLAIN = {model.name: model for model in (Naive(), WindowAverage())}
+
+
+def stored_models(run: Backtest, others: Sequence[Forecaster] = ()) -> list[Forecaster]:
+    """The models of a stored run that can forecast: fitted ones from their coefficients.
+
+    ``others`` are user functions, which no table can hold; those of the run's models
+    that are neither fitted, plain nor given are left out.
+    """
+    known = dict(PLAIN)
+    if run.params is not None:
+        known |= {m.name: m for m in models_from_params(run.params)}
+    known |= {m.name: m for m in others}
+    names = run.settings.first()["models"]
+    return [known[name] for name in names if name in known]
+
+
+def predict_stored(
+    panel: DataFrame, folder: str, *, run_id: str | None = None, others: Sequence[Forecaster] = (), **options
+) -> Prediction:
+    """Forecast from what a folder of stored runs holds, and store the forecasts there.
+
+    The run (by default the greatest published one) gives the models, their scores, and the
+    shape they were tested with; options as in ``predict_job``.  Forecasts go to the run's
+    table ``predictions``, replacing those of the same models.
+    """
+    spark = panel.sparkSession
+    run = open_run(spark, folder, run_id)
+    settings = run.settings.first()
+    shape = {"horizon": settings["horizon"], "input_size": settings["input_size"]}
+    job = predict_job(
+        panel, stored_models(run, others), metrics=run.metrics, summary=run.summary, **{**shape, **options}
+    )
+    of_run = {"run_id": F.lit(run.run_id), "generation": F.lit(run.generation)}
+    write_predictions(job.predictions.withColumns(of_run), f"{folder}/predictions")
+    stored = open_run(spark, folder, run.run_id).predictions
+    return replace(job, predictions=stored.where(F.col("model").isin(job.models)))

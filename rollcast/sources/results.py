@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from typing import NamedTuple
+from urllib.parse import unquote, urlparse
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcast.functions import missing_to_null, strict_cast, strict_timestamp
@@ -26,7 +26,8 @@ from rollcast.operators.score import (
     wide_to_long,
 )
 from rollcast.operators.series import ID, TS, Y
-from rollcast.sources.scratch import shared_folder
+from rollcast.sources.generations import PARTITIONS
+from rollcast.sources.scratch import shared_folder, store
 
 # File name prefixes and the suffix of exogenous model variants.
 CV_PREFIX = "cv_results_"
@@ -47,52 +48,102 @@ class Imported(NamedTuple):
     skipped: dict[str, str]
 
 
-def _files(spark: SparkSession, folder: str, prefix: str) -> dict[str, str]:
-    """Model name to path of ``<prefix><model>.csv`` (a file, or a folder of parts)."""
-    pattern = f"{folder.rstrip('/')}/{prefix}*.csv"
-    try:
-        listing = spark.read.format("binaryFile").load(pattern)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return {}
-        raise
-    name = F.regexp_extract("path", f"/({prefix}[^/]*[.]csv)(/|$)", 1)
-    found = [row[0] for row in listing.select(name).distinct().collect()]  # one per model
-    return {
-        file.removesuffix(".csv").removeprefix(prefix): f"{folder.rstrip('/')}/{file}"
-        for file in sorted(found)
-    }
+# One cell of a header line: quoted, or up to the next comma.
+_CELL = r'("(?:[^"]|"")*"|[^,]*)(?:,|$)'
+
+
+def _cells(line: Column) -> Column:
+    """Names in a header line."""
+    found = F.regexp_extract_all(line, F.lit(_CELL), F.lit(1))
+    quoted = lambda c: c.startswith('"') & (F.length(c) > 1)
+    plain = lambda c: F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(found, lambda c: F.when(quoted(c), plain(c)).otherwise(c))
+
+
+def _place_of(names: Column, name: Column) -> Column:
+    """Where a name stands, from 0; NULL if it is not there."""
+    at = F.array_position(names, name)
+    return F.when(at > 0, at - 1).cast("int")
+
+
+def _headers(lines: DataFrame, folder: str, prefix: str, required: Sequence[str]) -> DataFrame:
+    """A row per file: its model, and where its columns are.
+
+    The header is the first line of the first block, which one task reads in order.
+    """
+    order = F.monotonically_increasing_id()
+    first = (
+        lines.where(F.col("block") == 0).withColumn("at", order)
+        .groupBy("file").agg(F.min_by("value", "at").alias("header"))
+        .withColumn("names", _cells(F.regexp_replace("header", "^\\ufeff|\\r$", "")))
+    )
+    # A model's file, or a folder of parts.
+    decoded = F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))
+    model = F.regexp_extract(decoded, f"/{prefix}([^/]*)[.]csv(/[^/]*)?$", 1)
+    path = F.concat(F.lit(f"{folder}/{prefix}"), "model", F.lit(".csv"))
+    # A variant's file may carry the name of the base model as its value column.
+    base = F.regexp_replace("model", f"{EXOGENOUS_SUFFIX}$", "")
+    value = F.coalesce(_place_of(F.col("names"), F.col("model")), _place_of(F.col("names"), base))
+    absent = F.array_except(F.array(*[F.lit(c) for c in required]), "names")
+    wanting = F.when(F.size("absent") > 0, F.array_join("absent", ", ")).when(F.isnull("at_value"), F.col("model"))
+    places = [_place_of(F.col("names"), F.lit(c)).alias(f"at_{c}") for c in (ID, TS, "cutoff", Y)]
+    return (
+        first.withColumn("model", model).withColumn("path", path)
+        .select("file", "path", "model", "header", F.size("names").alias("width"), *places,
+                value.alias("at_value"), absent.alias("absent"))
+        .withColumn("reason", F.concat(F.lit("missing columns: "), wanting))
+    )
 
 
 def _import(
     spark: SparkSession, folder: str, prefix: str, required: Sequence[str], columns: str, id_type: str
 ) -> Imported:
-    """One read per file: each file has its own value column, so one glob read would mix them."""
-    frames, skipped = [], {}
-    for model, path in _files(spark, folder, prefix).items():
-        raw = spark.read.csv(path, header=True)
-        # A variant's file may carry the name of the base model as its value column.
-        names = [model, model.removesuffix(EXOGENOUS_SUFFIX)]
-        value = next((name for name in names if name in raw.columns), None)
-        absent = [c for c in required if c not in raw.columns]
-        if value is None or absent:
-            skipped[path] = f"missing columns: {', '.join(absent or [model])}"
-            continue
-        number = F.col(f"`{value}`").try_cast("double")
-        known = {
-            "model": F.lit(model),
-            ID: strict_cast(F.col(ID), id_type),
-            TS: strict_timestamp(F.col(TS)),
-            "cutoff": strict_timestamp(F.col("cutoff")) if "cutoff" in raw.columns
-            else F.lit(None).cast("timestamp_ntz"),
-            Y: F.col(Y).try_cast("double") if Y in raw.columns else F.lit(None).cast("double"),
-            "y_hat": missing_to_null(number),
-        }
-        wanted = [part.split()[0] for part in columns.split(", ")]
-        frames.append(raw.select(*[known[name].alias(name) for name in wanted]))
-    if not frames:
+    """All files in one scan.
+
+    Each file has its own value column.  A first pass finds every file's header; the table
+    of headers, one row per file, is stored and joined to the lines, and cells are picked
+    by position.  The plan does not grow with the number of files.  A line that repeats
+    its file's header is no row.
+    """
+    folder = folder.rstrip("/")
+    pattern, wanted = f"{folder}/{prefix}*.csv", [part.split()[0] for part in columns.split(", ")]
+    try:
+        text = spark.read.text(pattern)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return Imported(spark.createDataFrame([], columns % id_type), {})
+        raise
+    lines = text.select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    )
+    headers = store(_headers(lines, folder, prefix, required))
+    skipped = {r["path"]: r["reason"] for r in headers.where("reason IS NOT NULL").select("path", "reason").collect()}
+    # Files without a line have no header.  Spark's listing on the driver has all names anyway.
+    with_lines = {urlparse(r["file"]).path for r in headers.select("file").collect()}
+    for file in text.inputFiles():
+        name = unquote(file.rsplit("/", 1)[1])
+        if urlparse(file).path not in with_lines and name.startswith(prefix):
+            skipped[f"{folder}/{name}"] = "empty file"
+    usable = headers.where("reason IS NULL")
+    width = usable.agg(F.max("width")).first()[0]
+    if width is None:
         return Imported(spark.createDataFrame([], columns % id_type), skipped)
-    return Imported(reduce(DataFrame.unionByName, frames), skipped)
+
+    rows = lines.join(usable.withColumnRenamed("file", "header_file"), F.col("file") == F.col("header_file"))
+    rows = rows.where((F.col("value") != F.col("header")) & (F.trim("value") != ""))
+    names = [f"c{i}" for i in range(width)]
+    parsed = F.from_csv("value", ", ".join(f"{n} string" for n in names))
+    rows = rows.withColumn("cells", F.array(*[parsed.getField(n) for n in names]))
+    cell = lambda name: F.get("cells", F.col(f"at_{name}"))  # noqa: E731 - NULL without the column
+    known = {
+        "model": F.col("model"),
+        ID: strict_cast(cell(ID), id_type),
+        TS: strict_timestamp(cell(TS)),
+        "cutoff": strict_timestamp(cell("cutoff")),
+        Y: cell(Y).try_cast("double"),
+        "y_hat": missing_to_null(cell("value").try_cast("double")),
+    }
+    return Imported(rows.select(*[known[name].alias(name) for name in wanted]), skipped)
 
 
 def import_cv_results(spark: SparkSession, folder: str, id_type: str = "bigint") -> Imported:
@@ -157,16 +208,16 @@ def _number(columns: Sequence[str], name: str):
     return F.col(f"`{name}`").try_cast("double") if name in columns else F.lit(None).cast("double")
 
 
-def write_table(frame: DataFrame, path: str) -> None:
-    """Parquet by run and model; writing a model again replaces its rows, nothing else.
+def write_table(frame: DataFrame, path: str, *, small: bool = False) -> None:
+    """Parquet by run, generation and model; writing a model again replaces its rows, nothing else.
 
     The rebalance hint gives files of a sensible size and splits a model that
-    holds most of the rows.
+    holds most of the rows; ``small`` tables (a few rows per model) do without its shuffle.
     """
-    keys = [k for k in ("run_id", "model") if k in frame.columns]
+    keys = [k for k in PARTITIONS if k in frame.columns]
+    shaped = frame.coalesce(1) if small else frame.hint("rebalance", *keys)
     (
-        frame.hint("rebalance", *keys)
-        .write.partitionBy(*keys)
+        shaped.write.partitionBy(*keys)
         .option("partitionOverwriteMode", "dynamic")
         .mode("overwrite")
         .parquet(path)
@@ -231,7 +282,7 @@ def write_summary(summary: DataFrame, path: str, layout: str = "wide") -> None:
 
 def save_params(spark: SparkSession, models: Sequence[LinearModel], path: str, run_id: str) -> None:
     """Fitted linear models as a coefficient table."""
-    write_table(params_frame(spark, models, run_id), path)
+    write_table(params_frame(spark, models, run_id), path, small=True)
 
 
 def load_params(spark: SparkSession, path: str, run_id: str) -> list[LinearModel]:

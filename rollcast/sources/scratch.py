@@ -26,7 +26,7 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/rollcast-{uuid.uuid4().hex}"
 
 
-def _place(spark: SparkSession, path: str) -> tuple:
+def file_system(spark: SparkSession, path: str) -> tuple:
     """The Hadoop file system of a path, and the path as it knows it."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
@@ -34,7 +34,7 @@ def _place(spark: SparkSession, path: str) -> tuple:
 
 def delete_at_end(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder when the session's process ends."""
-    files, folder = _place(spark, path)
+    files, folder = file_system(spark, path)
     files.deleteOnExit(folder)
 
 
@@ -63,7 +63,7 @@ def store(frame: DataFrame, path: str | None = None) -> DataFrame:
 
 def remove_partitions(spark: SparkSession, path: str, keys: dict[str, list[str]]) -> None:
     """Delete the partitions of a stored table whose keys, outermost first, have these values."""
-    files, folder = _place(spark, path)
+    files, folder = file_system(spark, path)
     found = [folder] if files.exists(folder) else []
     for key, values in keys.items():
         names = {f"{key}={value}" for value in values}
@@ -75,5 +75,5 @@ def remove_partitions(spark: SparkSession, path: str, keys: dict[str, list[str]]
 
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that no later step reads."""
-    files, folder = _place(spark, path)
+    files, folder = file_system(spark, path)
     files.delete(folder, True)

@@ -120,3 +120,44 @@ def test_store_keeps_rows_and_types(spark, metrics):
     stored = store(metrics)
     assert stored.schema.simpleString() == metrics.schema.simpleString()
     assert rows(stored) == rows(metrics)
+
+
+def scans_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString().count("FileScan text")
+
+
+def test_many_files_are_one_scan(spark, tmp_path):
+    """The plan does not grow with the files; every file has its own columns and order."""
+    plans = []
+    for count in (5, 2000):
+        folder = tmp_path / str(count)
+        folder.mkdir()
+        for i in range(count):
+            order = ["unique_id", "ds", "y", f"M{i}"] if i % 2 else [f"M{i}", "extra", "y", "ds", "unique_id"]
+            cells = {"unique_id": "1", "ds": "2024-01-01T00:00:00", "y": "2.5", f"M{i}": str(i / 4), "extra": '"a, b"'}
+            (folder / f"cv_results_M{i}.csv").write_text("\n".join([",".join(order), ",".join(cells[c] for c in order)]) + "\n")
+        frame, skipped = import_cv_results(spark, str(folder))
+        assert not skipped and scans_of(frame) == 1
+        plans.append(len(frame._jdf.queryExecution().optimizedPlan().toString()))
+    assert abs(plans[1] - plans[0]) < 200
+    assert rows(frame, "model", "y", "y_hat") == sorted((f"M{i}", 2.5, i / 4) for i in range(2000))
+
+
+def test_awkward_files(spark, tmp_path):
+    files = {
+        "Windows line ends": "unique_id,ds,y,Windows line ends\r\n1,2024-01-01T00:00:00,1,2\r\n",
+        "With+plus": "unique_id,ds,y,With+plus\n1,2024-01-01T00:00:00,1,3\n",
+        "Quoted": 'unique_id,ds,y,"Quoted"\n"1","2024-01-01T00:00:00","1","4"\n',
+        "Twice": "unique_id,ds,y,Twice\n1,2024-01-01T00:00:00,1,5\n\nunique_id,ds,y,Twice\n1,2024-01-01T00:05:00,,nan\n",
+        "HeaderOnly": "unique_id,ds,y,HeaderOnly\n", "Empty": "", "Wrong": "unique_id,ds\n1,2024-01-01T00:00:00\n",
+        "Plain_exog": "unique_id,ds,y,cutoff,Plain\n1,2024-01-01T00:00:00,1,2023-12-31T00:00:00,6\n",
+    }
+    for name, text in files.items():
+        (tmp_path / f"cv_results_{name}.csv").write_bytes(text.encode())
+    frame, skipped = import_cv_results(spark, str(tmp_path))
+    assert skipped == {f"{tmp_path}/cv_results_Empty.csv": "empty file", f"{tmp_path}/cv_results_Wrong.csv": "missing columns: y"}
+    found = {(r["model"], r["y"], r["y_hat"], r["cutoff"] is None) for r in frame.collect()}
+    assert found == {
+        ("Windows line ends", 1.0, 2.0, True), ("With+plus", 1.0, 3.0, True), ("Quoted", 1.0, 4.0, True),
+        ("Twice", 1.0, 5.0, True), ("Twice", None, None, True), ("Plain_exog", 1.0, 6.0, False),
+    }
