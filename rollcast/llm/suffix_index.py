@@ -220,12 +220,24 @@ def _whole_windows(entries: DataFrame, width: int) -> DataFrame:
         .join(contents.select("content", "first"), "content").where("place > first")
         .select("place.id", "place.h", F.col("place.start").alias("from"), (F.col("place.start") + F.col("n") - 1 + width).alias("to"))
     )
-    windows = contents.select("first", F.posexplode("paths").alias("nth", "path")).select(
-        "path", F.col("first").withField("start", F.col("first.start") + F.col("nth")).alias("place")
+    # A window is a match unless it is the earliest of its path.  Each content keeps the
+    # places of its earliest windows; the runs between them are its matches.
+    at = F.col("first").withField("start", F.col("first.start") + F.col("nth"))
+    earliest = (
+        contents.select("content", "first", F.posexplode("paths").alias("nth", "path"))
+        .groupBy("path").agg(F.min(F.struct(at.alias("place"), "content", "nth")).alias("e"))
+        .groupBy(F.col("e.content").alias("content")).agg(F.collect_list("e.nth").alias("kept"))
     )
-    earliest = windows.groupBy("path").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = windows.join(earliest, "path").where("place > first").select(
-        "place.id", "place.h", F.col("place.start").alias("from"), (F.col("place.start") + width).alias("to")
+    none = F.array().cast("array<int>")
+    edges = F.concat(F.array(F.lit(-1)), F.array_sort(F.coalesce("kept", none)), F.array(F.size("paths")))
+    gaps = F.filter(
+        F.zip_with(edges, F.slice(edges, 2, F.size("paths") + 1), lambda a, b: F.struct((a + 1).alias("a"), b.alias("b"))),
+        lambda gap: gap["a"] < gap["b"],
+    )
+    met = contents.join(earliest, "content", "left").select("first", F.explode(gaps).alias("gap"))
+    later = met.select(
+        "first.id", "first.h", (F.col("first.start") + F.col("gap.a")).alias("from"),
+        (F.col("first.start") + F.col("gap.b") - 1 + width).alias("to"),
     )
     return copies.unionByName(later)
 
