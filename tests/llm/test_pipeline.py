@@ -9,7 +9,8 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from pyspark.sql import functions as F  # noqa: E402
 
 from rollcast.llm import quality  # noqa: E402
-from tests.llm.test_corpus import brute_components, brute_hits, brute_print, brute_spans  # noqa: E402
+from tests.llm.test_corpus import brute_hits, brute_spans  # noqa: E402
+from tests.llm.test_near_copies import brute_roots  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are missing")
@@ -32,11 +33,9 @@ def test_stages(spark):
     assert set(by_id(good)) == kept
 
     single = stage(spark, "SimHash near-duplicates", good)
-    prints = {i: brute_print(r["text"]) for i, r in by_id(good).items()}
-    roots, least = brute_components(set(prints.values())), {}
-    for i, p in prints.items():
-        least[roots[p]] = min(i, least.get(roots[p], i))
-    assert set(by_id(single)) == set(least.values())
+    # The stage links by the exact Jaccard similarity of five-word shingles.
+    roots = brute_roots([(i, r["text"]) for i, r in by_id(good).items()])
+    assert set(by_id(single)) == set(roots.values())
 
     clean = stage(spark, "benchmark decontamination", single)
     items = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").select("item_id", "text").collect()]
