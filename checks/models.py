@@ -24,7 +24,7 @@ from checks.sql import (
 from rollcast.operators import forecast
 from rollcast.operators.forecast import LocalForecaster, Naive, WindowAverage
 from rollcast.operators.linear import DLinear, LinearExog, LinearModel, NLinear
-from rollcast.operators.windows import holdout_split
+from rollcast.operators.windows import holdout_split, lag_windows
 from rollcast.operators.runs import run_list as list_runs
 from rollcast.plans.backtest import backtest as run_backtest
 from rollcast.plans.backtest import open_run
@@ -32,7 +32,7 @@ from rollcast.plans.predict import predict_stored
 from rollcast.sources.generations import read_current
 from rollcast.sources.panels import events_panel, orders_panel, supplier_layout, supplier_panel
 from rollcast.sources.results import load_params, save_params
-from rollcast.sources.scratch import delete_at_end, shared_folder
+from rollcast.sources.scratch import delete_at_end, shared_folder, store
 
 BASELINES = [Naive(), WindowAverage()]
 EVENT_SHAPE = {"horizon": 6, "input_size": 24, "n_windows": 3}
@@ -219,6 +219,56 @@ def on_line(line, past, times):
     return np.polyval(line, days)
 
 
+@query(
+    with_(
+        SUPPLIERS, RANKED,
+        """fixed AS (
+  SELECT s AS step, l AS lag, ((l * 7 + s * 3) % 11 - 5) / 100.0::DOUBLE AS w FROM range(1, 13) a(s), range(1, 49) b(l)),
+sums AS (
+  SELECT a.unique_id, f.step, f.step / 10.0::DOUBLE + sum(a.y * f.w) AS y_hat, max(a.ds) AS cutoff
+  FROM ranked a JOIN fixed f ON f.lag = 49 - a.r WHERE a.r <= 48 AND a.n >= 48 GROUP BY a.unique_id, f.step)""",
+    )
+    + "SELECT 'Fixed' AS model, unique_id, cutoff + step * INTERVAL '1 day' AS ds, " + r6("y_hat", "y_hat") + " FROM sums"
+)
+def predict_at_the_default_shape(spark, folder):
+    """Given coefficients for 48 inputs and 12 steps, applied to the last windows of all series."""
+    step, lag = np.meshgrid(np.arange(1, 13), np.arange(1, 49), indexing="ij")
+    model = LinearModel("Fixed", 48, np.arange(1, 13) / 10, ((lag * 7 + step * 3) % 11 - 5) / 100)
+    return forecast.predict(
+        supplier_panel(spark, folder), model, horizon=12, input_size=48, freq=timedelta(days=1),
+        layout=supplier_layout(spark, folder),
+    )
+
+
+@query(
+    "SELECT CAST(s AS BIGINT) AS step, CAST(l AS BIGINT) AS lag, true AS orthogonal "
+    "FROM range(1, 13) a(s), range(0, 48) b(l)"
+)
+def nlinear_solves_the_normal_equations(spark, folder):
+    """The default shape: errors of the fit sum to zero, and have no product with any feature.
+
+    ``lag`` 0 is the constant, ``lag`` i the i-th lag minus the last one.
+    """
+    panel, layout = supplier_panel(spark, folder), supplier_layout(spark, folder)
+    [model] = forecast.fit_all(panel, [NLinear()], horizon=12, input_size=48, layout=layout)
+    windows = lag_windows(panel, input_size=48, horizon=12, layout=layout)
+    last = F.element_at("lags", -1)
+    features = F.concat(F.array(F.lit(1.0)), F.transform(F.slice("lags", 1, 47), lambda x: x - last))
+    fitted = windows.select(features.alias("x"), "targets", model.forecast(12).alias("fit"))
+    spread = fitted.select("x", F.posexplode(F.arrays_zip("targets", "fit")).alias("at", "z"))
+    error = F.col("z.targets") - F.col("z.fit")
+    sums = [F.sum(F.get("x", F.lit(i)) * F.col("error")).alias(f"p{i}") for i in range(48)]
+    sizes = [F.sqrt(F.sum(F.pow(F.get("x", F.lit(i)), 2))).alias(f"s{i}") for i in range(48)]
+    found = spread.select("x", "at", error.alias("error")).groupBy("at").agg(
+        *sums, *sizes, F.sqrt(F.sum(F.pow("error", 2))).alias("size")
+    )
+    cells = [
+        F.struct(F.lit(i).alias("lag"), (F.abs(F.col(f"p{i}")) <= 1e-9 * F.col(f"s{i}") * F.col("size")).alias("orthogonal"))
+        for i in range(48)
+    ]
+    return found.select((F.col("at") + 1).alias("step"), F.inline(F.array(*cells)))
+
+
 LINE = """lines AS (
   SELECT unique_id, regr_slope(y, t) AS slope, regr_intercept(y, t) AS start, max(y) AS top, max(n) AS n
   FROM (SELECT *, epoch(ds - TIMESTAMP '1995-01-01') / 86400 AS t FROM ranked) q
@@ -352,7 +402,7 @@ def predict_with_stored_model(spark, folder):
 def attach_actuals(spark, folder):
     panel = orders_panel(spark, folder)
     seen = holdout_split(panel, 12).where("role = 'inference'").drop("role")
-    future = forecast.predict(seen, Naive(), horizon=12, input_size=1, freq=timedelta(days=1))
+    future = store(forecast.predict(seen, Naive(), horizon=12, input_size=1, freq=timedelta(days=1)))
     return forecast.attach_actuals(future, panel)
 
 

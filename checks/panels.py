@@ -14,7 +14,7 @@ from rollcast.operators import windows
 from rollcast.operators.series import cut_table, measure_series, with_rank_from_end
 from rollcast.sources.panels import event_readings, events_panel, orders_panel, supplier_layout, supplier_panel, table
 from rollcast.sources.readings import read_readings as read_csv_readings
-from rollcast.sources.scratch import shared_folder
+from rollcast.sources.scratch import shared_folder, store
 
 READINGS = """SELECT user_id AS unique_id, ts AS ds, {y},
   CAST(json_extract_string(props, '$.k') AS DOUBLE) AS carbs FROM events"""
@@ -65,6 +65,26 @@ def profile_series(spark, folder):
     return panels.profile_series(supplier_panel(spark, folder))
 
 
+@query(
+    """WITH kinds AS (SELECT extract(year FROM l_shipdate) AS year, l_orderkey FROM lineitem)
+SELECT 'year' AS grain, year, count(DISTINCT l_orderkey) AS n_exact, true AS close FROM kinds GROUP BY year
+UNION ALL SELECT 'all', NULL, count(DISTINCT l_orderkey), true FROM kinds"""
+)
+def distinct_by_merged_sketches(spark, folder):
+    """Orders per year by stored sketches, and over all years by their union, against exact counts."""
+    rows = table(spark, folder, "lineitem").select(F.year("l_shipdate").cast("bigint").alias("year"), "l_orderkey")
+    sketches = store(panels.distinct_sketches(rows, ["year"], "l_orderkey"))
+    exact = rows.groupBy("year").agg(F.countDistinct("l_orderkey").alias("n_exact"))
+    exact_all = rows.agg(F.countDistinct("l_orderkey").alias("n_exact"))
+    by_year = panels.estimated_distinct(sketches).join(exact, "year").select(F.lit("year").alias("grain"), "year", "n_distinct", "n_exact")
+    whole = panels.estimated_distinct(panels.merge_sketches(sketches)).select("*", exact_all.scalar().alias("n_exact")).select(
+        F.lit("all").alias("grain"), F.lit(None).cast("bigint").alias("year"), "n_distinct", "n_exact"
+    )
+    # Four standard errors.
+    close = F.abs(F.col("n_distinct") - F.col("n_exact")) <= 4 * 1.04 / 2 ** (panels.SKETCH_LG_K / 2) * F.col("n_exact")
+    return by_year.unionByName(whole).select("grain", "year", "n_exact", close.alias("close"))
+
+
 @query(with_(ORDERS) + "SELECT unique_id, ds, " + r6("y", "y") + " FROM panel WHERE unique_id = '1-URGENT'")
 def select_series(spark, folder):
     return panels.select_series(orders_panel(spark, folder), "1-URGENT")

@@ -23,11 +23,10 @@ from rollcast.functions import row_mean
 from rollcast.operators import runs, selection, traces
 from rollcast.operators import score as scoring
 from rollcast.operators.forecast import Naive, WindowAverage, cross_validate
-from rollcast.operators.panel import prepare_readings
 from rollcast.plans.predict import predict_job as run_predict_job
 from rollcast.plans.summarize import summarize as run_summarize
 from rollcast.sources import results
-from rollcast.sources.panels import event_readings, events_panel
+from rollcast.sources.panels import events_panel
 from rollcast.sources.scratch import shared_folder, store
 
 NAMES = ["Naive", "WindowAverage"]
@@ -242,23 +241,17 @@ def usable_models_fallback(spark, folder):
 
 
 @query(
-    with_(
-        EVENTS.replace("FROM events", "FROM events WHERE event_type = 'view'"), RANKED,
-    )
+    with_(EVENTS, RANKED)
     + "SELECT m.model, s.unique_id FROM (SELECT DISTINCT unique_id, n FROM ranked) s, "
-    "(VALUES ('Naive'), ('WindowAverage'), ('Other')) m(model) WHERE n < 12 OR m.model = 'Other'"
+    "(VALUES ('Naive'), ('WindowAverage'), ('Other')) m(model) WHERE n < 64 OR m.model = 'Other'"
 )
 def missing_pairs(spark, folder):
-    """Short series (views only) have no forecasts, and one model was never run."""
-    panel = view_panel(spark, folder)
-    cv = cross_validate(panel, BASELINES, horizon=2, input_size=8, n_windows=2)
+    """Series too short for the shape have no forecasts, and one model was never run."""
+    panel = events_panel(spark, folder)
+    cv = cross_validate(panel, BASELINES, horizon=2, input_size=60, n_windows=2)
     return selection.missing_pairs(panel, [*NAMES, "Other"], cv)
 
 
-def view_panel(spark, folder):
-    return prepare_readings(event_readings(spark, folder), event_type="view")
-
-
 @query(with_(*EVENT_FUTURE) + PREDICTION_COLUMNS)
 def drop_empty_models(spark, folder):
     rows = event_predictions(spark, folder)
@@ -446,3 +439,28 @@ def predict_job(spark, folder):
         pick="best", horizon=6, input_size=24, freq=timedelta(minutes=5),
     )
     return job.traces
+
+
+def stored_states(spark, folder):
+    """One stored score state per third of the forecasts, as if of three months."""
+    cv = store(event_cv(spark, folder))
+    third = F.pmod(F.xxhash64("unique_id", "ds"), F.lit(3))
+    return [store(scoring.score_state(cv.where(third == i))) for i in range(3)]
+
+
+@query(with_(*EVENT_CV, scores()) + METRIC_COLUMNS)
+def score_of_merged_states(spark, folder):
+    """Scores of all forecasts from states of their parts; forecasts are not read again."""
+    return scoring.state_metrics(scoring.merge_states(*stored_states(spark, folder)))
+
+
+@query(
+    with_(*EVENT_CV, scores(), SUMMARY)
+    + f"SELECT model, metric, {r6('mean', 'mean')}, {r6('std', 'std')}, n_series FROM summary"
+)
+def leaderboard_of_merged_states(spark, folder):
+    """The leaderboard of all series from those of two sets of series."""
+    metrics = store(scoring.score(event_cv(spark, folder)))
+    states = [store(scoring.board_state(metrics.where(F.col("unique_id") % 4 == 0))),
+              store(scoring.board_state(metrics.where(F.col("unique_id") % 4 > 0)))]
+    return scoring.board_of_state(scoring.merge_boards(*states))

@@ -359,8 +359,17 @@ def predict(panel: DataFrame, model: Forecaster, **options) -> DataFrame:
 
 
 def attach_actuals(forecasts: DataFrame, panel: DataFrame) -> DataFrame:
-    """Add the observed ``y`` to forecasts; rows without an observation drop out."""
-    return forecasts.drop(Y).join(panel.select(ID, TS, Y), list(KEYS), "inner")
+    """Add the observed ``y`` to forecasts; rows without an observation drop out.
+
+    The first and last time of the forecasts go to the panel's scan as soon as they are
+    known, so history before them is not shuffled (nor read, where the format can filter
+    by the type of ``ds``).  That looks at the forecasts again: they should be a stored frame.
+    """
+    first = forecasts.agg(F.min(TS)).scalar()
+    # Not a maximum: Spark would merge two aggregates into one, which it does not push down.
+    last = forecasts.select(TS).orderBy(F.col(TS).desc_nulls_last()).limit(1).scalar()
+    ahead = F.col(TS).between(first, last)
+    return forecasts.drop(Y).join(panel.where(ahead).select(ID, TS, Y), list(KEYS), "inner")
 
 
 def fit_status(runs: DataFrame) -> DataFrame:

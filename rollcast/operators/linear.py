@@ -1,19 +1,22 @@
 """Linear forecasters fitted by least squares, pooled over all series.
 
-One pass over the panel sums the second moments of all training windows; the
-state per task is one matrix whose size depends on the window only.  Every
-linear model is then solved from the same small matrix, so fitting several
-models costs one scan.  A fitted model is an affine map of the raw lags, kept as
-a coefficient table.
+One pass over the panel reduces all training windows to a triangular factor: every task
+keeps the factor of its own windows (QR of blocks of rows under the factor so far), and
+factors are merged in a tree of small groups.  A factor's size depends on the window only.
+Every linear model is solved from the same one, so fitting several models costs one scan;
+and as cross-products are never formed, conditions are not squared.  A fitted model is an
+affine map of the raw lags, kept as a coefficient table.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,10 +29,12 @@ PARAM_SCHEMA = (
 )
 
 
-# A squared mean above so many variances calls for a shift.
-FAR = 1e6
-# A variance below this share of the mean square is rounding.
+# A standard deviation below this share of the root mean square is rounding.
 ROUNDING = 1e-12
+# Factors that one task merges at a time.
+MERGED = 32
+
+FACTOR = "part int, used long, skipped long, shift array<double>, factor array<double>"
 
 
 class NotFitted(RuntimeError):
@@ -56,15 +61,14 @@ class LinearModel:
     def forecast(self, horizon: int) -> Column:
         if horizon != self.horizon:
             raise ValueError(f"{self.name} was fitted for {self.horizon} steps, not {horizon}")
-        steps = ", ".join(
-            f"named_struct('b', {b!r}D, 'w', array({', '.join(f'{w!r}D' for w in weights)}))"
-            for b, weights in zip(self.intercept.tolist(), self.coefficients.tolist())
-        )
+        # One constant that Spark folds to a typed array: the plan does not grow with the shape.
+        table = [{"b": b, "w": w} for b, w in zip(self.intercept.tolist(), self.coefficients.tolist())]
+        steps = F.from_json(F.lit(json.dumps(table)), "array<struct<b: double, w: array<double>>>")
         inputs = F.concat(F.col("lags"), *[F.col(f"{name}_lags") for name in self.exogenous])
         values = inputs if self.exogenous else F.col("lags")
         products = lambda s: F.zip_with(s["w"], values, lambda w, x: w * x)
         return F.transform(
-            F.expr(f"array({steps})"),
+            steps,
             lambda s: F.aggregate(products(s), s["b"], lambda total, v: total + v),
         )
 
@@ -139,35 +143,62 @@ def _raw_from_base(input_size: int) -> np.ndarray:
 
 
 @dataclass(frozen=True)
-class WindowMoments:
-    """Second moments of training windows, after ``shift`` was subtracted from each column.
+class WindowFactor:
+    """Triangular factor of the training windows' vectors, of which ``shift`` was subtracted.
 
-    ``skipped`` windows had a NULL or non-finite value.
+    There is one shift per column of the panel.  ``skipped`` windows had a NULL or
+    non-finite value.
     """
 
-    matrix: np.ndarray
+    factor: np.ndarray
     shift: tuple[float, ...]
+    used: int = 0
     skipped: int = 0
 
-    @property
-    def used(self) -> int:
-        return int(self.matrix[0, 0])
+
+def _shifted_columns(columns: int, input_size: int) -> list[list[int]]:
+    """Places in the vector that move with each column: the last target, all exogenous lags."""
+    return [[1], *[list(range(1 + input_size * i, 1 + input_size * (i + 1))) for i in range(1, columns)]]
 
 
-def _sum_moments(
-    batches: Iterator[pd.DataFrame], columns: list[str], input_size: int, horizon: int,
-    shift: Sequence[float] = (0.0,),
-) -> Iterator[pd.DataFrame]:
-    """Second moments of all windows in one partition of runs (newest row first).
+def _triangle(rows: np.ndarray) -> np.ndarray:
+    """The square triangular factor of some rows."""
+    size = rows.shape[1]
+    found = np.linalg.qr(rows, mode="r")
+    return np.vstack([found, np.zeros((size - len(found), size))])
 
-    A cell at row -1 has the number of skipped windows.
+
+def merge_factors(parts: Sequence[WindowFactor], input_size: int) -> WindowFactor:
+    """The factor of all windows of the parts.
+
+    A factor follows another shift exactly: the constant column, of which only the first
+    entry is not zero, is added to the columns that move.
     """
+    some = [p for p in parts if p.used]
+    skipped = sum(p.skipped for p in parts)
+    if not some:
+        return WindowFactor(parts[0].factor if parts else np.zeros((0, 0)), parts[0].shift if parts else (), 0, skipped)
+    shift, moved = some[0].shift, []
+    for part in some:
+        factor = part.factor.copy()
+        for places, old, new in zip(_shifted_columns(len(shift), input_size), part.shift, shift):
+            factor[:, places] += (old - new) * factor[:, :1]
+        moved.append(factor)
+    triangle = moved[0] if len(moved) == 1 else _triangle(np.vstack(moved))
+    return WindowFactor(triangle, shift, sum(p.used for p in some), skipped)
+
+
+def _factor_windows(
+    batches: Iterator[pd.DataFrame], columns: list[str], input_size: int, horizon: int
+) -> WindowFactor:
+    """Factor of all windows in one partition of runs (newest row first)."""
     width = input_size + horizon
-    total, skipped = None, 0
+    size = 1 + input_size * len(columns) + horizon
+    factor, used, skipped, shift = np.zeros((0, size)), 0, 0, None
     rest = np.empty((0, len(columns)))
     rest_first = np.empty(0, dtype=bool)
     for batch in batches:
-        values = np.vstack([rest, batch[columns].to_numpy(dtype=float) - np.asarray(shift)])
+        values = np.vstack([rest, batch[columns].to_numpy(dtype=float)])
         first = np.concatenate([rest_first, batch["first_of_run"].to_numpy(dtype=bool)])
         if len(values) >= width:
             # A window may start a run but must not contain the start of another.
@@ -178,6 +209,9 @@ def _sum_moments(
             skipped += int((~finite).sum())
             windows = windows[finite]
             if len(windows):
+                # Values near the first window's: a level far above the spread costs no digits.
+                shift = windows[0, :, 0].copy() if shift is None else shift
+                windows = windows - shift[None, :, None]
                 target = windows[:, 0, :]
                 last = target[:, input_size - 1 : input_size]
                 vector = np.hstack(
@@ -189,28 +223,36 @@ def _sum_moments(
                         target[:, input_size:] - last,
                     ]
                 )
-                moments = vector.T @ vector
-                total = moments if total is None else total + moments
+                factor, used = _triangle(np.vstack([factor, vector])), used + len(vector)
         keep = min(width - 1, len(values))
         rest, rest_first = values[len(values) - keep :], first[len(first) - keep :]
-    if total is not None:
-        row, col = np.triu_indices(len(total))
-        yield pd.DataFrame({"row": row, "col": col, "value": total[row, col]})
-    if skipped:
-        yield pd.DataFrame({"row": [-1], "col": [-1], "value": [float(skipped)]})
+    return WindowFactor(factor, tuple(np.zeros(len(columns)) if shift is None else shift), used, skipped)
+
+
+def _as_row(part: int, found: WindowFactor) -> pd.DataFrame:
+    return pd.DataFrame({
+        "part": [part], "used": [found.used], "skipped": [found.skipped], "shift": [list(found.shift)],
+        "factor": [found.factor.ravel()],
+    })
 
 
-def window_moments(
+def _from_rows(rows: pd.DataFrame, size: int) -> list[WindowFactor]:
+    return [
+        WindowFactor(np.array(r.factor, dtype=float).reshape(-1, size), tuple(r.shift), int(r.used), int(r.skipped))
+        for r in rows.sort_values("part").itertuples()
+    ]
+
+
+def window_factor(
     panel: DataFrame, *, input_size: int, horizon: int, exogenous: Sequence[str] = (),
     hold_out: int = 0, layout: SeriesLayout | None = None,
-) -> WindowMoments:
-    """Second moments of all training windows of a panel.
+) -> WindowFactor:
+    """Triangular factor of all training windows of a panel, in one scan.
 
     The vector is ``[1, last, lag differences, exogenous lags, target differences]``.
-    Only the summed upper triangle reaches the driver: its size depends on
-    ``input_size``, ``horizon`` and the number of exogenous columns, not on the data.
-    Columns whose mean is far above their spread would cancel in the sums; they get a
-    second scan, with the means of the first one subtracted.
+    Factors are merged in groups of ``MERGED`` until so few are left; these reach the
+    driver.  Their size depends on ``input_size``, ``horizon`` and the number of exogenous
+    columns, not on the data.
     """
     columns = [Y, *exogenous]
     layout = layout or measure_series(panel)
@@ -218,32 +260,22 @@ def window_moments(
     ordered = runs.sortWithinPartitions(*keys, *time_order(panel, True)).select("first_of_run", *columns)
     size = 1 + input_size * (1 + len(exogenous)) + horizon
 
-    def scan(shift: tuple[float, ...]) -> WindowMoments:
-        partial = ordered.mapInPandas(
-            lambda batches: _sum_moments(batches, columns, input_size, horizon, shift),
-            "row int, col int, value double",
-        )
-        moments, skipped = np.zeros((size, size)), 0
-        for cell in partial.groupBy("row", "col").agg(F.sum("value").alias("value")).collect():
-            if cell["row"] < 0:
-                skipped = int(cell["value"])
-            else:
-                moments[cell["row"], cell["col"]] = moments[cell["col"], cell["row"]] = cell["value"]
-        return WindowMoments(moments, shift, skipped)
-
-    found = scan((0.0,) * len(columns))
-    if not found.used:
-        return found
-    # The last value and the first lag of each exogenous column stand for their columns.
-    at = [1, *(1 + input_size * (1 + i) for i in range(len(exogenous)))]
-    means = found.matrix[at, 0] / found.used
-    spread = np.maximum(found.matrix[at, at] / found.used - means**2, 0.0)
-    far = means**2 > FAR * spread
-    return scan(tuple(np.where(far, means, 0.0).tolist())) if far.any() else found
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield _as_row(TaskContext.get().partitionId(), _factor_windows(batches, columns, input_size, horizon))
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        return _as_row(int(rows["part"].min()) // MERGED, merge_factors(_from_rows(rows, size), input_size))
+
+    found = ordered.mapInPandas(scan, FACTOR)
+    parts = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while parts > MERGED:
+        found = found.groupBy(F.floor(F.col("part") / MERGED).alias("group")).applyInPandas(merge, FACTOR)
+        parts = -(-parts // MERGED)
+    return merge_factors(_from_rows(found.toPandas(), size), input_size)
 
 
 def solve(
-    spec: LinearSpec, found: WindowMoments, *, input_size: int, horizon: int,
+    spec: LinearSpec, found: WindowFactor, *, input_size: int, horizon: int,
     exogenous: Sequence[str] = (),
 ) -> LinearModel:
     """Ridge solution of one model; the intercept is not penalised.
@@ -251,37 +283,42 @@ def solve(
     The ridge acts on features of unit variance, so the unit of the data does not
     matter.  ``found`` may cover more exogenous columns than the model uses.
     """
-    moments, windows = found.matrix, found.used
+    windows = found.used
     if windows < 1:
         raise NotFitted(f"{spec.name}: no training window ({found.skipped} with missing values)")
+    size = found.factor.shape[1]
     used = list(range(1, 1 + input_size))
     for name in spec.exogenous:
         at = 1 + input_size * (1 + list(exogenous).index(name))
         used += range(at, at + input_size)
-    targets = list(range(len(moments) - horizon, len(moments)))
+    targets = list(range(size - horizon, size))
 
-    features = np.zeros((0, len(moments)))
+    features = np.zeros((0, size))
     base = spec.features(input_size)
     if len(base):
-        features = np.zeros((len(base), len(moments)))
+        features = np.zeros((len(base), size))
         features[:, used] = base
-    target = np.zeros((horizon, len(moments)))
+    target = np.zeros((horizon, size))
     target[range(horizon), targets] = 1.0
     if not spec.relative:
         target[:, 1] = 1.0
 
-    shift = np.zeros(len(moments))
-    for i, value in enumerate(found.shift):
-        shift[1 + input_size * i : (1 if i == 0 else input_size) + 1 + input_size * i] = value
-    mean = moments[:, 0] / windows
-    cov = moments / windows - np.outer(mean, mean)
-    cov_xx, cov_xy = features @ cov @ features.T, features @ cov @ target.T
-    variance, square = np.diag(cov_xx), np.diag(features @ moments @ features.T) / windows
-    varies = variance > ROUNDING * square
-    scale = np.sqrt(np.where(varies, variance, 1.0))
-    unit_xx = np.where(np.outer(varies, varies), cov_xx, 0.0) / np.outer(scale, scale)
-    unit_xy = np.where(varies[:, None], cov_xy, 0.0) / scale[:, None]
-    unit = np.linalg.lstsq(unit_xx + spec.ridge * np.eye(len(unit_xx)), unit_xy, rcond=None)[0]
+    shift = np.zeros(size)
+    for places, value in zip(_shifted_columns(len(found.shift), input_size), found.shift):
+        shift[places] = value
+    # The first row belongs to the constant: it holds the means, and without it the
+    # factor is that of the centred vectors.
+    mean = found.factor[0] / found.factor[0, 0]
+    centred = found.factor[1:].copy() / np.sqrt(windows)
+    centred[:, 0] = 0.0
+    x, y = centred @ features.T, centred @ target.T
+    deviation = np.sqrt((x**2).sum(axis=0))
+    varies = deviation > ROUNDING * np.sqrt(deviation**2 + (features @ mean) ** 2)
+    scale = np.where(varies, deviation, 1.0)
+    unit_x = np.where(varies, x, 0.0) / scale
+    penalty = np.sqrt(spec.ridge) * np.eye(len(features))
+    stacked = np.vstack([unit_x, penalty]), np.vstack([y, np.zeros((len(features), horizon))])
+    unit = np.linalg.lstsq(*stacked, rcond=None)[0]
     weights = (unit / scale[:, None]).T
     intercept = target @ (mean + shift) - weights @ (features @ (mean + shift))
 
@@ -302,12 +339,12 @@ def fit_linear(
 ) -> list[LinearModel]:
     """Fit all linear models in one scan, on rows before the last ``hold_out``."""
     exogenous = sorted({name for spec in specs for name in spec.exogenous})
-    moments = window_moments(
+    found = window_factor(
         panel, input_size=input_size, horizon=horizon, exogenous=exogenous, hold_out=hold_out,
         layout=layout,
     )
     return [
-        solve(spec, moments, input_size=input_size, horizon=horizon, exogenous=exogenous)
+        solve(spec, found, input_size=input_size, horizon=horizon, exogenous=exogenous)
         for spec in specs
     ]
 

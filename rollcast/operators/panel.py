@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from rollcast.functions import clean_numeric, strict_cast, strict_timestamp
 from rollcast.operators.series import ID, TS, Y
 
+# Size of a sketch: two to this power registers, for an error of about 0.8 percent.
+SKETCH_LG_K = 14
+
 # Column names and the event label of the raw readings file, and
 # the panel names of the optional exogenous columns.
 EVENT_COLUMN = "Event Type"
@@ -76,6 +79,26 @@ def profile_series(panel: DataFrame) -> DataFrame:
     )
 
 
+def distinct_sketches(rows: DataFrame, by: Sequence[str] = (), column: str = ID, lg_k: int = SKETCH_LG_K) -> DataFrame:
+    """HyperLogLog sketches of a column's values, one per group: ``<by>, sketch``.
+
+    A sketch has a fixed size whatever it counts, can be stored, and is mergeable, so the
+    number of series over many runs or days needs no second look at their rows.
+    """
+    return rows.groupBy(*by).agg(F.hll_sketch_agg(F.col(column).cast("string"), F.lit(lg_k)).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The sketch of all values of the groups that fall together when only ``by`` is kept."""
+    return sketches.groupBy(*by).agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def estimated_distinct(sketches: DataFrame, name: str = "n_distinct") -> DataFrame:
+    """Replace the sketch by its estimate; its standard error is about ``1.04 / sqrt(2 ** lg_k)``."""
+    kept = [c for c in sketches.columns if c != "sketch"]
+    return sketches.select(*kept, F.hll_sketch_estimate("sketch").alias(name))
+
+
 def select_series(panel: DataFrame, ids: object | Iterable[object]) -> DataFrame:
     """Rows of one series, or of a list of series."""
     wanted = list(ids) if isinstance(ids, (list, tuple, set)) else [ids]
@@ -85,6 +108,6 @@ def select_series(panel: DataFrame, ids: object | Iterable[object]) -> DataFrame
 def first_series(panel: DataFrame, n: int) -> DataFrame:
     """Rows of the first ``n`` series in id order (a table has no order of appearance)."""
     wanted = panel.select(ID).distinct().orderBy(ID).limit(n)
-    return panel.join(F.broadcast(wanted), ID, "left_semi")  # at most n rows
+    return panel.join(wanted, ID, "left_semi")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,22 +31,54 @@ def score(forecasts: DataFrame, *, mape: str = "percent") -> DataFrame:
     forecasts (NULL or NaN) are skipped and not counted in ``n_scored``.  MAPE is in
     ``percent`` (0/0 is NaN, e/0 infinite) or a ``fraction`` (zero targets skipped).
     """
+    return state_metrics(score_state(forecasts, mape=mape))
+
+
+# What a score state counts and sums, beside its keys.
+STATE = ("n_scored", "sum_abs", "sum_square", "n_share", "sum_share")
+
+
+def score_state(forecasts: DataFrame, *, mape: str = "percent") -> DataFrame:
+    """Counts and sums of the errors of every model on every series.
+
+    States of parts of the forecasts (folds, months, runs) add up with ``merge_states``;
+    ``state_metrics`` turns a state into the scores of all its forecasts.  So stored states
+    replace another scan of the forecasts.  ``mape`` is as in ``score`` and must be the
+    same for all parts.
+    """
     errors = {"percent": percent_error, "fraction": fraction_error}
     if mape not in errors:
         raise ValueError(f"mape must be one of {sorted(errors)}")
     y, err = F.col(Y), F.col("err")
     keys = [c for c in ("run_id", "model", ID) if c in forecasts.columns]
-    scored = (
+    share = F.when(err.isNotNull(), errors[mape](y, err))
+    return (
         forecasts.withColumn("err", y - missing_to_null(F.col("y_hat")))
         .groupBy(*keys)
         .agg(
             F.count("err").alias("n_scored"),
-            F.avg(F.abs(err)).alias("mae"),
-            F.avg(err * err).alias("mse"),
-            F.sqrt(F.avg(err * err)).alias("rmse"),
-            F.avg(F.when(err.isNotNull(), errors[mape](y, err))).alias("mape"),
+            F.sum(F.abs(err)).alias("sum_abs"),
+            F.sum(err * err).alias("sum_square"),
+            F.count(share).alias("n_share"),
+            F.sum(share).alias("sum_share"),
         )
     )
+
+
+def merge_states(*states: DataFrame, by: Sequence[str] = ("model", ID)) -> DataFrame:
+    """One state of several; ``by`` names the keys to keep (leaving out ``run_id`` merges runs)."""
+    every = reduce(DataFrame.unionByName, [s.select(*by, *STATE) for s in states])
+    return every.groupBy(*by).agg(*[F.sum(name).alias(name) for name in STATE])
+
+
+def state_metrics(state: DataFrame) -> DataFrame:
+    """The scores of a state, shaped like those of ``score``."""
+    keys = [c for c in state.columns if c not in STATE]
+    mean = lambda total, n: F.try_divide(F.col(total), F.col(n))
+    scored = state.select(
+        *keys, "n_scored", mean("sum_abs", "n_scored").alias("mae"), mean("sum_square", "n_scored").alias("mse"),
+        F.sqrt(mean("sum_square", "n_scored")).alias("rmse"), mean("sum_share", "n_share").alias("mape"),
+    )
     return wide_to_long(scored, [*keys, "n_scored"], METRICS, name="metric")
 
 
@@ -97,6 +130,56 @@ def leaderboard(metrics: DataFrame) -> DataFrame:
     )
 
 
+def board_state(metrics: DataFrame) -> DataFrame:
+    """What a leaderboard needs of a set of series: ``model, metric, n, mean, m2``.
+
+    ``m2`` is the sum of squared distances from the mean.  States of disjoint sets of series
+    merge to that of all.
+    """
+    keys = [c for c in ("run_id", "model", "metric") if c in metrics.columns]
+    return metrics.groupBy(*keys).agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"), (F.var_pop("value") * F.count("value")).alias("m2")
+    )
+
+
+def merge_boards(*states: DataFrame, by: Sequence[str] = ("model", "metric")) -> DataFrame:
+    """The state of all series of several states.
+
+    Means and distances are combined pairwise, so a mean far above the spread costs no
+    digits.  A group has as many rows as states are merged.
+    """
+    known = F.col("n") > 0
+    parts = F.struct(
+        F.col("n").cast("double").alias("n"), F.when(known, F.col("mean")).otherwise(0.0).alias("mean"),
+        F.when(known, F.col("m2")).otherwise(0.0).alias("m2"),
+    )
+    every = reduce(DataFrame.unionByName, [s.select(*by, parts.alias("part")) for s in states])
+
+    def joined(a: Column, b: Column) -> Column:
+        n, step = a["n"] + b["n"], b["mean"] - a["mean"]
+        share = F.try_divide(b["n"], n)
+        # Without rows on one side, the other is taken as it is.
+        between = F.when(F.isnan(step), a["mean"] + b["mean"]).otherwise(a["mean"] + step * share)  # both infinite
+        mean = F.when(a["n"] == 0, b["mean"]).when(b["n"] == 0, a["mean"]).otherwise(between)
+        m2 = F.when(a["n"] == 0, b["m2"]).when(b["n"] == 0, a["m2"]).otherwise(a["m2"] + b["m2"] + step * step * a["n"] * share)
+        return F.struct(n.alias("n"), mean.alias("mean"), m2.alias("m2"))
+
+    nothing = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    merged = every.groupBy(*by).agg(F.aggregate(F.collect_list("part"), nothing, joined).alias("s"))
+    scored = F.col("s.n") > 0
+    return merged.select(
+        *by, F.col("s.n").cast("bigint").alias("n"), F.when(scored, F.col("s.mean")).alias("mean"),
+        F.when(scored, F.col("s.m2")).alias("m2"),
+    )
+
+
+def board_of_state(state: DataFrame) -> DataFrame:
+    """The leaderboard of a state, shaped like that of ``leaderboard``."""
+    keys = [c for c in state.columns if c not in ("n", "mean", "m2")]
+    std = F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1)))
+    return state.select(*keys, "mean", std.alias("std"), F.col("n").alias("n_series"))
+
+
 def _only(metric: str, column: str) -> Column:
     return F.max(F.when(F.col("metric") == metric, F.col(column)))
 

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcast.functions import present
-from rollcast.operators.score import MAX_MODELS
 from rollcast.operators.series import ID
 
 DEFAULT_TOP_MODELS = 6
@@ -104,34 +103,35 @@ def select_models(
     return ranked.select(ID, "model", "mae", "rank")
 
 
-def _keep_models(frame: DataFrame, models: DataFrame, keep: Column | None = None) -> DataFrame:
-    """Rows of some models.  A short list becomes a filter, which also prunes partitions."""
-    names = [r[0] for r in models.select("model").distinct().limit(MAX_MODELS + 1).collect()]
-    if len(names) <= MAX_MODELS:
-        return frame.where(F.col("model").isin(names))
-    return frame.join(models.select("model"), "model", "left_semi")
-
-
 def usable_models(predictions: DataFrame, best: DataFrame) -> DataFrame:
     """Predictions of the best models that have any; of all models when none has.
 
-    ``best`` comes from ``best_models`` and has at most ``top_n`` rows.
+    ``best`` has one row per model, as ``best_models`` returns it.  Nothing runs before the
+    result is used.
     """
-    wanted = [r["model"] for r in best.select("model").collect()]
-    chosen = F.col("model").isin(wanted)
-    none_available = (
-        predictions.select(F.max(F.when(chosen, 1)).alias("any_chosen")).scalar().isNull()
-    )
-    return predictions.where(chosen | none_available)
+    wanted = best.select("model").distinct().withColumn("__chosen", F.lit(True))
+    marked = predictions.join(wanted, "model", "left")
+    any_chosen = marked.select(F.max("__chosen").alias("any_chosen")).scalar()
+    return marked.where(F.col("__chosen") | any_chosen.isNull()).select(*predictions.columns)
 
 
 def missing_pairs(series: DataFrame, models: Sequence[str], results: DataFrame) -> DataFrame:
-    """Expected ``(model, unique_id)`` pairs without any result row."""
-    names = F.array(*[F.lit(m) for m in models])
-    expected = series.select(ID).distinct().select(F.explode(names).alias("model"), ID)
-    return expected.join(results.select("model", ID).distinct(), ["model", ID], "left_anti")
+    """Expected ``(model, unique_id)`` pairs without any result row.
+
+    Each series gathers the set of its models, combined before the shuffle; only what is
+    missing in the set is spread out to rows.
+    """
+    expected = series.select(ID, F.lit(None).cast("string").alias("model"), F.lit(True).alias("expected"))
+    found = results.select(ID, "model", F.lit(False).alias("expected"))
+    sets = expected.unionByName(found).groupBy(ID).agg(
+        F.max("expected").alias("expected"), F.collect_set("model").alias("found")
+    )
+    names = F.array(*[F.lit(m) for m in models]).cast("array<string>")
+    missing = F.explode(F.array_except(names, "found")).alias("model")
+    return sets.where("expected").select(missing, ID)
 
 
 def drop_empty_models(predictions: DataFrame) -> DataFrame:
     """Predictions of the models that have at least one present forecast."""
-    return _keep_models(predictions, predictions.where(present(F.col("y_hat"))))
+    used = predictions.where(present(F.col("y_hat"))).select("model").distinct()
+    return predictions.join(used, "model", "left_semi").select(*predictions.columns)

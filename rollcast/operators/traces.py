@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rollcast.operators.score import model_names
 from rollcast.operators.selection import drop_empty_models, select_models
 from rollcast.operators.series import ID, TS, Y
 
@@ -39,7 +39,7 @@ def _forecast(predictions: DataFrame, trace: Column) -> DataFrame:
 
 
 def _of_series(frame: DataFrame, ids: DataFrame) -> DataFrame:
-    return frame.join(F.broadcast(ids), ID, "left_semi")
+    return frame.join(ids, ID, "left_semi")
 
 
 def prediction_traces(
@@ -89,14 +89,15 @@ def dashboard_traces(
     (NULL for the actual trace).
     """
     if ids is None:
-        ids = [r[0] for r in panel.select(ID).distinct().orderBy(ID).limit(max_series).collect()]
-    shown = F.col(ID).isin(list(ids))
-    traces = _actual(panel.where(shown)).unionByName(
-        _forecast(predictions.where(shown), F.col("model"))
-    )
-    series_at = F.array_position(F.array(*[F.lit(i) for i in ids]), F.col(ID))
-    names = model_names(predictions)
-    model_at = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("trace")) - 1
-    return traces.withColumn("panel_no", series_at).withColumn(
-        "model_no", F.when(F.col("trace") != ACTUAL, model_at)
-    )
+        first = panel.select(ID).distinct().orderBy(ID).limit(max_series)
+        chosen = first.withColumn("panel_no", F.row_number().over(Window.orderBy(ID)))  # of max_series rows
+    else:
+        fields = [panel.schema[ID], T.StructField("panel_no", T.IntegerType())]
+        numbered = [(i, n) for n, i in enumerate(dict.fromkeys(ids), 1)]
+        chosen = panel.sparkSession.createDataFrame(numbered, T.StructType(fields))
+    # One row per model: their numbers are ranks by name.
+    models = predictions.select(F.col("model").alias("trace")).where("trace IS NOT NULL").distinct()
+    numbers = models.withColumn("model_no", F.row_number().over(Window.orderBy("trace")) - 1)
+    actual = _actual(panel).withColumn("model_no", F.lit(None).cast("int"))
+    shown = _forecast(predictions, F.col("model")).join(numbers.where(F.col("trace") != ACTUAL), "trace", "left")
+    return actual.unionByName(shown).join(chosen, ID).select(ID, TS, "trace", "value", "tick", "panel_no", "model_no")

@@ -23,7 +23,7 @@ from rollcast.operators.linear import (
     LinearSpec,
     params_frame,
     solve,
-    window_moments,
+    window_factor,
 )
 from rollcast.operators.panel import profile_series
 from rollcast.operators.score import leaderboard, score
@@ -113,13 +113,13 @@ def backtest(
         exogenous = used_exogenous(specs)
         size = {"input_size": input_size, "horizon": horizon, "exogenous": exogenous}
         try:
-            moments = window_moments(stored, hold_out=hold_out, layout=layout, **size)
+            factor = window_factor(stored, hold_out=hold_out, layout=layout, **size)
         except Exception as error:  # noqa: BLE001 - recorded, the other models go on
             failed(specs, "fit", error)
         else:
             for spec in specs:
                 try:
-                    fitted.append(solve(spec, moments, **size))
+                    fitted.append(solve(spec, factor, **size))
                 except Exception as error:  # noqa: BLE001
                     failed([spec], "fit", error)
 

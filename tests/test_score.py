@@ -131,3 +131,25 @@ def test_wide_predictions(spark):
     assert rows(predictions_wide(frame), "unique_id", "ds", "A", "B") == [
         (1, at(0), 1.0, None), (1, at(1), 2.0, 3.0), (2, at(0), None, 4.0),
     ]
+
+
+def test_states_merge(spark):
+    """States of parts give the scores and the leaderboard of the whole, empty parts included."""
+    from rollcast.operators.score import board_of_state, board_state, merge_boards, merge_states, score_state, state_metrics
+
+    data = [("A", u, at(i), float(y), f) for u in range(5) for i, (y, f) in enumerate([(0, 1.0), (2, None), (1e9 + u, 1e9), (3, float("nan"))])]
+    data += [("B", 1, at(0), 1.0, None)]
+    forecasts = spark.createDataFrame(data, "model string, unique_id bigint, ds timestamp_ntz, y double, y_hat double")
+    for mape in ("percent", "fraction"):
+        whole = score(forecasts, mape=mape)
+        parts = [score_state(forecasts.where(c), mape=mape) for c in ("ds = '2024-01-01'", "ds > '2024-01-01'", "false")]
+        assert rows(state_metrics(merge_states(*parts))) == rows(whole)
+        boards = [board_state(whole.where(c)) for c in ("unique_id < 2", "unique_id >= 2", "false")]
+        merged = {(r["model"], r["metric"]): r for r in board_of_state(merge_boards(*boards)).collect()}
+        expected = leaderboard(whole).collect()
+        assert len(merged) == len(expected)
+        for r in expected:
+            found = merged[r["model"], r["metric"]]
+            assert found["n_series"] == r["n_series"]
+            for name in ("mean", "std"):
+                assert found[name] == r[name] or found[name] == pytest.approx(r[name], nan_ok=True)

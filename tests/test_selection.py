@@ -1,6 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from rollcast.operators.runs import latest_run_results, run_overview, trained_models
+from rollcast.operators.traces import dashboard_traces
 from rollcast.operators.selection import (
     best_models,
     best_series,
@@ -87,6 +89,36 @@ def test_usable_models_and_fallback(spark):
     assert usable_models(predictions, best.where("false")).count() == 3
 
 
+def test_selection_is_lazy(spark):
+    """Building the frames starts no job, and no plan pairs all series with all models."""
+    predictions = predictions_of(spark, [("A", 1), ("B", 1), ("C", 2)])
+    best = spark.createDataFrame([("B", 1.0)], "model string, mean double")
+    tracker, group = spark.sparkContext.statusTracker(), "lazy-selection"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        frames = [
+            usable_models(predictions, best), drop_empty_models(predictions),
+            missing_pairs(predictions, ["A", "B", "C"], predictions),
+            dashboard_traces(predictions.withColumn("y", F.lit(1.0)), predictions),
+        ]
+        assert not tracker.getJobIdsForGroup(group)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for frame in frames:
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+        assert frame.count()
+
+
+def test_missing_pairs_of_many_models_and_null_ids(spark):
+    results = spark.createDataFrame([("m7", None, at(0), 1.0), ("m8", 1, at(0), 1.0)], PREDICTIONS)
+    panel = spark.createDataFrame([(1,), (None,), (None,)], "unique_id bigint")
+    names = [f"m{i}" for i in range(1500)]
+    found = missing_pairs(panel, names, results)
+    assert rows(found.groupBy("unique_id").count()) == [(1, 1499), (None, 1499)]
+    assert missing_pairs(panel, [], results).count() == 0
+
+
 def test_missing_pairs(spark):
     results = predictions_of(spark, [("A", 1), ("A", 2), ("B", 1)])
     panel = spark.createDataFrame([(1,), (1,), (2,), (3,)], "unique_id bigint")
