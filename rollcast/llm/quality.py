@@ -19,13 +19,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollcast.llm.common import annotate, column
-from rollcast.llm.linear import SAMPLE_ROWS, features, fit, labelled_rows
+from rollcast.llm.linear import SAMPLE_ROWS, features, fit_models
 from rollcast.sources.scratch import store
 
 EVIDENCE = T.StructType([T.StructField("p_doc", T.DoubleType())])
@@ -68,15 +67,9 @@ def classify(
     columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add ``p_doc, p_host, p_path, p_good, kept``; ``columns`` limits what passes through."""
-    rows, known = labelled_rows(
-        docs, labels, [quality_column, toxic_column], id_column=id_column, text_column=text_column, sample_rows=sample_rows
-    )
-    models = docs.sparkSession.sparkContext.broadcast(
-        (fit(rows, known[quality_column] > 0), fit(rows, known[toxic_column] <= 0))
-    )
-    # Later steps run while this function does: the sample need not stay on the driver.
-    del rows, known
-    pa.default_memory_pool().release_unused()
+    good = {quality_column: lambda v: v > 0, toxic_column: lambda v: v <= 0}
+    fitted = fit_models(docs, labels, good, id_column=id_column, text_column=text_column, sample_rows=sample_rows)
+    models = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def task():
         good, clean = (m.scorer() for m in models.value)

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from rollcast.llm.common import annotate
 from rollcast.llm.hashing import Runs, word_hashes
-from rollcast.llm.linear import SAMPLE_ROWS, features, fit, labelled_rows
+from rollcast.llm.linear import SAMPLE_ROWS, features, fit_models
 
 SYMBOLS = b"#*$%&|<>"
 REPEAT = 5
@@ -63,12 +63,9 @@ def judge(
     least_words: int = 10, most_repeated: int = 20, threshold: float = 0.5,
 ) -> DataFrame:
     """Add the counts, both probabilities, ``base_failed`` and ``kept`` to every row."""
-    rows, known = labelled_rows(
-        docs, labels, [quality_column, toxic_column], id_column=id_column, text_column=text_column, sample_rows=sample_rows
-    )
-    models = docs.sparkSession.sparkContext.broadcast(
-        (fit(rows, known[quality_column] > 0), fit(rows, known[toxic_column] <= 0))
-    )
+    good = {quality_column: lambda v: v > 0, toxic_column: lambda v: v <= 0}
+    fitted = fit_models(docs, labels, good, id_column=id_column, text_column=text_column, sample_rows=sample_rows)
+    models = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def task():
         scorers = [m.scorer() for m in models.value]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from rollcast.llm import (
     decontamination, mixing, privacy, quality, rules, simhash, substrings, suffix_index, tokens, warc,
 )
-from rollcast.llm.linear import CHAR_SPACE, fit
+from rollcast.llm.linear import fit
 
 SPACES = rb"[^\x20\x09-\x0D]+"
 
@@ -399,7 +399,7 @@ def test_rules_held_out(labelled, awkward, empty):
 
 
 def test_fit_of_one_kind():
-    none = (np.zeros(0, np.int32), np.zeros(CHAR_SPACE, np.float32))
+    none = (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32))
     assert fit([none] * 3, np.ones(3)).scorer()(*none) > 0.99
     assert fit([none] * 3, np.zeros(3)).scorer()(*none) < 0.01
     assert fit([], np.zeros(0)).scorer()(*none) > 0.99
