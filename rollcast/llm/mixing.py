@@ -2,11 +2,13 @@
 
 The documents of a source are shuffled (by a hash of id and text) and laid end to end as
 one stream of words, which repeats while the target asks for more.  The stream is cut
-into blocks of equally many words.  Slot ``i`` of the mix is the point ``frac(i / golden
-ratio)``; the cumulative targets map it to a source; the k-th slot of a source takes the
-k-th block of its stream.  The schedule runs slightly longer than the mix, and a source
-stops when its target is reached.  Blocks that a source still needs then (small sources get
-too few points, or none on the grid) come after the last slot, source by source.
+into blocks of equally many words; a source needs so many blocks as reach its target.  With
+``B`` blocks in all, slot ``i`` of the mix is the point ``frac(i * g / B)``, where ``g / B`` is
+the fraction next to the inverse golden ratio with ``g`` prime to ``B``.  These points are as
+evenly spread as those of the golden ratio itself, and each multiple of ``1 / B`` is met
+exactly once: the cumulative numbers of blocks map a point to a source, and every source,
+however small, gets exactly as many slots as it needs.  The k-th slot of a source takes
+the k-th block of its stream; what the mix takes of a document is what these blocks hold.
 
 Defined results: a null text has no words; a null source is a source of its own, last in
 order; a null id is kept; repeated rows are laid end to end like other rows; documents
@@ -17,6 +19,7 @@ other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import gcd
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,10 +29,9 @@ from rollcast.sources.scratch import store
 
 WORD = r"[^\x20\x09-\x0D]+"
 
-# Points lie on a grid of M; STEP / M is the inverse golden ratio.
-M = 2_147_483_647
-STEP = 1_327_217_884
-CELL = M // 4096 + 1
+# Inverse golden ratio, and into how many cells the points are dealt.
+GOLDEN = (5**0.5 - 1) / 2
+CELLS = 4096
 
 ROWS_PER_BUCKET = 50_000
 SLOTS_PER_BUCKET = 65_536
@@ -70,22 +72,30 @@ def source_targets(
     )
 
 
-def _slots(targets: DataFrame, n_slots: int) -> DataFrame:
-    """``number, rank, slot``: the source of every slot and the slot's place among that source's."""
-    spark = targets.sparkSession
-    in_order = Window.orderBy("number")
-    upto = F.sum("target").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    all_of_it = F.sum("target").over(Window.partitionBy())
-    intervals = (
-        targets.withColumn("__to", F.round(upto / all_of_it * M).cast("long"))
-        .withColumn("__from", F.coalesce(F.lag("__to").over(in_order), F.lit(0)))
-        .where("__to > __from")
-        .withColumn("cell", F.explode(F.expr(f"sequence(__from div {CELL}, (__to - 1) div {CELL})")))
-        .select("number", "__from", "__to", "cell")
+def step_of(n_slots: int) -> int:
+    """The number next to the golden section of ``n_slots`` that has no divisor with it."""
+    step = max(1, round(n_slots * GOLDEN))
+    while gcd(step, n_slots) > 1:
+        step += 1
+    return step
+
+
+def _slots(blocks: DataFrame, n_slots: int) -> DataFrame:
+    """``number, rank, slot``: the source of every slot and the slot's place among that source's.
+
+    ``blocks`` has the sources with their ``n_blocks``, which sum to ``n_slots``, and the
+    number ``first`` of blocks before them.
+    """
+    spark, step, cell = blocks.sparkSession, step_of(n_slots), n_slots // CELLS + 1
+    intervals = blocks.where("n_blocks > 0").select(
+        "number", F.col("first").alias("__from"), (F.col("first") + F.col("n_blocks")).alias("__to"),
+        F.explode(F.expr(f"sequence(first div {cell}, (first + n_blocks - 1) div {cell})")).alias("cell"),
     )
-    point = F.expr(f"pmod(pmod(id, {M}) * {STEP}, {M})")
+    # slot * step modulo n_slots, in two parts so that no product overflows.
+    high, low = f"(id div {1 << 20})", f"(id % {1 << 20})"
+    point = F.expr(f"(({high} * {step} % {n_slots}) * {1 << 20} % {n_slots} + {low} * {step} % {n_slots}) % {n_slots}")
     points = spark.range(n_slots).select(F.col("id").alias("slot"), point.alias("point"))
-    points = points.withColumn("cell", F.expr(f"point div {CELL}"))
+    points = points.withColumn("cell", F.expr(f"point div {cell}"))
     # Stored, so that Spark knows its size: a few thousand rows and one per source.
     placed = points.join(store(intervals), "cell").where("point >= __from AND point < __to")
     placed = placed.select("number", "slot", F.expr(f"slot div {SLOTS_PER_BUCKET}").alias("bucket"), F.lit(1).alias("one"))
@@ -113,27 +123,25 @@ def mix_blocks(
     sized = store(sized)
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     sizes = store(sizes)
-    about = sizes.agg(F.sum("source_size").alias("words"), F.sum("n").alias("rows")).first()
+    n_rows = sizes.agg(F.sum("n")).first()[0] or 0
     targets = store(source_targets(sizes.drop("n"), weights, total, cap))
 
-    # Where a source's blocks without a point of the schedule go: each has a place of its own.
     blocks = F.expr(f"(CAST(floor(target) AS BIGINT) + {block_words - 1}) div {block_words}")
     earlier = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    late = targets.withColumn("late", F.coalesce(F.sum(blocks).over(earlier), F.lit(0).cast("long")))
+    in_blocks = targets.withColumn("n_blocks", blocks)
+    in_blocks = in_blocks.withColumn("first", F.coalesce(F.sum("n_blocks").over(earlier), F.lit(0).cast("long")))
 
-    bits = max(0, -(-(about["rows"] or 0) // ROWS_PER_BUCKET) - 1).bit_length()
+    bits = max(0, -(-n_rows // ROWS_PER_BUCKET) - 1).bit_length()
     bucket = F.shiftright("place", 64 - bits) if bits else F.lit(0).cast("long")
     numbered = sized.withColumn("bucket", bucket).join(
-        late.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))
+        targets.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))
     ).drop("__source")
     worded = numbered.where("size > 0")
     order = [F.col(c) for c in ("place", "id", "size")]
     placed = store(running_total(worded, ["number"], "bucket", order, "size", "start").drop("bucket"))
 
-    wanted = int((about["words"] or 0) * total)
-    n_slots = -(-wanted // block_words)
-    n_points = n_slots + n_slots // 100 + 256 if n_slots else 0
-    slots = _slots(targets, n_points)
+    n_slots = in_blocks.agg(F.sum("n_blocks")).first()[0] or 0
+    slots = _slots(in_blocks, max(1, n_slots))
 
     # A document lies once in every pass over the stream, up to the target.
     end = F.least(F.col("from") + F.col("size"), F.floor("target"))
@@ -146,24 +154,26 @@ def mix_blocks(
     )
     first = F.greatest("from", F.col("rank") * block_words)
     last = F.least("to", (F.col("rank") + 1) * block_words)
-    slot = F.coalesce("slot", F.lit(n_points) + F.col("late") + F.col("rank")).alias("slot")
-    pieces = passes.join(slots, ["number", "rank"], "left").select(
-        slot, "source", "number", "id", "start", "pass",
+    pieces = passes.join(slots, ["number", "rank"]).select(
+        "slot", "source", "number", "id", "start", "pass",
         (first - F.col("from")).alias("first_word"), (last - first).alias("n_words"),
     )
     empty = numbered.where("size = 0").withColumn("start", F.lit(None).cast("long")).drop("bucket")
-    return pieces, placed.unionByName(empty).drop("late"), targets
+    return pieces, placed.unionByName(empty), targets
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """How many words the mix takes of every document.
 
-    ``id, source, size, source_size, target, taken``; one row per input row.
+    ``id, source, size, source_size, target, taken``, the first slot with words of the document, and a
+    digest of all its slots (the exclusive or of their hashes); one row per input row.
     """
     pieces, placed, _ = mix_blocks(docs, **options)
     # Documents with words start at different places of their stream.
-    taken = pieces.groupBy("number", "start").agg(F.sum("n_words").alias("taken"))
+    taken = pieces.groupBy("number", "start").agg(
+        F.sum("n_words").alias("taken"), F.min("slot").alias("first_slot"), F.bit_xor(F.xxhash64("slot")).alias("slots_digest")
+    )
     return placed.join(taken, ["number", "start"], "left").select(
         "id", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"),
-        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", "slots_digest",
     )

@@ -87,8 +87,9 @@ def write_archives(
     known = rows.join(firsts, F.col("digest") == F.col("__digest"), "left").drop("__digest")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
 
-    # The copy number tells repeated rows apart; the window needs no other shuffle.
-    dealt = known.repartition(max(1, -(-total // shard_bytes)), "page_id")
+    # The copy number tells repeated rows apart; the window needs no other shuffle.  Dealt by
+    # all three, since very many pages may share an id (or have none).
+    dealt = known.repartition(max(1, -(-total // shard_bytes)), "page_id", "url", "digest")
     same = Window.partitionBy("page_id", "url", "digest").orderBy(F.lit(1))
     dealt = dealt.withColumn("copy", F.row_number().over(same))
     url, digest, page = F.col("url"), F.col("digest"), F.col("page_id")
