@@ -179,7 +179,11 @@ def row_mean_over_models(spark, folder):
     return wide.select("unique_id", "metric", row_mean(*map(F.col, NAMES)).alias("mean"))
 
 
-@query()
+@query(
+    with_(*EVENT_METRICS)
+    + "SELECT unique_id FROM (SELECT DISTINCT unique_id FROM metrics WHERE metric = 'mae') "
+    "ORDER BY md5('7:' || unique_id), unique_id LIMIT 5"
+)
 def sample_series(spark, folder):
     return selection.sample_series(event_metrics(spark, folder), seed=7, n=5)
 
@@ -347,6 +351,43 @@ def read_summary(spark, folder):
     return results.read_summary(spark, path)
 
 
+@query(
+    with_(*EVENT_SUMMARY)
+    + f"SELECT model, metric, {r6('mean', 'mean')}, CAST(NULL AS DOUBLE) AS std FROM summary"
+)
+def read_summary_for_display(spark, folder):
+    """The reshaped scores, one row per model, as one CSV file, read back."""
+    path = shared_folder(spark)
+    results.write_summary(event_summary(spark, folder), path, "means")
+    return results.read_summary(spark, path)
+
+
+@query(
+    "SELECT 'cv_results_Bad.csv' AS file, 'missing columns: y' AS reason "
+    "UNION ALL SELECT 'cv_results_Other.csv', 'missing columns: Other'"
+)
+def import_skips(spark, folder):
+    """Files without a required column or a value column are reported, the others read."""
+    path = exported_cv(spark, folder)
+    rows = spark.read.csv(f"{path}/cv_results_Naive.csv", header=True)
+    rows.drop("y").write.csv(f"{path}/cv_results_Bad.csv", header=True)
+    rows.write.csv(f"{path}/cv_results_Other.csv", header=True)
+    skipped = results.import_cv_results(spark, path).skipped
+    found = [(file.rsplit("/", 1)[1], reason) for file, reason in skipped.items()]
+    return spark.createDataFrame(found, "file string, reason string")
+
+
+@query("SELECT 'mae' AS metric, CAST(5 AS BIGINT) AS n UNION ALL SELECT 'absent', 0")
+def best_series_of_absent_metric(spark, folder):
+    """A metric without rows gives no series, and no error."""
+    metrics = event_metrics(spark, folder)
+    counts = [
+        selection.best_series(metrics, 5, name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("metric"), "n")
+        for name in ("mae", "absent")
+    ]
+    return counts[0].unionByName(counts[1])
+
+
 ACTUAL = (
     "SELECT unique_id, ds, 'Actual' AS trace, {y}, strftime(ds, '%Y-%m-%d %H:%M:%S') || "
     "CASE WHEN microsecond(ds) % 1000000 <> 0 THEN '.' || strftime(ds, '%f') ELSE '' END AS tick "

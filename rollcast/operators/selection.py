@@ -38,12 +38,15 @@ def pick_best_series(metrics: DataFrame, metric: str = "mae") -> object:
 
 
 def sample_series(metrics: DataFrame, seed: int = 0, n: int = 1, metric: str = "mae") -> DataFrame:
-    """A draw of scored series that depends on the seed only, not on the partitioning."""
+    """A draw of scored series that depends on the seed only, not on the partitioning.
+
+    The series with the least MD5 of ``<seed>:<id>``, so that any engine can repeat it.
+    """
     return (
         metrics.where(F.col("metric") == metric)
         .select(ID)
         .distinct()
-        .orderBy(F.xxhash64(F.col(ID), F.lit(seed)), ID)
+        .orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(ID).cast("string"))), ID)
         .limit(n)
     )
 
