@@ -120,9 +120,10 @@ def fit(rows: list[Features], labels: np.ndarray) -> Model:
     picked = [rows[i] for i in np.flatnonzero(train)]
     words, grams, shares = (np.concatenate([p[i] for p in picked]) for i in range(3))
     of_words, of_grams = (np.repeat(centred, [len(p[i]) for p in picked]) for i in range(2))
-    count = np.bincount(words, minlength=WORD_SPACE)
+    seen, words = np.unique(words, return_inverse=True)
+    count = np.bincount(words, minlength=len(seen))
     share = count / n
-    z = np.bincount(words, of_words, WORD_SPACE) / np.sqrt(np.maximum(spread * n * share * (1 - share), 1e-12))
+    z = np.bincount(words, of_words, len(seen)) / np.sqrt(np.maximum(spread * n * share * (1 - share), 1e-12))
     z[count < LEAST_ROWS] = 0
     mean, square = (np.bincount(grams, v, CHAR_SPACE) / n for v in (shares, shares.astype(float) ** 2))
     deviation = np.sqrt(np.maximum(square - mean**2, 0))
@@ -133,7 +134,7 @@ def fit(rows: list[Features], labels: np.ndarray) -> Model:
     both = np.abs(np.concatenate((z, z_grams)))
     able = np.flatnonzero(both >= LEAST_Z)
     best = able[np.argsort(-both[able], kind="stable")[:MOST_FEATURES]]
-    words, chars = np.sort(best[best < WORD_SPACE]), np.sort(best[best >= WORD_SPACE] - WORD_SPACE)
+    words, chars = seen[np.sort(best[best < len(seen)])], np.sort(best[best >= len(seen)] - len(seen))
 
     place, place_gram = np.full(WORD_SPACE, -1, np.int32), np.full(CHAR_SPACE, -1, np.int32)
     place[words] = np.arange(len(words))
