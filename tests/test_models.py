@@ -218,6 +218,23 @@ def test_merged_factors_are_those_of_all_rows():
     np.testing.assert_allclose(found.factor.T @ found.factor, vectors.T @ vectors, rtol=1e-9, atol=1e-3)
 
 
+def test_factors_are_merged_in_groups(spark, panel):
+    """More partitions than one task merges: a tree of groups gives the same fit."""
+    size = {"input_size": L, "horizon": H}
+    expected = window_factor(panel, **size)
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "70")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = window_factor(panel, **size)
+    finally:
+        spark.conf.set(name, before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found.used == expected.used
+    np.testing.assert_allclose(products(found), products(expected), rtol=1e-10, atol=1e-6)
+
+
 def test_near_collinear_windows(spark):
     """A trend with tiny noise: cross-products would lose the noise, factors keep it."""
     draw = np.random.default_rng(8)
