@@ -247,10 +247,14 @@ def cv_folds_of_cut_series(spark, folder):
     )
 
 
-@query(with_(ORDERS, RANKED, folds(12, 3, input_size=1200)) + FOLD_COLUMNS)
+DAILY = SUPPLIERS.replace("l_suppkey AS unique_id", "'all' AS unique_id").replace("GROUP BY l_suppkey, ", "GROUP BY ")
+
+
+@query(with_(DAILY, RANKED, folds(12, 3, input_size=1200)) + FOLD_COLUMNS)
 def cv_folds_with_long_inputs(spark, folder):
-    """More rows before the folds than Spark limits groups to."""
-    panel = orders_panel(spark, folder)
+    """More rows before the folds than Spark limits groups to: the quantity shipped per day, as one series."""
+    days = supplier_panel(spark, folder).groupBy("ds").agg(F.sum("y").alias("y"))
+    panel = days.select(F.lit("all").alias("unique_id"), "ds", "y")
     return windows.cv_folds(
         panel, horizon=12, n_windows=3, input_size=1200,
         layout=measure_series(panel, piece_rows=512, spacing=timedelta(days=1)),
