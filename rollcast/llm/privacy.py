@@ -25,6 +25,7 @@ pass through, clashing ones are replaced.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -148,30 +149,90 @@ def _entities() -> Column:
     return F.array_distinct(F.transform("mentions", lambda m: m["entity"]))
 
 
-def disclosures(mentions: DataFrame, docs: DataFrame, text: str, *, support: int = SUPPORT) -> DataFrame:
-    """``entity, term, disclosure`` of all pairs with enough documents.
+class Evidence(NamedTuple):
+    """What the corpus says about entities and terms, by classes with the same documents."""
 
-    ``mentions`` has a row per document with any; ``docs`` has all documents.
+    held: DataFrame  # row, id, h: the documents with mentions
+    entities: DataFrame  # entity, e
+    terms: DataFrame  # term, t
+    pairs: DataFrame  # e, t, disclosure
+    together: DataFrame  # row, e, t: the pairs of each document that can reach the threshold
+
+
+def _members(frame: DataFrame, name: str) -> DataFrame:
+    """Number of rows of every value, and two 64-bit hashes of the set of these rows."""
+    return frame.groupBy(name).agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("a"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("b")
+    )
+
+
+def _evidence(mentions: DataFrame, docs: DataFrame, text: str, support: int, at_least: float | None) -> Evidence:
+    """A disclosure depends on sets of documents only, so entities (or terms) with the same set are one class.
+
+    A list of addresses that occurs as a whole in some documents is one class, whatever its
+    length.  A pair has no more documents than its entity, so ``disclosure >= d`` needs
+    ``n(t) <= N^(1-d) n(e)^d``; other pairs are left out before they are counted.
     """
     held = store(mentions.select(
-        F.monotonically_increasing_id().alias("row"), _entities().alias("entities"), _terms(column(text)).alias("terms")
+        F.monotonically_increasing_id().alias("row"), *[c for c in ("id", "h") if c in mentions.columns],
+        _entities().alias("entities"), _terms(column(text)).alias("terms"),
     ))
+    n_docs = docs.count()
     entities = held.select("row", F.explode("entities").alias("entity"))
-    # A pair cannot have more documents than its entity.
-    of_entity = store(entities.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support))
-    of_pair = (
-        entities.join(of_entity.select("entity"), "entity").join(held.select("row", "terms"), "row")
-        .select("entity", F.explode("terms").alias("term"))
-        .groupBy("entity", "term").agg(F.count("*").alias("n_pair")).where(F.col("n_pair") >= support)
+    # A pair cannot have more documents than its entity or its term.
+    of_entity = store(_members(entities, "entity").where(F.col("n") >= support).select("entity", F.struct("n", "a", "b").alias("e")))
+    terms = held.select("row", F.explode("terms").alias("term"))
+    everywhere = (
+        docs.select(F.explode(_terms(F.coalesce(column(text), F.lit("")))).alias("term"))
+        .groupBy("term").agg(F.count("*").alias("n_term")).where(F.col("n_term") >= support)
     )
-    of_term = docs.select(F.explode(_terms(F.coalesce(column(text), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    n = docs.agg(F.count("*").alias("n_docs"))
-    rate = F.log(F.col("n_docs") * F.col("n_pair") / F.col("n_entity") / F.col("n_term"))
-    information = F.log(F.col("n_docs") / F.col("n_entity"))
+
+    def possible(n_entity: Column) -> Column:
+        if at_least is None:
+            return F.lit(True)
+        most = F.pow(F.lit(float(n_docs)), F.lit(1 - at_least)) * F.pow(n_entity.cast("double"), F.lit(at_least))
+        return F.col("t.n_term") <= most * (1 + 1e-9)
+
+    of_term = store(
+        _members(terms, "term").where(F.col("n") >= support).join(everywhere, "term")
+        .select("term", F.struct("n_term", "n", "a", "b").alias("t"))
+    )
+    row_entities = store(entities.join(of_entity, "entity").select("row", "e").distinct())
+    largest = row_entities.groupBy("row").agg(F.max("e.n").alias("largest"))
+    row_terms = store(
+        terms.join(of_term, "term").join(largest, "row").where(possible(F.col("largest"))).select("row", "t").distinct()
+    )
+    together = row_entities.join(row_terms, "row").where(possible(F.col("e.n")))
+    rate = F.log(F.lit(n_docs) * F.col("n_pair") / F.col("e.n") / F.col("t.n_term"))
+    information = F.log(F.lit(n_docs) / F.col("e.n"))
+    pairs = (
+        together.groupBy("e", "t").agg(F.count("*").alias("n_pair")).where(F.col("n_pair") >= support)
+        .select("e", "t", F.when(information > 0, rate / information).otherwise(0.0).alias("disclosure"))
+    )
+    if at_least is not None:
+        pairs = pairs.where(F.col("disclosure") >= at_least)
+    return Evidence(held, of_entity, of_term, store(pairs), together)
+
+
+def disclosures(
+    mentions: DataFrame, docs: DataFrame, text: str, *, support: int = SUPPORT, at_least: float | None = None
+) -> DataFrame:
+    """``entity, term, disclosure`` of all pairs with enough documents, or of those that reach ``at_least``.
+
+    ``mentions`` has a row per document with any; ``docs`` has all documents.
+    """
+    found = _evidence(mentions, docs, text, support, at_least)
+    return found.pairs.join(found.entities, "e").join(found.terms, "t").select("entity", "term", "disclosure")
+
+
+def _strong_terms(found: Evidence) -> DataFrame:
+    """``id, h, strong``: the terms to treat in every document, with their highest disclosure."""
     return (
-        store(of_pair).join(of_entity, "entity").join(of_term, "term")
-        .withColumn("n_docs", F.lit(n.first()["n_docs"]))
-        .select("entity", "term", F.when(information > 0, rate / information).otherwise(0.0).alias("disclosure"))
+        found.together.join(found.pairs, ["e", "t"]).groupBy("row", "t").agg(F.max("disclosure").alias("d"))
+        # Every term of a class is in every document of the class.
+        .join(found.terms, "t").join(found.held.select("row", "id", "h"), "row")
+        .groupBy("id", "h", "term").agg(F.max("d").alias("d"))
+        .groupBy("id", "h").agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("strong"))
     )
 
 
@@ -182,8 +243,9 @@ def sanitise(
     """Add ``spans`` (base spans, then terms) and ``clean_text``.
 
     A span is ``kind, start, end, action``; ``kind`` counts through KINDS, and 4 is a term.
-    Base spans become their kind in brackets, generalised terms ``[WORD]`` or ``[NUMBER]``,
-    and removed terms go.
+    Base spans become their kind in brackets.  Generalised terms become a class: years their
+    decade (``[1980s]``), other numbers the range with their first digit (``[40000-49999]``),
+    words ``[NAME]``, ``[ACRONYM]``, ``[CODE]`` (with digits) or ``[WORD]``.  Removed terms go.
     """
     names = ("spans", "clean_text")
     kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
@@ -192,20 +254,17 @@ def sanitise(
         F.struct(*[column(c).alias(c) for c in kept]).alias(ROW), key["id"].cast("string").alias("id"), key["h"].alias("h"),
         F.coalesce(column(text_column).cast("string"), F.lit("")).alias("text"),
     )
-    found = find_mentions(rows, "text")
-    mentions = store(found.where(F.size("mentions") > 0).select("id", "h", "text", "mentions"))
-    strong = store(disclosures(mentions, rows, "text", support=support).where(F.col("disclosure") >= generalise))
-    listed = store(
-        mentions.select("id", "h", F.explode(_entities()).alias("entity"), _terms(F.col("text")).alias("terms"))
-        .join(strong.select("entity").distinct(), "entity", "left_semi")
-        .select("id", "h", "entity", F.explode("terms").alias("term"))
-        .join(strong, ["entity", "term"])
-        .groupBy("id", "h", "term").agg(F.max("disclosure").alias("d"))
-        .groupBy(F.col("id").alias("__i"), F.col("h").alias("__h"))
-        .agg(F.map_from_entries(F.collect_list(F.struct("term", "d"))).alias("__strong"))
-    )
+    # Patterns run once over all texts; what they find is stored for the documents with any.
+    mentions = store(find_mentions(rows.drop(ROW), "text").where(F.size("mentions") > 0))
+    listed = _strong_terms(_evidence(mentions, rows, "text", support, generalise))
+    named = listed.select(F.col("id").alias("__i"), F.col("h").alias("__h"), F.col("strong").alias("__strong"))
     same = F.col("id").eqNullSafe(F.col("__i")) & (F.col("h") == F.col("__h"))
-    met = _placed_terms(found.drop("mentions").join(listed, same, "left"), remove)
+    marks = store(
+        mentions.groupBy("id", "h").agg(F.first("base").alias("base")).join(named, same, "left")
+        .select(F.col("id").alias("__i"), F.col("h").alias("__h"), "base", "__strong")
+    )
+    met = rows.join(marks, same, "left").withColumn("base", F.coalesce("base", F.array().cast(marks.schema["base"].dataType)))
+    met = _placed_terms(met, remove)
     base = F.transform("base", lambda s: F.struct(s["kind"], s["start"], s["end"], F.lit("mask").alias("action")))
     apart = lambda t, spans: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
     own = let(F.col("base"), lambda spans: F.filter("terms", lambda t: apart(t, spans)))
@@ -239,6 +298,19 @@ def _placed_terms(met: DataFrame, remove: float) -> DataFrame:
     return ended.withColumn("__all", terms).withColumn("terms", F.filter("__all", F.isnotnull))
 
 
+def _general(word: Column) -> Column:
+    """The class of a term: the decade of a year, the range of a number, or what kind of word it is."""
+    like = lambda pattern: F.regexp_like(word, F.lit(pattern))
+    first, rest = F.substring(word, 1, 1), F.length(word) - 1
+    span = F.concat(F.lit("["), first, F.repeat(F.lit("0"), rest), F.lit("-"), first, F.repeat(F.lit("9"), rest), F.lit("]"))
+    return (
+        F.when(like("^(1[0-9]|20)[0-9][0-9]$"), F.concat(F.lit("["), F.substring(word, 1, 3), F.lit("0s]")))
+        .when(like("^[0-9]+$"), span)
+        .when(like(r"\p{N}"), "[CODE]").when(like(r"^\p{Lu}+$"), "[ACRONYM]").when(like(r"^\p{Lu}"), "[NAME]")
+        .otherwise("[WORD]")
+    )
+
+
 def _masked(spanned: DataFrame) -> DataFrame:
     """Add ``clean_text``: what lies outside the spans, with a mask at the start of each."""
     ordered = F.sort_array(F.transform("spans", lambda s: F.struct(s["start"], s["end"], s["kind"], s["action"])))
@@ -248,7 +320,7 @@ def _masked(spanned: DataFrame) -> DataFrame:
 
     def mask(s: Column) -> Column:
         word = text.substr((s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
-        general = F.when(F.regexp_like(word, F.lit("^[0-9]")), "[NUMBER]").otherwise("[WORD]")
+        general = _general(word)
         kinds = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
         return F.when(s["action"] == "mask", F.get(kinds, s["kind"])).when(s["action"] == "generalise", general).otherwise("")
 
