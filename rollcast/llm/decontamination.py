@@ -17,6 +17,7 @@ pass through, clashing ones are replaced.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -30,7 +31,7 @@ from rollcast.llm.common import annotate, column
 from rollcast.sources.scratch import store
 
 WINDOW = 13
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 200_000
 
 # Bytes that separate words become spaces, A-Z become a-z; every byte keeps its place.
 _SPACES = [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]
@@ -52,24 +53,38 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(NORMAL).split()
 
 
-def _patterns(items: list[tuple[str | None, bytes]], window: int) -> dict[tuple, set]:
-    """Pattern (a tuple of words) -> ids of the items that hold it."""
-    found: dict[tuple, set] = {}
-    for item, text in items:
-        words = words_of(text)
-        for at in range(max(1, len(words) - window + 1) if words else 0):
-            found.setdefault(tuple(words[at : at + window]), set()).add(item)
-    return found
+class _Automaton:
+    """All patterns of the items over word numbers; what a pattern says is kept in arrays.
 
+    A pattern's value is its place in ``lengths`` and in ``bounds``, which cuts ``holders``
+    (places in ``ids``) into the items of each pattern.
+    """
 
-def _automaton(patterns: dict[tuple, set]) -> tuple[ahocorasick.Automaton, dict[bytes, int]]:
-    numbers: dict[bytes, int] = {}
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for words, items in patterns.items():
-        key = tuple(numbers.setdefault(w, len(numbers) + 1) for w in words)
-        automaton.add_word(key, (len(key), frozenset(items)))
-    automaton.make_automaton()
-    return automaton, numbers
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int):
+        self.ids = [item for item, _ in items]
+        self.numbers: dict[bytes, int] = {}
+        self.scan = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        lengths, pattern, holder = array("H"), array("q"), array("q")
+        for item, (_, text) in enumerate(items):
+            numbers = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text)]
+            for at in range(max(1, len(numbers) - window + 1) if numbers else 0):
+                key = tuple(numbers[at : at + window])
+                place = self.scan.get(key, -1)
+                if place < 0:
+                    place = len(lengths)
+                    self.scan.add_word(key, place)
+                    lengths.append(len(key))
+                pattern.append(place)
+                holder.append(item)
+        self.scan.make_automaton()
+        self.lengths = np.frombuffer(lengths, np.uint16) if lengths else np.zeros(0, np.uint16)
+        order = np.argsort(np.array(pattern, np.int64), kind="stable")
+        self.holders = np.array(holder, np.int32)[order]
+        self.bounds = np.concatenate(([0], np.cumsum(np.bincount(np.array(pattern, np.int64), minlength=len(lengths)))))
+
+    def items_of(self, places: set[int]) -> list[str]:
+        found = {self.ids[k] for p in places for k in self.holders[self.bounds[p] : self.bounds[p + 1]].tolist()}
+        return sorted(x for x in found if x is not None)
 
 
 def _word_starts(normal: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -85,9 +100,10 @@ def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _scanner(patterns: dict[tuple, set]):
+def _scanner(items: list[tuple[str | None, bytes]], window: int):
     """What scans the texts of a batch; made once per task."""
-    automaton, numbers = _automaton(patterns) if patterns else (None, {})
+    automaton = _Automaton(items, window)
+    numbers, lengths = automaton.numbers, automaton.lengths.tolist()
 
     def scan(texts: Iterator[bytes]) -> dict:
         out = {name: [] for name in RESULTS.names}
@@ -95,13 +111,12 @@ def _scanner(patterns: dict[tuple, set]):
             normal = text.translate(NORMAL)
             words = normal.split()
             found, hits = set(), None
-            if automaton is not None:
-                ids = [numbers.get(w, 0) for w in words]
-                for end, (length, items) in automaton.iter(tuple(ids)) if any(ids) else ():
-                    if hits is None:
-                        hits = np.zeros(len(words), bool)
-                    hits[end - length + 1 : end + 1] = True
-                    found |= items
+            ids = [numbers.get(w, 0) for w in words]
+            for end, place in automaton.scan.iter(tuple(ids)) if any(ids) else ():
+                if hits is None:
+                    hits = np.zeros(len(words), bool)
+                hits[end - lengths[place] + 1 : end + 1] = True
+                found.add(place)
             spans = []
             if hits is not None:
                 starts, ends = _word_starts(normal)
@@ -111,7 +126,7 @@ def _scanner(patterns: dict[tuple, set]):
                     spans.append({"start": start, "end": stop})
             out["n_words"].append(len(words))
             out["n_hit"].append(0 if hits is None else int(hits.sum()))
-            out["items"].append(sorted(x for x in found if x is not None))
+            out["items"].append(automaton.items_of(found))
             out["spans"].append(spans)
         return out
 
@@ -140,8 +155,8 @@ def find_contamination(
 
 def _scan(docs: DataFrame, items: DataFrame, text_column: str, window: int) -> DataFrame:
     rows = [(r["item"], r["text"].encode()) for r in items.collect()]  # at most block_words words
-    shared = docs.sparkSession.sparkContext.broadcast(_patterns(rows, window))
-    return annotate(docs, text_column, RESULTS, lambda: _scanner(shared.value))
+    shared = docs.sparkSession.sparkContext.broadcast(rows)  # texts; a task makes its automaton
+    return annotate(docs, text_column, RESULTS, lambda: _scanner(shared.value, window))
 
 
 def _in_blocks(docs: DataFrame, items: DataFrame, text_column: str, window: int, blocks: int) -> DataFrame:
