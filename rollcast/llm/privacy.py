@@ -254,16 +254,13 @@ def sanitise(
         F.struct(*[column(c).alias(c) for c in kept]).alias(ROW), key["id"].cast("string").alias("id"), key["h"].alias("h"),
         F.coalesce(column(text_column).cast("string"), F.lit("")).alias("text"),
     )
-    # Patterns run once over all texts; what they find is stored for the documents with any.
-    mentions = store(find_mentions(rows.drop(ROW), "text").where(F.size("mentions") > 0))
+    found = find_mentions(rows, "text")
+    mentions = store(found.where(F.size("mentions") > 0).select("id", "h", "text", "mentions"))
     listed = _strong_terms(_evidence(mentions, rows, "text", support, generalise))
-    named = listed.select(F.col("id").alias("__i"), F.col("h").alias("__h"), F.col("strong").alias("__strong"))
+    # Only documents with terms to treat are joined; finding the patterns again spares a shuffle of all texts.
+    named = store(listed.select(F.col("id").alias("__i"), F.col("h").alias("__h"), F.col("strong").alias("__strong")))
     same = F.col("id").eqNullSafe(F.col("__i")) & (F.col("h") == F.col("__h"))
-    marks = store(
-        mentions.groupBy("id", "h").agg(F.first("base").alias("base")).join(named, same, "left")
-        .select(F.col("id").alias("__i"), F.col("h").alias("__h"), "base", "__strong")
-    )
-    met = rows.join(marks, same, "left").withColumn("base", F.coalesce("base", F.array().cast(marks.schema["base"].dataType)))
+    met = found.drop("mentions").join(named, same, "left")
     met = _placed_terms(met, remove)
     base = F.transform("base", lambda s: F.struct(s["kind"], s["start"], s["end"], F.lit("mask").alias("action")))
     apart = lambda t, spans: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
