@@ -39,7 +39,10 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a five-word Jaccard similarity of 0.8 or more are linked; one of each component stays."""
+    """Near copies by SimHash of five-word shingles, verified; one document of each component stays.
+
+    Verified are a Jaccard similarity of 0.8 or more, over all candidates.
+    """
     found = nearcopies.near_copies(_marked(docs), text_column=f"{_MARK}text", id_column=f"{_MARK}doc_id")
     return _unmarked(found.where("first"), docs)
 

@@ -1,11 +1,18 @@
-"""Near copies by the Jaccard similarity of word shingles.
-
-Texts with the same shingles are merged first.  Candidates share a cell: ``BANDS`` cells,
-each of ``BAND`` minimum hashes.  Inside a cell those with ``LEAST`` or more equal bytes of
-all minimum hashes are linked, and the links' components are the candidate groups.  Every
-text goes to its one group, where the similarity is computed exactly from the shingles;
-only pairs that reach it are linked.  A pair at similarity 0.8 shares no cell with
-probability 5e-8, and falls short of ``LEAST`` with 1e-7; closer pairs with less.
+"""Near copies by SimHash, verified by the Jaccard similarity of word shingles.
+
+Texts with the same shingles are merged first.  A text's SimHash is that of its distinct
+shingles.  Candidates are found by fingerprint: equal ones, and those that the range join
+of ``simhash`` links (segment popcounts, Manhattan distance, at most three bits).  A pair
+at the wanted similarity differs in more bits than blocks can bound: in 10 on average at
+0.8, and in more than ``most_different``, which is 30, with probability 7e-8 at most.  So
+the same comparison, out to that distance, is made inside cells of minimum hashes, too:
+``BANDS`` cells, each of ``BAND`` hashes; there a pair must also have ``least_equal`` or
+more equal bytes of all minimum hashes.  A pair at 0.8 shares no cell with probability
+5e-8, and falls short of ``least_equal`` with 1e-7; closer pairs with less.
+
+The components of the candidates' links are groups.  Every text goes to its one group,
+where the similarity is computed exactly from the shingles; only pairs that reach it are
+linked.
 
 Links go to the first of a kind, never all pairs.  A cell or group with more than
 ``cell_rows`` members (or ``GROUP_BYTES`` of shingles) is cut into parts, and every pair of
@@ -19,6 +26,7 @@ pass through, clashing ones are replaced.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollcast.llm.common import annotate, column
-from rollcast.llm.simhash import CELL_ROWS, LINKS, SEED, components
+from rollcast.llm.simhash import CELL_ROWS, LINKS, SEED, components, embedding, fingerprint_of, link, near, shingle_hashes
 from rollcast.sources.scratch import store
 
 WORDS = 5
@@ -40,7 +48,7 @@ GROUP_BYTES = 1 << 25
 
 SKETCH = T.StructType([
     T.StructField("__set", T.LongType()), T.StructField("__bands", T.ArrayType(T.LongType())),
-    T.StructField("__sketch", T.BinaryType()),
+    T.StructField("__fingerprint", T.LongType()), T.StructField("__sketch", T.BinaryType()),
 ])
 SHINGLES = T.StructType([T.StructField("load", T.BinaryType())])
 KEYS = ["grid", "cell", "part", "other"]
@@ -54,17 +62,19 @@ def least_equal(similarity: float) -> int:
     return max(1, int(HASHES * similarity - 5.6 * (HASHES * similarity * (1 - similarity)) ** 0.5))
 
 
+def most_different(similarity: float) -> int:
+    """Bits that the SimHashes of such a pair differ in at most, but for one in 1e7.
+
+    A bit differs with the angle between the sets over pi, in sets of few shingles with up
+    to a quarter more (3/16 for four of five at 0.8).
+    """
+    chance = min(0.5, 1.25 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    return min(64, int(64 * chance + 6 * (64 * chance * (1 - chance)) ** 0.5))
+
+
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     """The sorted hashes of a text's runs of words."""
-    tokens = text.lower().split()
-    if not tokens:
-        return np.zeros(0, "<u8")
-    line = b" ".join(tokens)
-    ends = np.cumsum([len(t) + 1 for t in tokens]).tolist()
-    starts = [0, *ends[:-1]]
-    spans = zip(starts, ends[words - 1 :]) if len(tokens) >= words else [(0, len(line) + 1)]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(line[a : b - 1], SEED) for a, b in spans], "<u8"))
+    return np.unique(shingle_hashes(text, words))
 
 
 def minimum_hashes(hashes: np.ndarray) -> np.ndarray:
@@ -81,17 +91,21 @@ def minimum_hashes(hashes: np.ndarray) -> np.ndarray:
 def _sketches(words: int):
     def task():
         def work(texts: Iterator[bytes]) -> dict:
-            sets, bands, sketches = [], [], []
+            sets, bands, prints, sketches = [], [], [], []
             for text in texts:
                 hashes = shingles(text, words)
                 least = minimum_hashes(hashes)
                 sets.append(xxhash.xxh64_intdigest(hashes.tobytes()))
                 cells = [xxhash.xxh64_intdigest(b.tobytes()) for b in least.reshape(BANDS, BAND)] if len(hashes) else []
                 bands.append(np.array(cells, "<u8").view("<i8").tolist())
-                sketches.append(least.astype(np.uint8).tobytes())
+                prints.append(fingerprint_of(hashes))
+                # The fingerprint goes ahead of the minimum hashes.
+                sketches.append(prints[-1].to_bytes(8, "little") + least.astype(np.uint8).tobytes())
             return {
                 "__set": pa.array(np.array(sets, np.uint64).view(np.int64)),
-                "__bands": pa.array(bands, pa.list_(pa.int64())), "__sketch": pa.array(sketches, pa.binary()),
+                "__bands": pa.array(bands, pa.list_(pa.int64())),
+                "__fingerprint": pa.array(np.array(prints, np.uint64).view(np.int64)),
+                "__sketch": pa.array(sketches, pa.binary()),
             }
 
         return work
@@ -99,14 +113,14 @@ def _sketches(words: int):
     return task
 
 
-def _spanning(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
-    """Links from every member that is near another to the first of its kind."""
+def _spanning(n: int, close: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Links from every member that is close to another to the first of its kind."""
     left, links = np.arange(n), []
     while len(left) > 1:
         root, left = int(left[0]), left[1:]
         front = [root]
         while front and len(left):
-            found = near(front.pop(), left)
+            found = close(front.pop(), left)
             if len(found):
                 left = np.setdiff1d(left, found, assume_unique=True)
                 front += found.tolist()
@@ -115,9 +129,16 @@ def _spanning(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tup
 
 
 def _alike(loads: list[bytes], similarity: float) -> list[tuple[int, int]]:
-    """Links of a cell's members by their minimum hashes."""
-    sketches, least = np.frombuffer(b"".join(loads), np.uint8).reshape(-1, HASHES), least_equal(similarity)
-    return _spanning(len(loads), lambda one, among: among[(sketches[among] == sketches[one]).sum(axis=1) >= least])
+    """Links of a cell's members by their fingerprints, then by their minimum hashes."""
+    rows = np.frombuffer(b"".join(loads), np.uint8).reshape(-1, 8 + HASHES)
+    prints, sketches = rows[:, :8].copy().view("<u8")[:, 0], rows[:, 8:]
+    counts, distance, least = embedding(prints), most_different(similarity), least_equal(similarity)
+
+    def close(one: int, among: np.ndarray) -> np.ndarray:
+        among = near(prints, counts, one, among, distance)
+        return among[(sketches[among] == sketches[one]).sum(axis=1) >= least]
+
+    return _spanning(len(loads), close)
 
 
 def _similar(loads: list[bytes], similarity: float) -> list[tuple[int, int]]:
@@ -126,13 +147,13 @@ def _similar(loads: list[bytes], similarity: float) -> list[tuple[int, int]]:
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     values, codes = np.unique(np.frombuffer(b"".join(loads), "<u8"), return_inverse=True)
 
-    def near(one: int, among: np.ndarray) -> np.ndarray:
+    def close(one: int, among: np.ndarray) -> np.ndarray:
         has = np.zeros(len(values), np.int32)
         has[codes[starts[one] : starts[one] + sizes[one]]] = 1
         both = np.add.reduceat(has[codes], starts)[among]
         return among[both >= similarity * (sizes[among] + sizes[one] - both) - 1e-9]
 
-    return _spanning(len(loads), near)
+    return _spanning(len(loads), close)
 
 
 def _links(members: DataFrame, cell_rows: int, similarity: float, linked: Callable) -> DataFrame:
@@ -177,6 +198,20 @@ def _links(members: DataFrame, cell_rows: int, similarity: float, linked: Callab
     return grouped.mapInArrow(work, LINKS).distinct()
 
 
+def fingerprint_links(prints: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Links ``a > b`` between texts whose fingerprints are equal or linked by ``simhash``.
+
+    ``prints`` has a text's ``print`` and its ``fingerprint``.
+    """
+    least = store(prints.groupBy("fingerprint").agg(F.min("print").alias("least")))
+    equal = prints.join(least, "fingerprint").where("print > least").select(F.col("print").alias("a"), F.col("least").alias("b"))
+    linked = link(least.select(F.col("fingerprint").alias("print")), cell_rows)
+    one = least.select(F.col("fingerprint").alias("a"), F.col("least").alias("one"))
+    two = least.select(F.col("fingerprint").alias("b"), F.col("least").alias("two"))
+    different = linked.join(one, "a").join(two, "b").select(F.greatest("one", "two").alias("a"), F.least("one", "two").alias("b"))
+    return equal.unionByName(different)
+
+
 def near_copies(
     docs: DataFrame, *, text_column: str = "text", id_column: str = "doc_id", words: int = WORDS,
     similarity: float = SIMILARITY, cell_rows: int = CELL_ROWS,
@@ -199,12 +234,20 @@ def near_copies(
     earliest = F.struct(F.isnull("__id").alias("last"), F.col("__id").alias("id"), F.col("__row_number").alias("row"))
     prints = store(marked.groupBy(F.col("__set").alias("print")).agg(F.min(earliest).alias("earliest")))
     chosen = marked.join(prints.select(F.col("earliest.row").alias("__row_number")), "__row_number", "left_semi")
-    cells = chosen.select(F.col("__set").alias("print"), F.posexplode("__bands").alias("grid", "cell"), F.col("__sketch").alias("load"))
-    near = components(_links(cells, cell_rows, similarity, _alike))
+    cells = chosen.select(F.col("__set").alias("print"), F.posexplode("__bands").alias("grid", "cell"))
+    # Only members of shared cells get their fingerprints and minimum hashes.
+    shared = cells.groupBy("grid", "cell").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    loads = chosen.select(F.col("__set").alias("print"), F.col("__sketch").alias("load"))
+    cells = store(cells.join(shared, ["grid", "cell"], "left_semi").join(loads, "print"))
+    # Texts without words have no cells, and only copies.
+    worded = chosen.where(F.size("__bands") > 0).select(F.col("__set").alias("print"), F.col("__fingerprint").alias("fingerprint"))
+    # Stored one after the other, so that only one of them holds shuffle files.
+    close = store(fingerprint_links(worded, cell_rows)).unionByName(store(_links(cells, cell_rows, similarity, _alike)))
+    candidates = components(close.distinct())
 
     # The candidates' shingles, each in its one group.
-    members = store(near.select(F.col("a").alias("print"), F.col("b").alias("cell")).unionByName(
-        near.select(F.col("b").alias("print"), F.col("b").alias("cell")).distinct()
+    members = store(candidates.select(F.col("a").alias("print"), F.col("b").alias("cell")).unionByName(
+        candidates.select(F.col("b").alias("print"), F.col("b").alias("cell")).distinct()
     ))
     of_member = members.join(prints, "print").select("print", "cell", F.col("earliest.row").alias("__row_number"))
     texts = of_member.join(marked.select("__row_number", text.alias("__text_of")), "__row_number").select("print", "cell", "__text_of")

@@ -49,17 +49,21 @@ LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.Lon
 _LOW = 0x5555555555555555
 
 
-def fingerprint(text: bytes, words: int = WORDS) -> int:
-    """The unsigned 64-bit SimHash of a text."""
+def shingle_hashes(text: bytes, words: int = WORDS) -> np.ndarray:
+    """Hashes of a text's runs of words, in their order, repeats included."""
     tokens = text.lower().split()
     if not tokens:
-        return 0
+        return np.zeros(0, "<u8")
     line = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens]).tolist()
     starts = [0, *ends[:-1]]
     spans = zip(starts, ends[words - 1 :]) if len(tokens) >= words else [(0, len(line) + 1)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a : b - 1], SEED) for a, b in spans], "<u8")
+    return np.array([digest(line[a : b - 1], SEED) for a, b in spans], "<u8")
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The unsigned 64-bit SimHash of shingles given by their hashes; zero if there are none."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536].view(np.uint8).reshape(-1, 8)
@@ -68,6 +72,11 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
     return int(bits.view("<u8")[0])
 
 
+def fingerprint(text: bytes, words: int = WORDS) -> int:
+    """The unsigned 64-bit SimHash of a text."""
+    return fingerprint_of(shingle_hashes(text, words))
+
+
 def _counts(x: Column) -> Column:
     """Set bits of every two-bit segment, in unary: 00, 01 or 11."""
     other = F.shiftrightunsigned(x, 1)
@@ -83,10 +92,17 @@ def _grids() -> list[int]:
     return [g - (1 << 64) if g >> 63 else g for g in grids]
 
 
-def _near(prints: np.ndarray, counts: np.ndarray, one: int, among: np.ndarray) -> np.ndarray:
+def embedding(prints: np.ndarray) -> np.ndarray:
+    """What ``_counts`` computes, for an array of unsigned fingerprints."""
+    low = np.uint64(_LOW)
+    other = prints >> np.uint64(1)
+    return ((prints | other) & low) | ((prints & other & low) << np.uint64(1))
+
+
+def near(prints: np.ndarray, counts: np.ndarray, one: int, among: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
     """Those of ``among`` that are near one fingerprint: first by Manhattan distance."""
-    among = among[np.bitwise_count(counts[among] ^ counts[one]) <= DISTANCE]
-    return among[np.bitwise_count(prints[among] ^ prints[one]) <= DISTANCE]
+    among = among[np.bitwise_count(counts[among] ^ counts[one]) <= distance]
+    return among[np.bitwise_count(prints[among] ^ prints[one]) <= distance]
 
 
 def _group_links(prints: np.ndarray, counts: np.ndarray) -> list[tuple[int, int]]:
@@ -96,7 +112,7 @@ def _group_links(prints: np.ndarray, counts: np.ndarray) -> list[tuple[int, int]
         root, left = left[0], left[1:]
         front = [root]
         while front and len(left):
-            found = _near(prints, counts, front.pop(), left)
+            found = near(prints, counts, front.pop(), left)
             if len(found):
                 left = np.setdiff1d(left, found, assume_unique=True)
                 front += found.tolist()

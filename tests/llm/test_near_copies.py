@@ -3,9 +3,10 @@
 import os
 import random
 
+import numpy as np
 import pytest
 
-from rollcast.llm import nearcopies
+from rollcast.llm import nearcopies, simhash
 
 
 def sets_of(rows, words=5):
@@ -59,6 +60,38 @@ def test_recall_of_planted_copies(spark, cell_rows):
     assert {r["doc_id"] for r in found if r["first"]} == set(expected.values())
 
 
+def fingerprint(words):
+    return simhash.fingerprint_of(nearcopies.shingles(" ".join(words).encode()))
+
+
+def signed(number):
+    return int(np.uint64(number).astype(np.int64))
+
+
+def test_candidates_by_fingerprint(spark):
+    base = [f"w{i}" for i in range(2000)]
+    prints = [fingerprint(w) for w in (base, [*base[:-1], "x"], [f"v{i}" for i in range(2000)])]
+    assert (prints[0] ^ prints[1]).bit_count() <= 3 < (prints[0] ^ prints[2]).bit_count()
+    rows = [(i, signed(p)) for i, p in enumerate([*prints, prints[2]])]
+    found = nearcopies.fingerprint_links(spark.createDataFrame(rows, "print long, fingerprint long"))
+    assert {tuple(r) for r in found.collect()} == {(1, 0), (3, 2)}
+
+
+def test_cells_compare_fingerprints():
+    sketch = bytes(nearcopies.HASHES)
+    far = nearcopies.most_different(0.8)
+    loads = [p.to_bytes(8, "little") + sketch for p in (0, (1 << far) - 1, (1 << 64) - 1)]
+    assert nearcopies._alike(loads, 0.8) == [(1, 0)]
+    assert nearcopies._alike([loads[0], loads[2]], 0.8) == []
+
+
+def test_embedding_is_that_of_the_join(spark):
+    numbers = np.array([0, 1, 2, 3, 0x0123456789ABCDEF, (1 << 64) - 1, 1 << 63], np.uint64)
+    rows = spark.createDataFrame([(signed(n),) for n in numbers], "print long")
+    counts = [r[0] for r in rows.select(simhash._counts(rows["print"])).collect()]
+    assert counts == simhash.embedding(numbers).astype(np.int64).tolist()
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables are missing")
 def test_stage_removes_near_copies(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
