@@ -10,9 +10,10 @@ times.  A level is a stored table, distributed and sorted by the suffixes' first
 Only suffixes that can match are indexed: those whose window's seed (see ``anchors``)
 occurs again.  Neighbouring windows with one seed are one entry, with its bytes.  Equal
 strings have equal seeds, so entries are dealt to groups by seed.  A group is sorted and
-scanned in memory; a seed with more than ``group_rows`` occurrences is not brought
-together but handled by whole windows: the earliest place of each is found by an
-aggregation that combines before the shuffle, and joined back.
+scanned in memory.  A seed with more than ``group_rows`` occurrences is not brought
+together: of its equal entries the earliest stands for all, and the windows of the
+distinct ones get seeds from longer runs, up to the whole window.  Windows that reach into
+text of their own have such a seed alone and are left out, so each round is smaller.
 
 Defined results: a null text is empty; a null id comes after all others; documents with
 the same id are ordered by a hash of their texts; repeated rows (same id and text) are
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollcast.llm.anchors import (
-    chosen, covered, largest, leaf_runs, repeated_seeds, runs_of_windows, seed_counts, whole_groups, window_seeds,
+    covered, largest, leaf_runs, repeated_seeds, runs_of_windows, seed_counts, whole_groups, window_seeds,
 )
 from rollcast.llm.common import ROW, column, row_key, small_batches, texts_of
 from rollcast.llm.hashing import byte_runs
@@ -52,33 +53,39 @@ def _fields(id_type: T.DataType, *more: T.StructField) -> T.StructType:
     ])
 
 
-def _entries(docs: DataFrame, width: int, seed_bytes: int, paths: bool) -> DataFrame:
-    """Runs of windows with one seed: their place, and their bytes or the hash of every window."""
-    last = T.StructField("paths", T.ArrayType(T.LongType())) if paths else T.StructField("content", T.BinaryType())
-    schema = _fields(docs.schema["id"].dataType, last)
+def _entries(texts: DataFrame, width: int, seed_bytes: int) -> DataFrame:
+    """Runs of windows with one seed: their place, their bytes, and whether the seed is ``frequent``.
+
+    ``texts`` has ``id, h``, the ``start`` of ``text`` in its document, and the wanted
+    ``seeds`` with the ``frequent`` among them.
+    """
+    schema = _fields(
+        texts.schema["id"].dataType, T.StructField("content", T.BinaryType()), T.StructField("frequent", T.BooleanType())
+    )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 64):
-            rows, found, seeds_out, starts = [], [], [], []
-            for i, (seeds, text) in enumerate(zip(batch.column("seeds").to_pylist(), texts_of(batch.column("text")))):
-                runs = byte_runs(text)
-                own = window_seeds(runs.windows(seed_bytes), width - seed_bytes + 1)
-                path = runs.windows(width).view(np.int64) if paths else None
+            rows, found, seeds_out, starts, often = [], [], [], [], []
+            columns = (batch.column(c).to_pylist() for c in ("seeds", "frequent", "start"))
+            for i, (seeds, frequent, start, text) in enumerate(zip(*columns, texts_of(batch.column("text")))):
+                own = window_seeds(byte_runs(text).windows(seed_bytes), width - seed_bytes + 1)
+                many = set(np.array(frequent, np.int64).view(np.uint64).tolist())
                 for a, b, seed in runs_of_windows(own, seeds):
                     rows.append(i)
                     seeds_out.append(seed)
-                    starts.append(a)
-                    found.append(path[a:b] if paths else text[a : b + width - 1])
+                    starts.append(start + a)
+                    found.append(text[a : b + width - 1])
+                    often.append(int(seed) in many)
             if rows:
                 at = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.array(seeds_out, np.uint64).view(np.int64)), batch.column("id").take(at),
-                     batch.column("h").take(at), pa.array(starts, pa.int64()),
-                     pa.array(found, pa.list_(pa.int64()) if paths else pa.binary())],
+                     batch.column("h").take(at), pa.array(starts, pa.int64()), pa.array(found, pa.binary()),
+                     pa.array(often)],
                     schema.names,
                 )
 
-    return docs.mapInArrow(cut, schema)
+    return texts.select("id", "h", "start", "text", "seeds", "frequent").mapInArrow(cut, schema)
 
 
 def _merge_scan(suffixes: DataFrame, width: int) -> DataFrame:
@@ -184,62 +191,66 @@ def repeated_spans(
 
     ``docs`` has ``id`` (a number), ``h`` and ``text``.
     """
-    keyed = docs.withColumn("key", F.xxhash64("id", "h"))
-    hashes = lambda text: byte_runs(text).windows(seed_bytes)
-    again = repeated_seeds(seed_counts(keyed, hashes, width - seed_bytes + 1))
+    texts = docs.withColumn("start", F.lit(0).cast("long")).withColumn("key", F.xxhash64("id", "h"))
+    grouped, spans = [], []
+    while True:
+        hashes = lambda text, seed=seed_bytes: byte_runs(text).windows(seed)
+        again = repeated_seeds(seed_counts(texts, hashes, width - seed_bytes + 1))
+        wanted = again.select("key", F.transform("seeds", lambda s: s["seed"]).alias("seeds"), F.transform(
+            F.filter("seeds", lambda s: s["n"] > group_rows), lambda s: s["seed"]
+        ).alias("frequent"))
+        entries = store(_entries(texts.join(wanted, "key"), width, seed_bytes))
+        grouped.append(entries.where("NOT frequent").drop("frequent"))
+        if largest(again) <= group_rows:
+            break
+        if seed_bytes == width:
+            spans.append(_equal_windows(entries.where("frequent"), width))
+            break
+        # Of equal entries the earliest stands for all; windows of the others only match it.
+        contents, copies = _distinct(entries.where("frequent"))
+        spans.append(copies)
+        texts = contents.select("place.id", "place.h", "place.start", F.col("content").alias("text"), F.xxhash64("content").alias("key"))
+        seed_bytes = width - (width - seed_bytes) // 5
+    entries = reduce(DataFrame.unionByName, grouped)
 
-    small = chosen(again, lambda s: s["n"] <= group_rows)
-    entries = store(_entries(keyed.join(small, "key"), width, seed_bytes, paths=False))
     cuts = [i / batches for i in range(1, batches)]
     borders = (docs.agg(F.percentile_approx("id", cuts).alias("b")).first()["b"] or []) if cuts else []
     borders = sorted(set(borders))
-    family, spans = IndexFamily(width), []
+    family = IndexFamily(width)
     for i, (low, high) in enumerate(zip([None, *borders], [*borders, None])):
         after = F.lit(True) if low is None else F.isnull("id") | (F.col("id") > low)
         inside = after if high is None else after & F.coalesce(F.col("id") <= high, F.lit(False))
         spans.append(family.add(entries.where(inside), last=i == len(borders)))
 
-    if largest(again) > group_rows:
-        hot = chosen(again, lambda s: s["n"] > group_rows)
-        spans.append(_whole_windows(_entries(keyed.join(hot, "key"), width, seed_bytes, paths=True), width))
     every = reduce(DataFrame.unionByName, spans)
     return every.groupBy("id", "h").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
 
 
-def _whole_windows(entries: DataFrame, width: int) -> DataFrame:
-    """Matches among the entries of frequent seeds: equal entries first, then single windows.
+def _places(entries: DataFrame) -> DataFrame:
+    """Entries with their ``place``, in the order of which one is the earliest."""
+    place = F.struct(F.isnull("id").alias("last"), "id", "h", "start")
+    return entries.select("seed", "content", place.alias("place"))
 
-    Of equal entries the earliest stands for all; the others match it from end to end, and
-    only its windows are compared, by the earliest place of each.
-    """
-    place = F.struct(F.isnull("id").alias("last"), "id", "h", "start").alias("place")
-    entries = entries.select(F.xxhash64("paths").alias("content"), "paths", place)
-    contents = entries.groupBy("content").agg(F.min("place").alias("first"), F.first("paths").alias("paths"))
-    copies = (
-        entries.select("content", "place", F.size("paths").alias("n"))
-        .join(contents.select("content", "first"), "content").where("place > first")
-        .select("place.id", "place.h", F.col("place.start").alias("from"), (F.col("place.start") + F.col("n") - 1 + width).alias("to"))
-    )
-    # A window is a match unless it is the earliest of its path.  Each content keeps the
-    # places of its earliest windows; the runs between them are its matches.
-    at = F.col("first").withField("start", F.col("first.start") + F.col("nth"))
-    earliest = (
-        contents.select("content", "first", F.posexplode("paths").alias("nth", "path"))
-        .groupBy("path").agg(F.min(F.struct(at.alias("place"), "content", "nth")).alias("e"))
-        .groupBy(F.col("e.content").alias("content")).agg(F.collect_list("e.nth").alias("kept"))
-    )
-    none = F.array().cast("array<int>")
-    edges = F.concat(F.array(F.lit(-1)), F.array_sort(F.coalesce("kept", none)), F.array(F.size("paths")))
-    gaps = F.filter(
-        F.zip_with(edges, F.slice(edges, 2, F.size("paths") + 1), lambda a, b: F.struct((a + 1).alias("a"), b.alias("b"))),
-        lambda gap: gap["a"] < gap["b"],
+
+def _distinct(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct contents with their earliest ``place``, and the spans of all their copies."""
+    placed = _places(entries)
+    contents = store(placed.groupBy("content").agg(F.min("place").alias("place")))
+    copies = placed.join(contents.withColumnRenamed("place", "first"), "content").where("place > first").select(
+        "place.id", "place.h", F.col("place.start").alias("from"), (F.col("place.start") + F.length("content")).alias("to")
     )
-    met = contents.join(earliest, "content", "left").select("first", F.explode(gaps).alias("gap"))
-    later = met.select(
-        "first.id", "first.h", (F.col("first.start") + F.col("gap.a")).alias("from"),
-        (F.col("first.start") + F.col("gap.b") - 1 + width).alias("to"),
+    return contents, copies
+
+
+def _equal_windows(entries: DataFrame, width: int) -> DataFrame:
+    """Matches among entries whose seed is the whole window: all windows but the earliest."""
+    placed = _places(entries)
+    earliest = placed.groupBy("seed").agg(F.min("place").alias("first"))
+    start = F.col("place.start") + (F.col("place") == F.col("first")).cast("long")
+    end = F.col("place.start") + F.length("content")
+    return placed.join(earliest, "seed").select("place.id", "place.h", start.alias("from"), end.alias("to")).where(
+        F.col("to") - F.col("from") >= width
     )
-    return copies.unionByName(later)
 
 
 def remove_repeats(

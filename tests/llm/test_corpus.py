@@ -186,6 +186,21 @@ def test_repeated_bytes(spark, awkward, group_rows, batches):
     assert got == brute_bytes(rows, 100)
 
 
+@pytest.mark.parametrize("group_rows", [4, 30])
+def test_frequent_passages_in_varied_text(spark, group_rows):
+    draw = random.Random(5)
+    own = lambda n: "".join(draw.choice("abcdefghijklmnop ") for _ in range(n))
+    rows = [(i, own(150) + LONG[:180] + own(150)) for i in range(60)] + [(100 + i, "z" * (150 + i)) for i in range(40)]
+    spans = suffix_index.repeated_spans(
+        spark.createDataFrame(rows, "id long, text string").withColumn("h", F.xxhash64("text")), group_rows=group_rows
+    )
+    # No window of a frequent passage is a row of its own.
+    assert "Generate" not in spans._jdf.queryExecution().toString()
+    found = suffix_index.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), group_rows=group_rows)
+    got = sorted(((r[0], r[1], r[2], r[3], bytes(r[4])) for r in found.drop("text").collect()), key=repr)
+    assert got == brute_bytes(rows, 100)
+
+
 LONG = "".join(random.Random(1).choice("abcdefgh ") for _ in range(400))
 
 
