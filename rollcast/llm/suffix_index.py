@@ -8,12 +8,16 @@ so there are few levels at any time and a suffix is rewritten a logarithmic numb
 times.  A level is a stored table, distributed and sorted by the suffixes' first key.
 
 Only suffixes that can match are indexed: those whose window's seed (see ``anchors``)
-occurs again.  Neighbouring windows with one seed are one entry, with its bytes.  Equal
+occurs again.  Neighbouring windows with one seed are one entry, with its bytes; of a
+stretch that repeats itself (a line over and over) only the windows that are new in it
+are kept, and the others are matches already.  Equal
 strings have equal seeds, so entries are dealt to groups by seed.  A group is sorted and
 scanned in memory.  A seed with more than ``group_rows`` occurrences is not brought
 together: of its equal entries the earliest stands for all, and the windows of the
 distinct ones get seeds from longer runs, up to the whole window.  Windows that reach into
 text of their own have such a seed alone and are left out, so each round is smaller.
+Copies never meet the earliest entry: a document is told which of its entries are
+earliest, and its others are copies.
 
 Defined results: a null text is empty; a null id comes after all others; documents with
 the same id are ordered by a hash of their texts; repeated rows (same id and text) are
@@ -53,37 +57,64 @@ def _fields(id_type: T.DataType, *more: T.StructField) -> T.StructType:
     ])
 
 
+def _new_and_again(path: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Runs ``[a, b)`` of windows that are new among these, and of those that repeat one of them."""
+    new = np.zeros(len(path), bool)
+    new[np.unique(path, return_index=True)[1]] = True
+    found = (leaf_runs(marked, np.zeros(len(path), np.int8)) for marked in (new, ~new))
+    return [list(zip(first.tolist(), (last + 1).tolist())) for first, last in found]
+
+
 def _entries(texts: DataFrame, width: int, seed_bytes: int) -> DataFrame:
     """Runs of windows with one seed: their place, their bytes, and whether the seed is ``frequent``.
 
-    ``texts`` has ``id, h``, the ``start`` of ``text`` in its document, and the wanted
+    A run longer than the windows over one seed repeats that seed, and maybe windows:
+    those are matches, with ``from`` and ``to`` and without ``content``.  ``texts`` has ``id, h``, the ``start`` of ``text`` in its document, and the wanted
     ``seeds`` with the ``frequent`` among them.
     """
     schema = _fields(
-        texts.schema["id"].dataType, T.StructField("content", T.BinaryType()), T.StructField("frequent", T.BooleanType())
+        texts.schema["id"].dataType, T.StructField("content", T.BinaryType()), T.StructField("from", T.LongType()),
+        T.StructField("to", T.LongType()), T.StructField("frequent", T.BooleanType()),
     )
+    most = width - seed_bytes + 1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 64):
             rows, found, seeds_out, starts, often = [], [], [], [], []
+            matches = []
             columns = (batch.column(c).to_pylist() for c in ("seeds", "frequent", "start"))
             for i, (seeds, frequent, start, text) in enumerate(zip(*columns, texts_of(batch.column("text")))):
-                own = window_seeds(byte_runs(text).windows(seed_bytes), width - seed_bytes + 1)
+                runs = byte_runs(text)
+                own = window_seeds(runs.windows(seed_bytes), most)
                 many = set(np.array(frequent, np.int64).view(np.uint64).tolist())
                 for a, b, seed in runs_of_windows(own, seeds):
-                    rows.append(i)
-                    seeds_out.append(seed)
-                    starts.append(start + a)
-                    found.append(text[a : b + width - 1])
-                    often.append(int(seed) in many)
+                    new = ((a, b),)
+                    if b - a > most:
+                        at = np.arange(a, b)
+                        new, again = ([(a + c, a + d) for c, d in x] for x in _new_and_again(runs.between(at, at + width)))
+                        matches += [(i, start + c, start + d + width - 1) for c, d in again]
+                    for c, d in new:
+                        rows.append(i)
+                        seeds_out.append(seed)
+                        starts.append(start + c)
+                        found.append(text[c : d + width - 1])
+                        often.append(int(seed) in many)
             if rows:
-                at = pa.array(rows)
+                at, none = pa.array(rows), pa.nulls(len(rows), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.array(seeds_out, np.uint64).view(np.int64)), batch.column("id").take(at),
-                     batch.column("h").take(at), pa.array(starts, pa.int64()), pa.array(found, pa.binary()),
+                     batch.column("h").take(at), pa.array(starts, pa.int64()), pa.array(found, pa.binary()), none, none,
                      pa.array(often)],
                     schema.names,
                 )
+            if matches:
+                at, begin, end = map(pa.array, zip(*matches))
+                none = pa.nulls(len(at), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [none, batch.column("id").take(at), batch.column("h").take(at), none, pa.nulls(len(at), pa.binary()),
+                     begin, end, pa.nulls(len(at), pa.bool_())],
+                    schema.names,
+                )
 
     return texts.select("id", "h", "start", "text", "seeds", "frequent").mapInArrow(cut, schema)
 
@@ -192,23 +223,25 @@ def repeated_spans(
     ``docs`` has ``id`` (a number), ``h`` and ``text``.
     """
     texts = docs.withColumn("start", F.lit(0).cast("long")).withColumn("key", F.xxhash64("id", "h"))
-    grouped, spans = [], []
+    grouped, spans, copied = [], [], []
     while True:
         hashes = lambda text, seed=seed_bytes: byte_runs(text).windows(seed)
         again = repeated_seeds(seed_counts(texts, hashes, width - seed_bytes + 1))
         wanted = again.select("key", F.transform("seeds", lambda s: s["seed"]).alias("seeds"), F.transform(
             F.filter("seeds", lambda s: s["n"] > group_rows), lambda s: s["seed"]
         ).alias("frequent"))
-        entries = store(_entries(texts.join(wanted, "key"), width, seed_bytes))
+        cut = store(_entries(texts.join(wanted, "key"), width, seed_bytes))
+        spans.append(cut.where("from IS NOT NULL").select("id", "h", "from", "to"))
+        entries = cut.where("from IS NULL").drop("from", "to")
         grouped.append(entries.where("NOT frequent").drop("frequent"))
         if largest(again) <= group_rows:
             break
         if seed_bytes == width:
-            spans.append(_equal_windows(entries.where("frequent"), width))
+            copied.append(_equal_windows(entries.where("frequent")))
             break
         # Of equal entries the earliest stands for all; windows of the others only match it.
         contents, copies = _distinct(entries.where("frequent"))
-        spans.append(copies)
+        copied.append(copies)
         texts = contents.select("place.id", "place.h", "place.start", F.col("content").alias("text"), F.xxhash64("content").alias("key"))
         seed_bytes = width - (width - seed_bytes) // 5
     entries = reduce(DataFrame.unionByName, grouped)
@@ -223,34 +256,53 @@ def repeated_spans(
         spans.append(family.add(entries.where(inside), last=i == len(borders)))
 
     every = reduce(DataFrame.unionByName, spans)
-    return every.groupBy("id", "h").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+    found = every.groupBy("id", "h").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+    if not copied:
+        return found
+    rows = reduce(DataFrame.unionByName, copied, found)
+    return rows.groupBy("id", "h").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def _places(entries: DataFrame) -> DataFrame:
     """Entries with their ``place``, in the order of which one is the earliest."""
-    place = F.struct(F.isnull("id").alias("last"), "id", "h", "start")
+    place = F.struct(F.isnull("id").alias("last"), "id", "h", "start", F.length("content").cast("long").alias("length"))
     return entries.select("seed", "content", place.alias("place"))
 
 
+def _of_documents(places: DataFrame, name: str) -> DataFrame:
+    """``id, h`` and all places of the document: starts and lengths, in one number each."""
+    code = F.shiftleft("place.start", 32) + F.col("place.length")
+    return places.groupBy("place.id", "place.h").agg(F.collect_set(code).alias(name))
+
+
+def _later(places: DataFrame, earliest: DataFrame) -> DataFrame:
+    """``id, h, spans`` of the places that are not among the ``earliest``, a row per document.
+
+    No two entries of a document start together, so the place tells an entry.
+    """
+    first = _of_documents(earliest, "first").withColumnsRenamed({"id": "__i", "h": "__h"})
+    same = F.col("id").eqNullSafe(F.col("__i")) & (F.col("h") == F.col("__h"))
+    met = _of_documents(places, "all").join(first, same, "left")
+    later = F.when(F.isnull("first"), F.col("all")).otherwise(F.array_except("all", "first"))
+
+    def span(code):
+        start = F.shiftright(code, 32)
+        return F.struct(start.alias("from"), (start + code.bitwiseAND(F.lit((1 << 32) - 1))).alias("to"))
+
+    return met.select("id", "h", F.transform(later, span).alias("spans")).where(F.size("spans") > 0)
+
+
 def _distinct(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The distinct contents with their earliest ``place``, and the spans of all their copies."""
     placed = _places(entries)
     contents = store(placed.groupBy("content").agg(F.min("place").alias("place")))
-    copies = placed.join(contents.withColumnRenamed("place", "first"), "content").where("place > first").select(
-        "place.id", "place.h", F.col("place.start").alias("from"), (F.col("place.start") + F.length("content")).alias("to")
-    )
-    return contents, copies
+    return contents, _later(placed, contents)
 
 
-def _equal_windows(entries: DataFrame, width: int) -> DataFrame:
-    """Matches among entries whose seed is the whole window: all windows but the earliest."""
+def _equal_windows(entries: DataFrame) -> DataFrame:
+    """Matches among entries whose seed is the whole window, so that they have one each: all but the earliest."""
     placed = _places(entries)
-    earliest = placed.groupBy("seed").agg(F.min("place").alias("first"))
-    start = F.col("place.start") + (F.col("place") == F.col("first")).cast("long")
-    end = F.col("place.start") + F.length("content")
-    return placed.join(earliest, "seed").select("place.id", "place.h", start.alias("from"), end.alias("to")).where(
-        F.col("to") - F.col("from") >= width
-    )
+    return _later(placed, store(placed.groupBy("seed").agg(F.min("place").alias("place"))))
 
 
 def remove_repeats(

@@ -201,6 +201,36 @@ def test_frequent_passages_in_varied_text(spark, group_rows):
     assert got == brute_bytes(rows, 100)
 
 
+@pytest.mark.parametrize("last", [False, True])
+def test_copies_are_told_by_document(spark, last):
+    """Copies of frequent entries make a row per document, not one each."""
+    at = [(i, 200 * k) for i in (7, None, 3, 5) for k in range(6)] + [(3, 0)]  # a repeated row's entry
+    rows = [(start // 400, i, 0 if i else 1, start, bytes([start // 400]) * 100) for i, start in at]
+    entries = spark.createDataFrame(rows, "seed long, id long, h long, start long, content binary")
+    found = suffix_index._equal_windows(entries) if last else suffix_index._distinct(entries)[1]
+    got = [(r["id"], r["h"], sorted(map(tuple, r["spans"]))) for r in found.collect()]
+    later = [(start, start + 100) for start in range(0, 1200, 200)]
+    expected = [(3, 0, later[1::2]), (5, 0, later), (7, 0, later), (None, 1, later)]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+
+
+def test_lines_over_and_over_are_short_entries(spark, monkeypatch):
+    """A stretch that repeats itself has its period's windows once, in each round."""
+    line, entries, split = "a line of twenty-nine bytes.\n", [], suffix_index._distinct
+
+    def counted(frequent):
+        entries.append(frequent.agg(F.count("*"), F.sum(F.length("content"))).first())
+        return split(frequent)
+
+    monkeypatch.setattr(suffix_index, "_distinct", counted)
+    rows = [(i, line[i % 7 :] + line * (20 + i)) for i in range(25)] + [(30, "z" * 500 + line * 9 + "z" * 300 + "yx" * 400)]
+    found = suffix_index.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), group_rows=20)
+    got = sorted(((r[0], r[1], r[2], r[3], bytes(r[4])) for r in found.drop("text").collect()), key=repr)
+    assert got == brute_bytes(rows, 100)
+    assert entries
+    assert all(n <= 3 * len(rows) and size <= 200 * n for n, size in entries)
+
+
 LONG = "".join(random.Random(1).choice("abcdefgh ") for _ in range(400))
 
 
